@@ -50,6 +50,28 @@ def op3_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(media, keep=("n_bytes",))
 
 
+def word_bpe() -> str:
+    """The path of the tokenizer's file, a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe(), decoded=True)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def _outcomes(pages: DataFrame) -> DataFrame:
     """Labelled outcomes: a page is bad when its text carries runs of three symbols (keyboard junk)."""
     from .url_reputation import host_of
@@ -125,7 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_secret_linking": op2_secret_linking,
     "op3_matroska_columns": op3_matroska_columns,
+    "op5_forced_boundary_bpe": op5_forced_boundary_bpe,
     "op6_host_reputation": op6_host_reputation,
+    "op7_nb_toxicity": op7_nb_toxicity,
     "op10_source_mix": op10_source_mix,
 }
 SQL: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op6_host_reputation": OP6_SQL, "op10_source_mix": OP10_SQL}
