@@ -117,6 +117,12 @@ SELECT page_id, host, path, rule, CASE rule WHEN 'www.example.com/en/' THEN 'all
 """
 
 
+def op8_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_jaccard
+
+    return ngram_jaccard.components_of(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def _quality() -> F.Column:
     """Texts with runs of three symbols weigh a quarter."""
     return F.when(F.col("text").rlike(r"[%#$*]{3}"), 0.25).otherwise(1.0)
@@ -150,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_forced_boundary_bpe": op5_forced_boundary_bpe,
     "op6_host_reputation": op6_host_reputation,
     "op7_nb_toxicity": op7_nb_toxicity,
+    "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op10_source_mix": op10_source_mix,
 }
 SQL: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op6_host_reputation": OP6_SQL, "op10_source_mix": OP10_SQL}
