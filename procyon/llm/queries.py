@@ -50,6 +50,12 @@ def op3_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(media, keep=("n_bytes",))
 
 
+def op4_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import subspace_join
+
+    return subspace_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def word_bpe() -> str:
     """The path of the tokenizer's file, a parameter of the operator."""
     import public_tokenizers
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_secret_linking": op2_secret_linking,
     "op3_matroska_columns": op3_matroska_columns,
+    "op4_subspace_pigeonhole": op4_subspace_pigeonhole,
     "op5_forced_boundary_bpe": op5_forced_boundary_bpe,
     "op6_host_reputation": op6_host_reputation,
     "op7_nb_toxicity": op7_nb_toxicity,
