@@ -129,6 +129,12 @@ def op8_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.components_of(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def _quality() -> F.Column:
     """Texts with runs of three symbols weigh a quarter."""
     return F.when(F.col("text").rlike(r"[%#$*]{3}"), 0.25).otherwise(1.0)
@@ -164,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_reputation": op6_host_reputation,
     "op7_nb_toxicity": op7_nb_toxicity,
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
+    "op9_fm_substring_dedup": op9_fm_substring_dedup,
     "op10_source_mix": op10_source_mix,
 }
 SQL: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op6_host_reputation": OP6_SQL, "op10_source_mix": OP10_SQL}
