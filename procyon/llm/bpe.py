@@ -165,6 +165,22 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
+def token_lists(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """encoded with its ids as arrays of integers instead of bytes, and n_tokens."""
+    names = [c for c in encoded.columns if c != ids_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(ids_col).fill_null(b"").to_pylist()
+            n = np.array([len(x) // 4 for x in raw], np.int64)
+            flat = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n), lists], [*names, "n_tokens", ids_col])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema if f.name != ids_col)
+    return encoded.select(*[f"`{c}`" for c in names], ids_col).mapInArrow(run, f"{kinds}n_tokens bigint, {ids_col} array<int>")
+
+
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of each row of ids; null ids decode to an empty text."""
     source = _source(encoded, path)

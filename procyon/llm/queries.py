@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -135,7 +135,7 @@ def op9_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-def _quality() -> F.Column:
+def symbol_quality() -> Column:
     """Texts with runs of three symbols weigh a quarter."""
     return F.when(F.col("text").rlike(r"[%#$*]{3}"), 0.25).otherwise(1.0)
 
@@ -143,7 +143,7 @@ def _quality() -> F.Column:
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    return mixing.mix_table(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _quality())
+    return mixing.mix_table(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), symbol_quality())
 
 
 OP10_SQL = r"""
@@ -161,6 +161,12 @@ r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.target - b.e
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (epochs + CASE WHEN upto - size / 2.0 <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_audit": op1_merkle_audit,
     "op2_secret_linking": op2_secret_linking,
@@ -172,5 +178,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_fm_substring_dedup": op9_fm_substring_dedup,
     "op10_source_mix": op10_source_mix,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op6_host_reputation": OP6_SQL, "op10_source_mix": OP10_SQL}
