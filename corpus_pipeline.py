@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row."""
-    return bpe.token_lists(bpe.encode_texts(docs, word_bpe()))
+    return bpe.token_lists(docs, word_bpe())
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("secrets", redact_secrets), ("mixing", mix_sources), ("bpe", encode)]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import text_chunks
 
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + rb"]+|[0-9]|[^\s" + _LETTERS + rb"0-9]+")
@@ -165,20 +165,21 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
-def token_lists(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """encoded with its ids as arrays of integers instead of bytes, and n_tokens."""
-    names = [c for c in encoded.columns if c != ids_col]
+def token_lists(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids) of each row, ids as an array of integers."""
+    source = _source(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(ids_col).fill_null(b"").to_pylist()
+        model = model_of(source.value)
+        for chunk in text_chunks(batches, limit=1 << 20):
+            raw = [model.encode(t) for t in chunk.column("text").to_pylist()]
             n = np.array([len(x) // 4 for x in raw], np.int64)
             flat = pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n), lists], [*names, "n_tokens", ids_col])
+            yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array(n), lists], ["id", "n_tokens", "ids"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema if f.name != ids_col)
-    return encoded.select(*[f"`{c}`" for c in names], ids_col).mapInArrow(run, f"{kinds}n_tokens bigint, {ids_col} array<int>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

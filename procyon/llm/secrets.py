@@ -133,4 +133,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap:
         return texts.__class__(out, dtype=object)
 
     keyed = docs.withColumn("__scope", row_key(id_col, text_col))
-    return keyed.join(spans.withColumnRenamed("scope", "__scope").withColumnRenamed("spans", "__spans"), "__scope", "left").withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "__spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(spans.withColumnRenamed("scope", "__scope").withColumnRenamed("spans", "__spans"), "__scope", "left").withColumn(text_col, F.coalesce(cut(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.col("__spans")), F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,7 +86,7 @@ def _dealt(docs: DataFrame, order: np.ndarray, emit: Callable, extra: str = "")
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, limit=4 << 20):
             rows = list(emit(chunk, Segments(chunk, shared.value), buckets))
             if rows:
                 bucket, kind, blob = zip(*rows, strict=True)
