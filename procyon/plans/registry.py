@@ -743,7 +743,7 @@ def o7(t: Tables) -> DataFrame:
 _FACTOR = "CASE health WHEN 'DEGRADED' THEN 2 WHEN 'FAILING' THEN 4 WHEN 'OFFLINE' THEN 12 ELSE 1 END"
 
 
-@query_of("o8_next_eligible_run", f"SELECT id, @text(TIMESTAMP '{SOURCES_AS_OF}' + to_minutes(CAST(interval_minutes * {_FACTOR} AS INTEGER))) AS next_eligible_at FROM sources")
+@query_of("o8_next_eligible_run", f"SELECT id, strftime(TIMESTAMP '{SOURCES_AS_OF}' + to_minutes(CAST(interval_minutes * {_FACTOR} AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS next_eligible_at FROM sources")
 def o8(t: Tables) -> DataFrame:
     return ops.next_eligible_run(t.sources, SOURCES_AS_OF).select("id", told("next_eligible_at"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,7 +41,7 @@ def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | Non
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    out = spark.read.schema(stream.schema.add("__batch", "int")).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("__batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
     if keys:
         out = out.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("__batch").desc()))).where("__n = 1").drop("__n")
     return out.drop("__batch")
