@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, save
 
 LEAST = 0.95
-BLOCK, GRID, TILE = 8, 2, 8192
+BLOCK, GRID, TILE = 8, 2, 16384
 SLACK = 1e-5
 
 
@@ -58,11 +58,16 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def element_type(vectors: DataFrame, vector_col: str) -> str:
+    """Single-precision components are carried as such, others in double precision; nothing is rounded."""
+    return "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(rep, vector, copies) of the usable distinct vectors: rep is the smallest id, copies the number of rows."""
     v = F.col("vector")
     usable = F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(usable, F.lit(False)))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(element_type(vectors, vector_col)).alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(usable, F.lit(False)))
     return rows.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
 
 
@@ -86,7 +91,8 @@ def cells(distinct: DataFrame, least: float) -> DataFrame:
                         cell = (at[:, 0] + (1 << 20)) * (1 << 21) + at[:, 1] + (1 << 20)
                         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(int(d), pa.int32()), len(own)), pa.repeat(pa.scalar(b, pa.int32()), len(own)), pa.array(cell), pa.repeat(pa.scalar(home), len(own)), part.column("rep"), part.column("copies"), part.column("vector")], ["dim", "block", "cell", "home", "rep", "copies", "vector"])
 
-    return distinct.select("rep", "copies", "vector").mapInArrow(run, "dim int, block int, cell bigint, home boolean, rep bigint, copies bigint, vector array<double>")
+    kind = element_type(distinct, "vector")
+    return distinct.select("rep", "copies", "vector").mapInArrow(run, f"dim int, block int, cell bigint, home boolean, rep bigint, copies bigint, vector {kind}")
 
 
 def _links(x: np.ndarray, y: np.ndarray, block: int, least: float, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -109,7 +115,7 @@ def _links(x: np.ndarray, y: np.ndarray, block: int, least: float, budget: float
             near = (x[p] * y[q]).sum(1) >= least - 1e-9
             p, q = p[near], q[near]
             d = rx[p] - ry[q]
-            inside = (d * d).reshape(len(p), -1, BLOCK).sum(2) <= budget + SLACK / 2
+            inside = (d * d).reshape(len(p), d.shape[1] // BLOCK, BLOCK).sum(2) <= budget + SLACK / 2
             first = inside.argmax(1) == block
             yield p[first & inside.any(1)], q[first & inside.any(1)]
 
@@ -136,7 +142,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, least: float = LEAST) -> DataFrame:
     """(rep, near, n): n other rows link with rep, counted where it is an end of a pair; near is linked with rep, or null."""
-    dealt = save(cells(distinct, least))
+    dealt = cells(distinct, least)
     key = ["dim", "block", "cell"]
     crowd = dealt.groupBy(*key).count().select(*key, F.ceil(F.col("count") / TILE).alias("tiles"))
     rows = dealt.join(F.broadcast(crowd), key)  # a row for each cell of the grid on the unit ball: bounded by its width
@@ -178,7 +184,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     per = distinct.join(counted, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     per = save(per.select(F.col("vector").alias("__v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vector_col).cast("array<double>").alias("__w"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vector_col).cast(element_type(vectors, vector_col)).alias("__w"))
     out = rows.join(per, (F.col("__w") == F.col("__v")) & F.col(id_col).isNotNull(), "left")
     out = out.select(id_col, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", id_col).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
