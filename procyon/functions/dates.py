@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 ZONE = "Africa/Johannesburg"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 LONG = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -33,11 +35,6 @@ def _moment(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) -
     return F.call_function("try_make_timestamp_ntz", y, m, d, h, mi, s.cast("decimal(16,6)"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is evaluated once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _shift(text: Column, pattern: str, group: int) -> Column:
     """Minutes of a numeric offset."""
     minutes = _n(text, pattern, group + 1) * 60 + _n(text, pattern, group + 2)
@@ -78,9 +75,10 @@ def parse_datetime(raw: Column, zone: Column | str = ZONE, default: tuple[int, i
         text = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"(?i)\bat\b", " ")
         return F.trim(F.regexp_replace(text, r"\s+", " "))
 
-    def parts(text: Column) -> Column:
+    def parts(given: Column) -> Column:
+        text = given["text"]
         iso = F.regexp_replace(F.replace(text, F.lit("Z"), F.lit("+00:00")), r"^([^ ]*) ", "$1T")
-        return F.struct(text.alias("text"), iso.alias("iso"), clock_of(text).alias("clock"), (F.regexp_extract(iso, ISO, 4) != "").alias("given"), _shift(iso, ISO, 7).alias("iso_shift"), _shift(text, OFFSET, 1).alias("shift"))
+        return F.struct(given["raw"].alias("raw"), text.alias("text"), iso.alias("iso"), clock_of(text).alias("clock"), (F.regexp_extract(iso, ISO, 4) != "").alias("given"), _shift(iso, ISO, 7).alias("iso_shift"), _shift(text, OFFSET, 1).alias("shift"))
 
     def locals_of(p: Column) -> Column:
         text, iso = p["text"], p["iso"]
@@ -89,19 +87,20 @@ def parse_datetime(raw: Column, zone: Column | str = ZONE, default: tuple[int, i
         h, m, s = (F.coalesce(p["clock"][c], F.lit(x)) for c, x in zip("hms", default, strict=True))
         return F.struct(exact.alias("exact"), _loose(text, lambda y, mo, d: _moment(y, mo, d, h, m, s)).alias("loose"), p.alias("p"))
 
+    def valued(q: Column) -> Column:
+        return F.struct(F.coalesce(utc(q["exact"], q["p"]["iso_shift"]), utc(q["loose"], q["p"]["shift"])).alias("value"), q.alias("q"))
+
     def utc(local: Column, shift: Column) -> Column:
         moved = F.call_function("convert_timezone", zone, F.lit("UTC"), local)
         return F.when(shift.isNotNull(), local - F.make_dt_interval(zero, zero, shift, zero)).otherwise(moved)
 
-    def result(q: Column) -> Column:
-        p = q["p"]
-        value = F.coalesce(utc(q["exact"], p["iso_shift"]), utc(q["loose"], p["shift"]))
+    def result(v: Column) -> Column:
+        value, q, p = v["value"], v["q"], v["q"]["p"]
         has_time = F.when(q["exact"].isNotNull(), p["given"]).otherwise(p["clock"].isNotNull() & q["loose"].isNotNull())
         sure = F.when(q["exact"].isNotNull(), 1.0).when(q["loose"].isNull(), 0.0).when(p["clock"].isNotNull() | p["shift"].isNotNull(), 0.9).otherwise(0.7)
-        return F.struct(value.alias("value"), has_time.alias("has_time"), sure.alias("confidence"))
+        return F.struct(value.alias("value"), p["raw"].alias("raw"), F.when(value.isNotNull(), zone).alias("zone"), F.coalesce(has_time, F.lit(False)).alias("has_time"), F.coalesce(sure, F.lit(0.0)).alias("confidence"))
 
-    out = let(let(let(cleaned(raw), parts), locals_of), result)
-    return F.struct(out["value"].alias("value"), raw.alias("raw"), F.when(out["value"].isNotNull(), zone).alias("zone"), F.coalesce(out["has_time"], F.lit(False)).alias("has_time"), F.coalesce(out["confidence"], F.lit(0.0)).alias("confidence"))
+    return let(let(let(let(F.struct(cleaned(raw).alias("text"), raw.alias("raw")), parts), locals_of), valued), result)
 
 
 def parse_closing_datetime(raw: Column, zone: Column | str = ZONE, iso_end_of_day: bool = False) -> Column:

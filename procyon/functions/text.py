@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -22,6 +23,11 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility-normalised text; only rows with non-ASCII characters are sent to Python."""
     return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
@@ -72,15 +78,18 @@ def normalize_reference(reference: Column, unicode: bool = True) -> Column:
 
 def parse_money(text: Column) -> Column:
     """struct(currency, amount): the first amount with a currency; commas and points told apart."""
-    symbol = F.upper(F.regexp_extract(text, MONEY, 1))
-    currency = F.coalesce(F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])[symbol], symbol)
-    raw = F.replace(F.regexp_extract(text, MONEY, 2), F.lit(" "), F.lit(""))
-    last = lambda c: F.length(raw) - F.locate(c, F.reverse(raw))
-    comma, point = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
-    plain = F.when(comma & point & (last(",") > last(".")), F.translate(raw, ",.", ".")).when(comma & point, F.translate(raw, ",", ""))
-    plain = plain.when(comma & (F.length(F.substring_index(raw, ",", -1)) == 2), F.translate(raw, ",", ".")).when(comma, F.translate(raw, ",", "")).otherwise(raw)
-    amount = plain.try_cast("decimal(18,2)")
-    return F.when(amount.isNotNull(), F.struct(currency.alias("currency"), amount.alias("amount")))
+    currencies = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
+
+    def plain(m: Column) -> Column:
+        raw = m["raw"]
+        last = lambda c: F.length(raw) - F.locate(c, F.reverse(raw))
+        comma, point = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
+        out = F.when(comma & point & (last(",") > last(".")), F.translate(raw, ",.", ".")).when(comma & point, F.translate(raw, ",", ""))
+        out = out.when(comma & (F.length(F.substring_index(raw, ",", -1)) == 2), F.translate(raw, ",", ".")).when(comma, F.translate(raw, ",", "")).otherwise(raw)
+        return F.struct(F.coalesce(F.try_element_at(currencies, m["symbol"]), m["symbol"]).alias("currency"), out.try_cast("decimal(18,2)").alias("amount"))
+
+    found = F.struct(F.upper(F.regexp_extract(text, MONEY, 1)).alias("symbol"), F.replace(F.regexp_extract(text, MONEY, 2), F.lit(" "), F.lit("")).alias("raw"))
+    return let(let(found, plain), lambda m: F.when(m["amount"].isNotNull(), m))
 
 
 def slugify(text: Column, most: int = 200) -> Column:

@@ -86,7 +86,7 @@ def used(sql: str) -> list[str]:
 def duckdb_sql(sql: str) -> str:
     """SQL over stand-ins as DuckDB can run it on the driver's tables."""
     names = used(sql)
-    head = ", ".join(f"{n} AS ({STANDINS[n]})" for n in names)
+    head = ", ".join(f"{n} AS MATERIALIZED ({STANDINS[n]})" for n in names)
     body = sql.lstrip()
     if head and body[:5].upper() == "WITH ":
         recursive = body[5:14].upper() == "RECURSIVE"

@@ -40,11 +40,14 @@ def briefing_compulsory(words: Column) -> Column:
 
 def estimated_value(raw: Column, currency: Column) -> Column:
     """struct(currency, amount): a plain number (negative: none) or an amount in text; a stated currency wins."""
-    number = raw.try_cast("decimal(18,2)")
-    money = text.parse_money(raw)
     code = F.upper(F.substring(currency, 1, 3))
-    code = F.when(code.rlike("^[A-Z]{3}$"), code)
-    return F.when(number.isNotNull(), F.struct(code.alias("currency"), F.when(number >= 0, number).alias("amount"))).when(money.isNotNull(), F.struct(F.coalesce(code, money["currency"]).alias("currency"), money["amount"].alias("amount")))
+    parts = F.struct(raw.try_cast("decimal(18,2)").alias("number"), text.parse_money(raw).alias("money"), F.when(code.rlike("^[A-Z]{3}$"), code).alias("code"))
+
+    def chosen(p: Column) -> Column:
+        plain = F.struct(p["code"].alias("currency"), F.when(p["number"] >= 0, p["number"]).alias("amount"))
+        return F.when(p["number"].isNotNull(), plain).when(p["money"].isNotNull(), F.struct(F.coalesce(p["code"], p["money"]["currency"]).alias("currency"), p["money"]["amount"].alias("amount")))
+
+    return text.let(parts, chosen)
 
 
 def extract_contact(fields: Column) -> Column:
@@ -53,7 +56,8 @@ def extract_contact(fields: Column) -> Column:
     name = get("contact_name", "contact_person", "contact")
     email = F.lower(F.coalesce(get("contact_email", "email"), F.get(text.extract_emails(blob), F.lit(0))))
     phone = F.coalesce(get("contact_phone", "telephone", "phone"), F.get(text.extract_phones(blob), F.lit(0)))
-    return F.when(F.coalesce(name, email, phone).isNotNull(), F.struct(name.alias("name"), email.alias("email"), phone.alias("phone"), get("contact_role").alias("role"), get("organization").alias("organization")))
+    whole = F.struct(name.alias("name"), email.alias("email"), phone.alias("phone"), get("contact_role").alias("role"), get("organization").alias("organization"))
+    return text.let(whole, lambda c: F.when(F.coalesce(c["name"], c["email"], c["phone"]).isNotNull(), c))
 
 
 def confidence(published: Column, closing: Column, reference: Column) -> Column:

@@ -58,7 +58,12 @@ def f1(t: Tables) -> DataFrame:
     return out.select("id", "title", "status", "procurement_type", told("published_at"), "estimated_value")
 
 
-@query_of("f1_by_district_and_text", "SELECT id, title FROM opportunities WHERE NOT is_fixture AND municipality_id IN (SELECT m.id FROM municipalities m JOIN districts d ON m.district_id = d.id WHERE d.code = 'D2') AND (contains(lower(title), 'red') OR contains(lower(description), 'red') OR contains(lower(reference_number), 'red')) AND (contains(lower(title), 'economy') OR contains(lower(description), 'economy') OR contains(lower(reference_number), 'economy'))")
+@query_of(
+    "f1_by_district_and_text",
+    """WITH o AS MATERIALIZED (SELECT id, title, municipality_id, lower(concat_ws(' | ', title, description, reference_number)) AS words FROM opportunities WHERE NOT is_fixture),
+       t AS (SELECT m.id FROM municipalities m JOIN districts d ON m.district_id = d.id WHERE d.code = 'D2')
+       SELECT o.id, o.title FROM o JOIN t ON t.id = o.municipality_id WHERE contains(words, 'red') AND contains(words, 'economy')""",
+)
 def f1b(t: Tables) -> DataFrame:
     return query.list_tenders(t.opportunities, query.TenderFilter(district="d2", text="red economy"), {"districts": t.districts, "municipalities": t.municipalities}).select("id", "title")
 
@@ -186,8 +191,7 @@ def j4(t: Tables) -> DataFrame:
 def j5(t: Tables) -> DataFrame:
     links = classify.assign_categories(t.opportunities, categories(t))
     out = query.tender_detail(t.opportunities, t.contacts, t.doc_texts, links, categories(t))
-    ordered = F.array_sort("categories", lambda a, b: F.locate(F.substring(a, 1, 1), F.lit("fmj")) - F.locate(F.substring(b, 1, 1), F.lit("fmj"))) if False else F.col("categories")
-    names = F.array_join(F.filter(F.array(F.lit("fasteners"), F.lit("machinery"), F.lit("jewellery")), lambda x: F.array_contains(ordered, x)), ",")
+    names = F.array_join(F.filter(F.array(F.lit("fasteners"), F.lit("machinery"), F.lit("jewellery")), lambda x: F.array_contains("categories", x)), ",")
     return out.select("id", F.col("contact.name").alias("contact"), F.coalesce(F.size("documents"), F.lit(0)).cast("bigint").alias("documents"), F.coalesce(names, F.lit("")).alias("categories"))
 
 
