@@ -297,9 +297,9 @@ def a10(t: Tables) -> DataFrame:
 # --- columns -------------------------------------------------------------------------------------------------------
 
 
-@query_of("n1_clean_text", r"SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g'), '') AS cleaned FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query_of("n1_clean_text", r"SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00A0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g'), '') AS cleaned FROM documents")
 def n1(t: Tables) -> DataFrame:
-    return t.documents.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return t.documents.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query_of("n2_n3_truncate_words", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS collapsed, length(text) > 80 AS cut FROM documents")
@@ -583,12 +583,14 @@ def d9(t: Tables) -> DataFrame:
     return dedup.duplicate_review_queue(noted).select("id", "candidate_id", "candidate_title", "confidence")
 
 
-@query_of("d11_duplicate_candidates", r"""WITH p AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand) AS t FROM part WHERE p_partkey % 10 = 0), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS w FROM p),
+@query_of("d11_duplicate_candidates", r"""WITH p AS (SELECT min(p_partkey) AS id, lower(p_name || ' ' || p_brand) AS t FROM part GROUP BY 2), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS w FROM p),
   g AS (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS g FROM w, range(1, 60) r(i) WHERE i <= length(w) + 1), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
   x AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
   SELECT left_id, right_id, CAST(c AS DOUBLE) / (na.n + nb.n - c) AS similarity FROM x JOIN n na ON na.id = left_id JOIN n nb ON nb.id = right_id WHERE CAST(c AS DOUBLE) / (na.n + nb.n - c) > 0.8""")
 def d11(t: Tables) -> DataFrame:
-    return similarity.duplicate_candidates(t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title")), 0.8)
+    # equal titles are one: their copies need not be expanded into pairs
+    titles = t.part.groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("title")).agg(F.min("p_partkey").alias("id"))
+    return similarity.duplicate_candidates(titles, 0.8)
 
 
 @query_of("d12_dedup_contacts", f"SELECT {_CONTACT} AS fingerprint, min(id) AS contact_id, count(*) AS records FROM contacts GROUP BY 1")
