@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import text_chunks
 
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 _LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + rb"]+|[0-9]|[^\s" + _LETTERS + rb"0-9]+")
@@ -43,16 +43,18 @@ def byte_symbols() -> list[str]:
 
 
 class Remembered(dict):
-    """A dict that computes what it lacks and starts anew when it is full."""
+    """A dict that computes what it lacks. When it is half full it becomes the old half; what is used comes back."""
 
     def __init__(self, compute):  # noqa: ANN001
         super().__init__()
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED // 2:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.compute(key)
+        value = self.old.get(key)
+        self[key] = value = self.compute(key) if value is None else value
         return value
 
 
@@ -69,6 +71,7 @@ class Bpe:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.codes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_str(source)
@@ -77,7 +80,8 @@ class Bpe:
         self.inside = {p for t in self.vocab for p in self._pairs(self.units(t[: -len(self.suffix)], True) if self.suffix and t.endswith(self.suffix) else list(t))}
         self.fragments = Remembered(self._merge)
         self.words = Remembered(self._word)
-        self.plain = Remembered(lambda w: self._word("".join(self.symbols[b] for b in w.decode("latin-1").encode())))
+        latin = {c: "".join(self.symbols[b] for b in chr(c).encode()) for c in range(256)}
+        self.plain = Remembered(lambda w: self._word(w.decode("latin-1").translate(latin)))
 
     @staticmethod
     def _pairs(units: list[str]) -> Iterator[tuple[str, str]]:
@@ -91,15 +95,39 @@ class Bpe:
 
     def pieces(self, word: str) -> list[tuple[str, ...]]:
         """A word's fragments between its forced boundaries."""
-        units = self.units(word, True)
-        at = [0, *(i + 1 for i, p in enumerate(self._pairs(units)) if p not in self.inside), len(units)]
-        return [tuple(units[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        units, inside = self.units(word, True), self.inside
+        cuts = [i for i, p in enumerate(zip(units, units[1:], strict=False), 1) if p not in inside]
+        if not cuts:
+            return [tuple(units)]
+        return [tuple(units[a:b]) for a, b in zip([0, *cuts], [*cuts, len(units)], strict=True)]
 
     def _word(self, word: str) -> bytes:
-        return b"".join([self.fragments[p] for p in self.pieces(word)])
+        pieces = self.pieces(word)
+        if len(pieces) == 1:  # remembered as a word
+            return self._merge(pieces[0])
+        return b"".join([self.fragments[p] for p in pieces])
 
     def _merge(self, units: tuple[str, ...]) -> bytes:
         """Ids of a fragment: always the lowest rank, then the leftmost pair."""
+        if len(units) > 64:
+            return self._merge_long(units)
+        part, none, get = list(units), len(self.ranks), self.ranks.get
+        ranks = [get(p, none) for p in self._pairs(part)]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
+                break
+            i = ranks.index(rank)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((part[i - 1], part[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((part[i], part[i + 1]), none)
+        return b"".join([self.codes[t] for t in part])
+
+    def _merge_long(self, units: tuple[str, ...]) -> bytes:
+        """The same by a heap, for fragments of any length."""
         part: list[str | None] = list(units)
         n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -117,7 +145,7 @@ class Bpe:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (r := self.ranks.get(p := (part[a], part[b]))) is not None:
                     heapq.heappush(heap, (r, a, p))
-        return np.array([self.vocab[t] for t in part if t is not None], "<u4").tobytes()
+        return b"".join([self.codes[t] for t in part if t is not None])
 
     def _piece(self, text: str) -> bytes:
         try:
