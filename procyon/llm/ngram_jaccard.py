@@ -7,10 +7,11 @@ tokens first, by a count sketch of fixed size over all documents, so that passag
 1. Sketch: one pass counts tokens by 18 bits of their hash (summed by bucket; 2^18 numbers in all).
 2. Sets: one pass gives each row's set size, set hash and prefix. Equal sets collapse to one vertex, and vertices with
    the same size and prefix to one group; only groups are dealt out by token.
-3. Round one joins each group with the group before it on each token's list (ordered by size), and each vertex with the
-   one before it in its group; per vertex only its nearest few by bitmap go on. Verified pairs give components.
-4. Round two takes all pairs on the lists, members of groups expanded, whose components still differ: a big class of
-   near copies is one component by then, so its pairs are not emitted; no link between different components is lost.
+3. A few turns join each group with the group before it on each token's list (by size, then in orders of chance), and
+   each vertex with the one before it in its group; per vertex only its nearest by bitmap goes on. Verified pairs give
+   components, and lists that hold one component only are done. Groups whose members fall apart are taken apart.
+4. At the end all pairs on the lists left are taken, members of groups expanded, whose components differ: a big class
+   of near copies is one component by then, so its pairs are not emitted; no link between components is lost.
 
 A pair is verified exactly: a parity bitmap bounds the overlap from above, then the sets are intersected.
 
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import components, gram_hashes, mix, save, text_buffers, text_chunks, word_hashes
 
 SKETCH_BITS, BITMAP = 18, 1024
-NEAREST = 2
+NEAREST, TURNS = 1, 3
+BLOOM_BITS = 23
 
 
 def shingles(chunk: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +76,27 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """A class of 0 to 63 for each bucket: how far, by steps of a fifth, its count is above the mean."""
+def rarity(counts: np.ndarray, steps: float = 25) -> np.ndarray:
+    """A class of 0 to 63 for each bucket: how far its count is above the mean, by so many steps to a factor of e."""
     mean = max(counts.sum() / max((counts > 0).sum(), 1), 1)
-    return np.clip(np.log(np.maximum(counts, 1) / mean) / np.log(1.2), 0, 63).astype(np.uint64)
+    return np.clip(np.log(np.maximum(counts, 1) / mean) * steps, 0, 63).astype(np.uint64)
 
 
 def _bitmap(own: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((mix(own) >> np.uint64(64 - 10)).astype(np.int64), minlength=BITMAP) & 1).tobytes()
+    """The parity of the tokens in each of 1024 hash ranges, of more for large sets; halves of ranges fold by XOR."""
+    bits = 10 + max(0, (len(own) // 1500).bit_length())
+    return np.packbits(np.bincount((mix(own) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """How many ranges differ, in the finer of the two bitmaps folded to the other's ranges."""
+    p, q = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
+    while len(p) != len(q):
+        if len(p) > len(q):
+            p = p[::2] ^ p[1::2]
+        else:
+            q = q[::2] ^ q[1::2]
+    return int(np.count_nonzero(p != q))
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
@@ -114,18 +129,38 @@ def prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, bitmap binary")
 
 
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size, 1 MB, over ids (doc_id): with more ids it only lets more others through."""
+    spots = ids.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 64 - BLOOM_BITS) for k in (1, 2)])).alias("spot"))
+    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose sets link. Sets are made from the texts of the documents in pairs alone."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    """The pairs (a, b) of vertices whose sets link.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
-            sets, begin = shingles(chunk, k)
-            own = [sets[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "tokens"])
+    Sets are made from the texts again, in one pass that a Bloom filter of the pairs' ids lets few documents through,
+    so that no text is shuffled; each set is shuffled to its pairs.
+    """
+    wanted = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted))  # 1 MB
 
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, tokens binary")
-    sets = save(sets.distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for spot in ("s1", "s2"):
+                at = batch.column(spot).to_numpy()
+                hit &= (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+            for chunk in text_chunks([batch.filter(pa.array(hit))]):
+                sets, begin = shingles(chunk, k)
+                own = [sets[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "tokens"])
+
+    spots = [F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(i)), 64 - BLOOM_BITS).alias(f"s{i}") for i in (1, 2)]
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *spots).mapInArrow(run, "doc_id bigint, tokens binary").join(wanted, "doc_id", "left_semi")
 
     @F.pandas_udf("boolean")
     def linked(x, y):  # noqa: ANN001, ANN202
@@ -134,7 +169,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-        return x.__class__(out)
+        return x.__class__(out, dtype=bool)
 
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return save(joined.where(linked("x", "y")).select("a", "b").distinct())
@@ -146,10 +181,14 @@ def _near(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("int")
     def apart(x, y):  # noqa: ANN001, ANN202
-        if not len(x):
-            return x.__class__([], dtype="int32")
-        p, q = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (x, y))
-        return x.__class__(np.bitwise_count(p ^ q).sum(1, dtype=np.int32))
+        plain = np.array([len(p) == len(q) == BITMAP // 8 for p, q in zip(x, y, strict=True)], bool)
+        out = np.zeros(len(x), np.int32)
+        if plain.any():
+            p, q = (np.frombuffer(b"".join(v[plain]), np.uint64).reshape(int(plain.sum()), -1) for v in (x, y))
+            out[plain] = np.bitwise_count(p ^ q).sum(1, dtype=np.int32)
+        for i in np.flatnonzero(~plain):
+            out[i] = _apart(x.iloc[i], y.iloc[i])
+        return x.__class__(out)
 
     rows = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rows = rows.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
@@ -158,6 +197,23 @@ def _near(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     return rows.where((100 + percent) * (F.col("na") + F.col("nb") - F.col("apart")) >= 2 * percent * (F.col("na") + F.col("nb"))).select("a", "b", "apart")
 
 
+def _unsettled(listed: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of the lists on which more than one component stands, with their component."""
+    rows = listed.join(label, "head", "left").withColumn("component", F.coalesce("component", "head"))
+    several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    return rows.join(several, "token", "left_semi")
+
+
+def _split_apart(listed: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """listed with each member of its own, on all its tokens, for groups whose members are of several components."""
+    m = sets.select("gid", "doc_id").join(label.withColumnRenamed("head", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    apart = save(m.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gid"))
+    if apart.isEmpty():
+        return listed
+    own = sets.join(apart, "gid", "left_semi").select(F.xxhash64("gid", "doc_id").alias("gid"), "n", F.col("doc_id").alias("head"), F.posexplode("prefix").alias("pos", "token"))
+    return save(listed.join(apart, "gid", "left_anti").select(*own.columns).union(own))
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, components): rows (doc_id, n, s1, s2) of docs, and (node, component) of the doc_ids that link."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -168,25 +224,38 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
     sets = save(sets.withColumn("gid", F.xxhash64("n", "prefix")))
     same = ided.select("doc_id", "n", "s1", "s2").join(sets.select("n", "s1", "s2", F.col("doc_id").alias("rep")), ["n", "s1", "s2"]).where("doc_id != rep").select("doc_id", "rep")
     groups = sets.groupBy("gid", "n").agg(F.min("doc_id").alias("head"), F.min_by("prefix", "doc_id").alias("prefix"))
-    posts = groups.select("gid", "n", "head", F.explode("prefix").alias("token"))
-    by_token = W.partitionBy("token").orderBy("n", "gid")
-    listed = posts.withColumn("before", F.lag("head").over(by_token)).withColumn("after", F.lead("head").over(by_token))
-    listed = save(listed.where("before IS NOT NULL OR after IS NOT NULL"))
+    posts = groups.select("gid", "n", "head", F.posexplode("prefix").alias("pos", "token"))
+    size = F.count("*").over(W.partitionBy("token"))
+    listed = save(posts.withColumn("together", size).where("together > 1").drop("together"))
     vertices = sets.select("doc_id", "n", "bitmap")
-    chain = sets.select("gid", "doc_id").withColumn("before", F.lag("doc_id").over(W.partitionBy("gid").orderBy("doc_id"))).where("before IS NOT NULL")
-    first = listed.where("before IS NOT NULL").select(F.col("head").alias("a"), F.col("before").alias("b")).union(chain.select("doc_id", "before"))
-    near = _near(first, vertices, percent).withColumn("place", F.row_number().over(W.partitionBy("b").orderBy("apart", "a"))).where(F.col("place") <= NEAREST)
-    edges = _verified(save(near.select("a", "b")), docs, k, percent)
-    found = components(edges.toDF("src", "dst"))
-    # Round two: lists on which components still differ, with groups expanded to their members.
     member = sets.select("gid", "doc_id")
-    label = found.toDF("doc_id", "component")
-    rest = listed.select("token", "gid", "n").join(member, "gid").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    rest = save(rest.join(several, "token", "left_semi").select("token", "n", "doc_id", "component"))
-    x, y = rest.toDF("token", "na", "a", "ca"), rest.toDF("token", "nb", "b", "cb")
-    pairs = x.join(y, "token").where("a < b AND ca != cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    more = save(_near(pairs, vertices, percent).select("a", "b").join(edges, ["a", "b"], "left_anti"))
+    chain = member.withColumn("before", F.lag("doc_id").over(W.partitionBy("gid").orderBy("doc_id"))).where("before IS NOT NULL")
+    edges = label = None
+    rest = listed.withColumn("component", F.col("head"))
+    for turn in range(TURNS):
+        # Each group with the one before it on its lists: by size at first, then in other orders of chance.
+        order = W.partitionBy("token").orderBy(*(("n", "gid") if turn == 0 else (F.xxhash64("gid", F.lit(turn)), "gid")))
+        beside = rest.withColumn("b", F.lag("head").over(order)).withColumn("cb", F.lag("component").over(order)).where("cb != component")
+        pairs = beside.select(F.col("head").alias("a"), "b")
+        near = _near(pairs.union(chain.select("doc_id", "before")) if turn == 0 else pairs, vertices, percent)
+        place = [F.row_number().over(W.partitionBy(side).orderBy("apart", "a", "b")) for side in ("a", "b")]
+        near = save(near.withColumn("pa", place[0]).withColumn("pb", place[1]).where(F.least("pa", "pb") <= NEAREST).select("a", "b"))
+        new = near if near.isEmpty() else _verified(near, docs, k, percent)
+        edges = new if edges is None else edges.union(new)
+        if turn and new.isEmpty():
+            break
+        label = components(edges.toDF("src", "dst")).toDF("head", "component")
+        if turn == 0:
+            listed = _split_apart(listed, sets, label)
+        rest = save(_unsettled(listed, label))
+    # All pairs on the lists whose components still differ, with groups expanded to their members.
+    rest = rest.select("token", "n", "pos", "gid", "head").join(member, "gid", "left").withColumn("doc_id", F.coalesce("doc_id", "head")).join(label.withColumnRenamed("head", "doc_id"), "doc_id", "left")
+    rest = save(rest.select("token", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    x, y = rest.toDF("token", "na", "pa", "a", "ca"), rest.toDF("token", "nb", "pb", "b", "cb")
+    pairs = x.join(y, "token").where("a < b AND ca != cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # The first token that a linked pair has in common leaves enough tokens behind it in both sets.
+    pairs = pairs.where((100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    more = save(_near(pairs, vertices, percent).select("a", "b"))
     if not more.isEmpty():
         edges = edges.union(_verified(more, docs, k, percent))
     return rows.select("doc_id", "n", "s1", "s2"), components(edges.toDF("src", "dst").union(same))

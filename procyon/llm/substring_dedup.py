@@ -35,7 +35,7 @@ from .common import gram_hashes, mix, save, text_buffers, text_chunks, word_hash
 from .fm_index import FmIndex
 from .ngram_jaccard import SKETCH_BITS, rarity
 
-WINDOW, GRAM = 13, 6
+WINDOW, GRAM, STEPS = 13, 6, 5.5
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -126,7 +126,7 @@ def base_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     total = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2^18 rows at most
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[total["bucket"].to_numpy()] = total["n"].to_numpy()
-    return both.where("bucket IS NULL").select("doc_id", "check", "n_words", "digest"), rarity(counts)
+    return both.where("bucket IS NULL").select("doc_id", "check", "n_words", "digest"), rarity(counts, STEPS)
 
 
 def shared_keys(docs: DataFrame, order: np.ndarray) -> DataFrame:

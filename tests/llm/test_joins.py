@@ -100,7 +100,8 @@ def test_fm_index_finds_what_a_scan_finds():
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, x) for x in range(5001, 5200)] + [(7, 7), (8, 9), (9, 8)]
-    got = {x.node: x.component for x in common.components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    got, large = ({x.node: x.component for x in common.components(spark.createDataFrame(edges, "src bigint, dst bigint"), small).collect()} for small in (1 << 16, 0))
+    assert got == large
     nodes = {n for e in edges if e[0] != e[1] for n in e}
     assert got == components(nodes, [e for e in edges if e[0] != e[1]])
     assert common.components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
