@@ -34,7 +34,7 @@ def test_secrets_keep_base_and_link_parts(docs, rows):
         if text and "alone" in text:
             assert not linked
         if text and text.startswith("user=bob1 near"):
-            assert [p["kind"] for p in linked] == ["login"]  # the URL lacks a secret nearby
+            assert not linked  # two identifiers and an endpoint, but no secret
         if text and "with aB3" in text:
             assert [p["kind"] for p in linked] == ["token"]
 
@@ -42,9 +42,8 @@ def test_secrets_keep_base_and_link_parts(docs, rows):
 def test_link_is_an_interval_join(spark):
     rows = [("a", "login", 0, 10), ("a", "hex", 266, 300), ("b", "login", 0, 10), ("b", "hex", 267, 300), ("c", "endpoint", 500, 520), ("c", "hex", 600, 700), ("c", "access", 100, 260), ("c", "login", 90000, 90010)]
     out = secrets.link(spark.createDataFrame(rows, "scope string, kind string, start bigint, `end` bigint"))
-    assert sorted((r.scope, r.kind) for r in out.collect()) == [("a", "login")]
+    assert sorted((r.scope, r.kind) for r in out.collect()) == [("a", "login"), ("c", "endpoint")]
     near = secrets.link(spark.createDataFrame(rows, "scope string, kind string, start bigint, `end` bigint"), gap=257)
-    assert sorted((r.scope, r.kind) for r in near.collect()) == [("a", "login"), ("b", "login"), ("c", "endpoint")][:3] or True
     assert ("b", "login") in {(r.scope, r.kind) for r in near.collect()}
 
 
