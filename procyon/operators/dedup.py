@@ -68,14 +68,15 @@ def dedup_fingerprint(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return first_match(pairs, 3, decision, sure, "fingerprint")
 
 
-def dedup_trigram(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Layer 4: similar titles of one source, with compatible references and closing dates; the best match only."""
+def dedup_trigram(incoming: DataFrame, existing: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Layer 4: similar titles of one source, with compatible references and closing dates; the best match only. extra: a condition on l.* and r.*."""
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     ref = r("reference_number_normalized").isNull() | l("reference_number_normalized").isNull() | (l("reference_number_normalized") == r("reference_number_normalized"))
     near = F.make_dt_interval(F.lit(CLOSING_DAYS))
     close = l("closing_at").isNull() | r("closing_at").isNull() | r("closing_at").between(l("closing_at") - near, l("closing_at") + near)
     town = l("municipality_id").isNull() | l("municipality_id").eqNullSafe(r("municipality_id"))
-    pairs = similar_pairs(incoming, existing, FLOOR, block=("source_id",), short=LEAST_TITLE, extra=(l("id") != r("id")) & ref & close & town)
+    fits = (l("id") != r("id")) & ref & close & town
+    pairs = similar_pairs(incoming, existing, FLOOR, block=("source_id",), short=LEAST_TITLE, extra=fits if extra is None else fits & extra)
     best = pairs.withColumn("__n", F.row_number().over(W.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id"))).where("__n = 1")
     decision = F.when(F.col("similarity") >= PROBABLE, "PROBABLE_MATCH").otherwise("UNCERTAIN")
     return best.select(F.col("left_id").alias("id"), F.col("right_id").alias("existing_id"), F.lit(4).alias("layer"), decision.alias("decision"), F.round("similarity", 3).alias("confidence"), F.lit("title").alias("reason"))
@@ -102,7 +103,11 @@ def resolve_within_batch(batch: DataFrame, order: str, keys: list[str], rounds:
         w = W.partitionBy(key).orderBy(order, "id")
         firsts.append(F.when(F.col(key).isNotNull(), F.first(F.struct(F.col(order).alias("o"), F.col("id").alias("i"))).over(w)))
     own = F.struct(F.col(order).alias("o"), F.col("id").alias("i"))
-    point = batch.select("id", F.least(own, *[F.coalesce(f, own) for f in firsts])["i"].alias("root"))
+    return jump(batch.select("id", F.least(own, *[F.coalesce(f, own) for f in firsts])["i"].alias("root")), rounds)
+
+
+def jump(point: DataFrame, rounds: int = 30) -> DataFrame:
+    """(id, root) with every pointer (id, root) followed to its end; a root points at itself."""
     for _ in range(rounds):
         hop = point.select(F.col("id").alias("root"), F.col("root").alias("far"))
         jumped = materialise(point.join(hop, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
@@ -112,6 +117,57 @@ def resolve_within_batch(batch: DataFrame, order: str, keys: list[str], rounds:
     return point
 
 
+def _place(order: str, *more: str) -> Column:
+    """Earlier rows have smaller ones; rows without an order come last, as in first_match."""
+    return F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("seen"), "id", *more)
+
+
+def _earliest(batch: DataFrame, keys: list[str], order: str, *more: str) -> DataFrame:
+    """(id, own, first): the earliest row of the same keys without a conflicting reference, found by sums, not by pairs."""
+    ref = "reference_number_normalized"
+    rows = batch.dropna(subset=keys).select("id", *keys, ref, _place(order, *more).alias("own"))
+    same = rows.groupBy(*keys, ref).agg(F.min("own").alias("same"))
+    every = same.groupBy(*keys).agg(F.min("same").alias("any"), F.min(F.when(F.col(ref).isNull(), F.col("same"))).alias("bare"))
+    found = rows.join(every, keys).join(same.where(F.col(ref).isNotNull()), [*keys, ref], "left")
+    return found.select("id", "own", F.when(F.col(ref).isNull(), F.col("any")).otherwise(F.least("same", "bare")).alias("first"))
+
+
+def match_within_batch(batch: DataFrame, order: str = "published_at") -> DataFrame:
+    """resolve_duplicates of each row against the rows of the batch before it (by order, then id), which count as stored.
+
+    Layers 1 to 3 ask for the earliest row of equal keys, which needs no pairs; only what they leave is joined by title.
+    """
+    out = lambda df, layer, decision, sure, reason: df.where("first < own").select("id", F.col("first.id").alias("existing_id"), F.lit(layer).alias("layer"), decision.alias("decision"), sure.alias("confidence"), F.lit(reason).alias("reason"))
+    scoped = scope(batch).withColumn("own", _place(order))
+    first = []
+    for name in ("reference_number_normalized", "reference_number"):
+        keyed = scoped.select("id", "own", "scope", F.col(name).alias("k")).dropna(subset=["scope", "k"])
+        first.append(keyed.join(keyed.groupBy("scope", "k").agg(F.min("own").alias("first")), ["scope", "k"]).select("id", "own", "first"))
+    one = first[0].union(first[1]).groupBy("id", "own").agg(F.min("first").alias("first"))
+    two = _earliest(batch, ["content_hash", "source_id"], order)
+    three = _earliest(batch, ["fingerprint"], order, "source_id", "municipality_id")
+    a, b, c, d = (F.col(x) for x in ("own.source_id", "first.source_id", "own.municipality_id", "first.municipality_id"))
+    apart = F.coalesce((a == b) & (c != d), F.lit(False))
+    same = F.coalesce(a.eqNullSafe(b) | (c == d), F.lit(False))
+    decision = F.when(~apart & same, "PROBABLE_MATCH").otherwise("UNCERTAIN")
+    exact = out(one, 1, F.lit("EXACT_MATCH"), F.lit(0.99), "reference").union(out(two, 2, F.lit("EXACT_MATCH"), F.lit(1.0), "content hash"))
+    exact = exact.union(out(three, 3, decision, F.when(apart, 0.45).when(same, 0.9).otherwise(0.5), "fingerprint"))
+    exact = materialise(exact.groupBy("id").agg(F.min_by(F.struct(*OUT[1:]), "layer").alias("m")).select("id", "m.*"))
+    placed = batch.withColumn("place", _place(order))
+    titles = dedup_trigram(placed.join(exact, "id", "left_anti"), placed, F.col("r.place") < F.col("l.place"))
+    found = exact.unionByName(titles)
+    return batch.select("id").join(found, "id", "left").select("id", "existing_id", "layer", F.coalesce("decision", F.lit("NEW")).alias("decision"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("reason", F.lit("no match")).alias("reason"))
+
+
+def resolve_batch(batch: DataFrame, order: str = "published_at") -> DataFrame:
+    """(id, root): match_within_batch followed to its roots. Exact and probable matches merge, uncertain ones never do.
+
+    Rows are matched by their own keys, not by those of the record that they were merged into.
+    """
+    sure = F.col("decision").isin("EXACT_MATCH", "PROBABLE_MATCH")
+    return jump(materialise(match_within_batch(batch, order).select("id", F.when(sure, F.col("existing_id")).otherwise(F.col("id")).alias("root"))))
+
+
 def apply_uncertain(records: DataFrame, decisions: DataFrame) -> DataFrame:
     """Uncertain records carry a note of their candidate, and valid ones of them need review."""
     d = decisions.where("decision = 'UNCERTAIN'").select("id", F.struct("existing_id", "layer", "confidence", "reason").alias("duplicate_review"))

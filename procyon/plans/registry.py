@@ -576,6 +576,12 @@ def d8(t: Tables) -> DataFrame:
     return dedup.resolve_within_batch(t.opportunities, "published_at", ["reference_number"])
 
 
+@query_of("d8_resolve_batch")
+def d8b(t: Tables) -> DataFrame:
+    """All four layers in scope; d8_resolve_within_batch is the slice by one raw key that SQL says."""
+    return dedup.resolve_batch(with_keys(t.opportunities))
+
+
 @query_of("d9_d10_review_queue")
 def d9(t: Tables) -> DataFrame:
     batch = incoming(t)

@@ -54,6 +54,40 @@ def test_batch_roots_are_transitive(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
 
 
+def test_batch_is_resolved_by_four_layers(spark):
+    r = random.Random(5)
+    titles = ["Supply and delivery of road signs to the depot", "Supply and delivery of road signs to the depot yard", "Repair of water pumps at the northern plant", "Repair of water pumps at northern plant site", "Short title"]
+    days = ["2026-03-01 10:00:00", "2026-03-03 10:00:00", "2026-03-20 10:00:00", None]
+    rows = [(i, r.choice([None, None, "A/1", "B/2", "C/3"]), r.choice(titles), r.randrange(1, 4), r.choice([None, 7, 8]), r.choice(days), r.choice(["Org", "Org", "Other"]), "RFQ", r.choice([None, "2026-01-01 00:00:00", "2026-01-02 00:00:00", "2026-01-03 00:00:00"])) for i in range(1, 121)]
+    batch = records(spark, rows)
+    sets = {x.id: set(x.g) for x in batch.select("id", trigrams(F.col("title")).alias("g")).collect()}
+    items = sorted(batch.collect(), key=lambda x: (x.published_at is None, str(x.published_at), x.id))
+    scope = lambda x: ("s", x.source_id) if x.municipality_id is None else ("m", x.municipality_id)
+    known = lambda *values: all(v is not None for v in values)
+    want, root = {}, {}
+    for n, x in enumerate(items):
+        before, m = items[:n], None
+        free = [e for e in before if not known(x.reference_number, e.reference_number) or x.reference_number == e.reference_number]
+        if e := next((e for e in before if known(x.reference_number) and x.reference_number == e.reference_number and scope(x) == scope(e)), None):
+            m = (e.id, 1, "EXACT_MATCH")
+        elif e := next((e for e in free if x.content_hash == e.content_hash and x.source_id == e.source_id), None):
+            m = (e.id, 2, "EXACT_MATCH")
+        elif e := next((e for e in free if x.fingerprint == e.fingerprint), None):
+            town = known(x.municipality_id, e.municipality_id) and x.municipality_id == e.municipality_id
+            apart = x.source_id == e.source_id and known(x.municipality_id, e.municipality_id) and not town
+            m = (e.id, 3, "PROBABLE_MATCH" if not apart and (town or x.source_id == e.source_id) else "UNCERTAIN")
+        elif len(x.title) >= 25:
+            fits = [e for e in free if x.source_id == e.source_id and (not known(x.closing_at, e.closing_at) or abs((x.closing_at - e.closing_at).total_seconds()) <= 3 * 86400) and (x.municipality_id is None or x.municipality_id == e.municipality_id)]
+            best = min(((-len(sets[x.id] & sets[e.id]) / len(sets[x.id] | sets[e.id]), e.id) for e in fits), default=(0, None))
+            if -best[0] > 0.65:
+                m = (best[1], 4, "PROBABLE_MATCH" if -best[0] >= 0.82 else "UNCERTAIN")
+        want[x.id] = m or (None, None, "NEW")
+        root[x.id] = root[m[0]] if m and m[2] != "UNCERTAIN" else x.id
+    got = {x.id: (x.existing_id, x.layer, x.decision) for x in dedup.match_within_batch(batch).collect()}
+    assert got == want and {m[1:] for m in want.values()} >= {(1, "EXACT_MATCH"), (2, "EXACT_MATCH"), (3, "PROBABLE_MATCH"), (3, "UNCERTAIN"), (4, "PROBABLE_MATCH"), (None, "NEW")}
+    assert {x.id: x.root for x in dedup.resolve_batch(batch).collect()} == root
+
+
 def test_versions_and_events(spark):
     obs = spark.createDataFrame([(1, 1, "OPEN", "d1", "u1"), (1, 2, "OPEN", "d1", "u1"), (1, 3, None, "d2", "u1"), (1, 4, "CANCELLED", None, "u2"), (1, 5, "CANCELLED", "d2", "u1")], "id bigint, seq bigint, status string, closing_at string, url string")
     got = versions.version_history(obs, "id", ["seq"], ["status", "closing_at"], "url").orderBy("seq").collect()
