@@ -506,10 +506,15 @@ _IN = """SELECT id + 10000000 AS id, reference_number, CASE WHEN id % 8 = 0 THEN
 
 
 def incoming(t: Tables) -> DataFrame:
-    """Stand-in batch: a quarter of the opportunities seen again, some without reference, renamed, or from another source."""
+    """The quarter of seen_again that the SQL of d1, d2, d3, d6 and d7_exact_layers takes."""
+    return seen_again(t).where(F.col("id") % 4 == 0)
+
+
+def seen_again(t: Tables) -> DataFrame:
+    """Stand-in batch: all opportunities seen again, some without reference, renamed, or from another source."""
     i = F.col("id")
     ref = F.when(i % 8 != 0, F.col("reference_number_normalized"))
-    out = t.opportunities.where(i % 4 == 0).withColumn("reference_number", F.when(i % 8 != 0, F.col("reference_number"))).withColumn("reference_number_normalized", ref)
+    out = t.opportunities.withColumn("reference_number", F.when(i % 8 != 0, F.col("reference_number"))).withColumn("reference_number_normalized", ref)
     out = out.withColumn("title", F.when(i % 16 == 4, F.concat("title", F.lit(" amended"))).otherwise(F.col("title"))).withColumn("source_id", F.when(i % 12 == 0, F.col("source_id") + 1).otherwise(F.col("source_id")))
     return with_keys(out.withColumn("id", i + 10_000_000))
 
@@ -532,6 +537,7 @@ _APART = "(i.source_id = o.source_id AND i.municipality_id IS NOT NULL AND o.mun
 _D3 = f"""d3 AS (SELECT i.id, o.id AS existing_id, 3 AS layer, CASE WHEN {_APART} THEN 'UNCERTAIN' WHEN coalesce(i.source_id = o.source_id OR i.municipality_id = o.municipality_id, false) THEN 'PROBABLE_MATCH' ELSE 'UNCERTAIN' END AS decision,
   CAST(CASE WHEN {_APART} THEN 0.45 WHEN coalesce(i.source_id = o.source_id OR i.municipality_id = o.municipality_id, false) THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM i JOIN opportunities o ON {_DAYSAME} AND {_NOCLASH} QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY o.published_at, o.id) = 1)"""
 _COLS = ["id", "existing_id", "layer", "decision", "confidence"]
+_ALL = _INCOMING.replace(" WHERE id % 4 = 0", "")
 
 
 @query_of("d1_dedup_reference", f"WITH {_INCOMING}, {_D1} SELECT * FROM d1")
@@ -539,19 +545,34 @@ def d1(t: Tables) -> DataFrame:
     return dedup.dedup_reference(incoming(t), t.opportunities).select(*_COLS)
 
 
+@query_of("d1_dedup_reference_all", f"WITH {_ALL}, {_D1} SELECT * FROM d1")
+def d1_all(t: Tables) -> DataFrame:
+    return dedup.dedup_reference(seen_again(t), t.opportunities).select(*_COLS)
+
+
 @query_of("d2_dedup_content_hash", f"WITH {_INCOMING}, {_D2} SELECT * FROM d2")
 def d2(t: Tables) -> DataFrame:
     return dedup.dedup_content_hash(incoming(t), with_keys(t.opportunities)).select(*_COLS)
 
 
+@query_of("d2_dedup_content_hash_all", f"WITH {_ALL}, {_D2} SELECT * FROM d2")
+def d2_all(t: Tables) -> DataFrame:
+    return dedup.dedup_content_hash(seen_again(t), with_keys(t.opportunities)).select(*_COLS)
+
+
 @query_of("d3_dedup_fingerprint", f"WITH {_INCOMING}, {_D3} SELECT * FROM d3")
 def d3(t: Tables) -> DataFrame:
     return dedup.dedup_fingerprint(incoming(t), with_keys(t.opportunities)).select(*_COLS)
 
 
+@query_of("d3_dedup_fingerprint_all", f"WITH {_ALL}, {_D3} SELECT * FROM d3")
+def d3_all(t: Tables) -> DataFrame:
+    return dedup.dedup_fingerprint(seen_again(t), with_keys(t.opportunities)).select(*_COLS)
+
+
 @query_of("d4_dedup_trigram")
 def d4(t: Tables) -> DataFrame:
-    return dedup.dedup_trigram(incoming(t), t.opportunities).select(*_COLS)
+    return dedup.dedup_trigram(seen_again(t), t.opportunities).select(*_COLS)
 
 
 @query_of("d6_reference_conflict_guard", f"WITH {_INCOMING} SELECT i.id, count(*) AS candidates FROM i JOIN opportunities o ON {_DAYSAME} AND {_NOCLASH} GROUP BY 1")
@@ -560,9 +581,15 @@ def d6(t: Tables) -> DataFrame:
     return dedup.conflict_free(incoming(t).join(e, "fingerprint")).groupBy("id").agg(F.count("*").alias("candidates"))
 
 
+@query_of("d6_reference_conflict_guard_all", f"WITH {_ALL} SELECT i.id, count(*) AS candidates FROM i JOIN opportunities o ON {_DAYSAME} AND {_NOCLASH} GROUP BY 1")
+def d6_all(t: Tables) -> DataFrame:
+    e = with_keys(t.opportunities).select("fingerprint", F.col("reference_number_normalized").alias("e_reference"))
+    return dedup.conflict_free(seen_again(t).join(e, "fingerprint")).groupBy("id").agg(F.count("*").alias("candidates"))
+
+
 @query_of("d7_resolve_duplicates")
 def d7(t: Tables) -> DataFrame:
-    return dedup.resolve_duplicates(incoming(t), with_keys(t.opportunities)).select(*_COLS)
+    return dedup.resolve_duplicates(seen_again(t), with_keys(t.opportunities)).select(*_COLS)
 
 
 @query_of("d7_exact_layers", f"WITH {_INCOMING}, {_D1}, {_D2}, {_D3}, a AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) SELECT layer, decision, count(*) AS n FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer) = 1) GROUP BY 1, 2")
@@ -571,6 +598,12 @@ def d7b(t: Tables) -> DataFrame:
     return stats.dedup_decision_report(out.where("layer <= 3"))
 
 
+@query_of("d7_exact_layers_all", f"WITH {_ALL}, {_D1}, {_D2}, {_D3}, a AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) SELECT layer, decision, count(*) AS n FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer) = 1) GROUP BY 1, 2")
+def d7b_all(t: Tables) -> DataFrame:
+    out = dedup.resolve_duplicates(seen_again(t), with_keys(t.opportunities))
+    return stats.dedup_decision_report(out.where("layer <= 3"))
+
+
 @query_of("d8_resolve_within_batch", "SELECT id, first_value(id) OVER (PARTITION BY reference_number ORDER BY published_at, id) AS root FROM opportunities")
 def d8(t: Tables) -> DataFrame:
     return dedup.resolve_within_batch(t.opportunities, "published_at", ["reference_number"])
@@ -584,7 +617,7 @@ def d8b(t: Tables) -> DataFrame:
 
 @query_of("d9_d10_review_queue")
 def d9(t: Tables) -> DataFrame:
-    batch = incoming(t)
+    batch = seen_again(t)
     noted = dedup.apply_uncertain(batch.unionByName(with_keys(t.opportunities)), dedup.resolve_duplicates(batch, with_keys(t.opportunities)))
     return dedup.duplicate_review_queue(noted).select("id", "candidate_id", "candidate_title", "confidence")
 

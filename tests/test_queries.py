@@ -30,6 +30,20 @@ def test_sql_agrees(spark, name):
     assert shown(QUERIES[name](spark, SF).toPandas()) == shown(con.sql(SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["d1_dedup_reference_all", "d2_dedup_content_hash_all", "d3_dedup_fingerprint_all", "d6_reference_conflict_guard_all", "d7_exact_layers_all"])
+def test_whole_batch(spark, name):
+    test_sql_agrees(spark, name)
+
+
+def test_every_opportunity_is_looked_up(spark):
+    from procyon.model import load
+
+    ids = {r.id + 10_000_000 for r in load(spark, SF, "opportunities").select("id").collect()}
+    rows = QUERIES["d7_resolve_duplicates"](spark, SF).collect()
+    assert {r.id for r in rows} == ids and len(rows) == len(ids)
+    assert len({r.id % 4 for r in QUERIES["d4_dedup_trigram"](spark, SF).select("id").collect()}) == 4
+
+
 def test_stream_versions_equal_batch(spark):
     from pyspark.sql import functions as F
 
