@@ -41,3 +41,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, key: str = "i
 def duplicate_candidates(df: DataFrame, least: float, key: str = "id", title: str = "title", block: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of a table, smaller id first."""
     return similar_pairs(df, df, least, key, title, block, extra=F.col(f"l.{key}") < F.col(f"r.{key}"))
+
+
+def duplicate_classes(df: DataFrame, least: float, key: str = "id", title: str = "title") -> DataFrame:
+    """(kind, left_id, right_id, similarity): 'member' rows give every row (right) its representative (left), the smallest
+    id of its title in lower case; 'pair' rows are the duplicate_candidates of representatives. Missing titles stay apart.
+    """
+    rows = df.select(F.col(key).alias("id"), F.lower(title).alias("title"))
+    kept = rows.where("title IS NOT NULL").groupBy("title").agg(F.min("id").alias("first"))
+    members = rows.join(kept, "title", "left").select(F.lit("member").alias("kind"), F.coalesce("first", "id").alias("left_id"), F.col("id").alias("right_id"), F.lit(None).cast("double").alias("similarity"))
+    pairs = duplicate_candidates(kept.select(F.col("first").alias("id"), "title"), least)
+    return pairs.select(F.lit("pair").alias("kind"), "left_id", "right_id", "similarity").union(members)

@@ -632,6 +632,17 @@ def d11(t: Tables) -> DataFrame:
     return similarity.duplicate_candidates(titles, 0.8)
 
 
+@query_of("d11_duplicate_classes", r"""WITH p AS (SELECT min(p_partkey) AS id, lower(p_name || ' ' || p_brand) AS t FROM part GROUP BY 2), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS w FROM p),
+  g AS (SELECT DISTINCT id, substr('  ' || w || ' ', i, 3) AS g FROM w, range(1, 60) r(i) WHERE i <= length(w) + 1), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+  x AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+  m AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY lower(p_name || ' ' || p_brand)) AS first FROM part)
+  SELECT 'pair' AS kind, left_id, right_id, CAST(c AS DOUBLE) / (na.n + nb.n - c) AS similarity FROM x JOIN n na ON na.id = left_id JOIN n nb ON nb.id = right_id WHERE CAST(c AS DOUBLE) / (na.n + nb.n - c) > 0.8
+  UNION ALL SELECT 'member', first, id, CAST(NULL AS DOUBLE) FROM m""")
+def d11_classes(t: Tables) -> DataFrame:
+    """Pairs of representatives, and the representative (left_id) of every part (right_id), its own included."""
+    return similarity.duplicate_classes(t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title")), 0.8)
+
+
 @query_of("d12_dedup_contacts", f"SELECT {_CONTACT} AS fingerprint, min(id) AS contact_id, count(*) AS records FROM contacts GROUP BY 1")
 def d12(t: Tables) -> DataFrame:
     return dedup.dedup_contacts(t.contacts)[0].select("fingerprint", F.col("id").alias("contact_id"), "records")

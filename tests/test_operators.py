@@ -25,6 +25,12 @@ def test_similarity_join_equals_all_pairs(spark):
         assert got == want and want
 
 
+def test_equal_titles_keep_their_members(spark):
+    df = spark.createDataFrame([(3, "Road signs"), (1, "road signs"), (2, "Water pumps"), (7, "road signs"), (9, None), (8, None), (4, "Street lights"), (5, "Street lights")], "id bigint, title string")
+    got = [tuple(x) for x in similarity.duplicate_classes(df, 0.8).collect()]
+    assert {x[1:3] for x in got if x[0] == "member"} == {(1, 1), (1, 3), (1, 7), (2, 2), (4, 4), (4, 5), (8, 8), (9, 9)} and len(got) == 8
+
+
 def records(spark, rows):
     from procyon.plans.registry import with_keys
 

@@ -35,6 +35,12 @@ def test_whole_batch(spark, name):
     test_sql_agrees(spark, name)
 
 
+def test_every_part_has_a_class(spark):
+    test_sql_agrees(spark, "d11_duplicate_classes")
+    rows = QUERIES["d11_duplicate_classes"](spark, SF).where("kind = 'member'").collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
 def test_every_opportunity_is_looked_up(spark):
     from procyon.model import load
 
