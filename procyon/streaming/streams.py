@@ -33,7 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """What a stream yields for the data that is there. keys: in update mode, the latest row of each."""
+    """What a stream yields for the data that is there. keys: in update mode, the latest row of each.
+
+    In append mode windows that the watermark has not passed are missing; in complete mode each batch replaces the last.
+    """
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -42,6 +45,8 @@ def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | Non
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("__batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("__batch").alias("__batch"))), "__batch", "left_semi")
     if keys:
         out = out.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("__batch").desc()))).where("__n = 1").drop("__n")
     return out.drop("__batch")

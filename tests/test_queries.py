@@ -62,6 +62,21 @@ def test_stream_versions_equal_batch(spark):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
 
 
+def test_open_sessions_are_there(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    test_sql_agrees(spark, "t7_edit_sessions")
+    # users 1 and 2 are active in the last minutes; a gap of just 30 minutes is no break
+    at = [(1, "10:00:00"), (1, "10:30:00"), (1, "11:00:01"), (2, "11:00:00"), (3, "08:00:00")]
+    events = spark.createDataFrame([(i, u, "edit", f"2024-01-01 {t}", 1.0, "") for i, (u, t) in enumerate(at)], "event_id bigint, user_id bigint, event_type string, ts string, value double, props string")
+    events.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    (part,) = (tmp_path / "events.parquet").glob("part-*.parquet")
+    (tmp_path / "one").mkdir()
+    part.rename(tmp_path / "one/events.parquet")
+    got = {tuple(r) for r in QUERIES["t7_edit_sessions"](spark, str(tmp_path / "one")).collect()}
+    assert got == {(1, "2024-01-01 10:00:00", 2), (1, "2024-01-01 11:00:01", 1), (2, "2024-01-01 11:00:00", 1), (3, "2024-01-01 08:00:00", 1)}
+
+
 def test_stale_alerts(spark):
     rows = QUERIES["t8_stale_alerts"](spark, SF).collect()
     assert all(r.last_success_ms > 0 for r in rows)
