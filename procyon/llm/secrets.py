@@ -11,6 +11,7 @@ rows; extra columns, whatever their names, are ignored by `scan` and kept by `re
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,15 +59,20 @@ def parts_of(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def _outside(weak: list[tuple], taken: list[tuple[int, int]]) -> list[tuple]:
-    """The weak parts that overlap no strong one, in one sweep."""
-    kept, i, reach = [], 0, -1
-    for w in sorted(weak):
-        while i < len(taken) and taken[i][0] < w[3]:
-            reach = max(reach, taken[i][1])
-            i += 1
-        if reach <= w[0]:
-            kept.append(w)
-    return kept
+    """The weak parts that overlap no strong one (taken, sorted): each is looked up among the merged strong intervals."""
+    starts, ends = [], []
+    for a, b in taken:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(w: tuple) -> bool:
+        i = bisect_right(ends, w[0])  # the first interval that ends behind the start of w
+        return i == len(ends) or starts[i] >= w[3]
+
+    return [w for w in sorted(weak) if free(w)]
 
 
 _PART = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())])

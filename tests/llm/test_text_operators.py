@@ -39,6 +39,23 @@ def test_secrets_keep_base_and_link_parts(docs, rows):
             assert [p["kind"] for p in linked] == ["token"]
 
 
+def test_weak_part_within_a_longer_one_is_linked(spark):
+    token, key = "aB3" + "xY7z" * 9 + "q", "AKIA" + "ABCDEFGH" * 2
+    text = f"see https://host/v-{token}.x/{key} there"
+    parts = secrets.parts_of(text)
+    assert [(text[a:b], kind) for a, _, kind, b in parts] == [(token, "token"), (key, "access")]
+    (row,) = secrets.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert row.text == "see https://host/v-[token].x/[access] there"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 15))), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 15))))
+def test_outside_equals_all_pairs(weak, taken):
+    weak = [(a, 3, "login", a + n) for a, n in weak]
+    taken = sorted((a, a + n) for a, n in taken)
+    assert secrets._outside(weak, taken) == [w for w in sorted(weak) if not any(a < w[3] and b > w[0] for a, b in taken)]
+
+
 def test_link_is_an_interval_join(spark):
     rows = [("a", "login", 0, 10), ("a", "hex", 266, 300), ("b", "login", 0, 10), ("b", "hex", 267, 300), ("c", "endpoint", 500, 520), ("c", "hex", 600, 700), ("c", "access", 100, 260), ("c", "login", 90000, 90010)]
     out = secrets.link(spark.createDataFrame(rows, "scope string, kind string, start bigint, `end` bigint"))
