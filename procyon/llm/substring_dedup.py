@@ -96,6 +96,9 @@ def _dealt(docs: DataFrame, order: np.ndarray, emit: Callable, extra: str = "")
 
 
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each value of bucket; nothing for an empty array."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
@@ -155,7 +158,7 @@ def shared_keys(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 yield b, 0, pack(deltas(doc[i]).astype("<i8"), s.check[row[i]].astype("<u4"), k32[i], several[group[i]].astype("u1"))
         # Kind 1: settled here, dealt out evenly by row.
         i = np.flatnonzero(several[group] & once)
-        for b, j in _slices(mix(row[i].astype(np.uint64) + key[i[:1]].sum()).astype(np.int64) % buckets if len(i) else np.zeros(0, np.int64)):
+        for b, j in _slices(mix(row[i].astype(np.uint64) + key[i[:1]].sum()).astype(np.int64) % buckets):
             own = i[j][np.argsort(row[i[j]], kind="stable")]
             yield b, 1, pack(deltas(doc[own]).astype("<i8"), s.check[row[own]].astype("<u4"), k32[own], np.ones(len(own), "u1"))
 
@@ -225,7 +228,7 @@ def shared_spans(docs: DataFrame, order: np.ndarray) -> DataFrame:
             yield b, 0, pack(doc[i], s.check[row[i]].astype("<u4"), place[i].astype("<u4"), digest[i], size[heads].astype("<u4"), names, dense.astype("<u4").view("u1").reshape(-1, 4).T.ravel())
         # Kind 1: the others go as a whole; settled here, dealt out evenly.
         i = np.flatnonzero(doc != least)
-        for b, j in _slices(mix(row[i].astype(np.uint64) + key[:1].sum()).astype(np.int64) % buckets if len(i) else np.zeros(0, np.int64)):
+        for b, j in _slices(mix(row[i].astype(np.uint64) + key[:1].sum()).astype(np.int64) % buckets):
             j = i[j]
             yield b, 1, pack(doc[j], s.check[row[j]].astype("<u4"), place[j].astype("<u4"), size[j].astype("<u4"))
 
