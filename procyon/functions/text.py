@@ -7,9 +7,9 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import MapType, StringType
 
 # Patterns and symbols that decide what is recognised.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -23,9 +23,40 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is evaluated once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _nfkc_values(maps: pd.Series) -> pd.Series:
+    return maps.map(lambda m: None if m is None else {k: None if v is None else unicodedata.normalize("NFKC", v) for k, v in dict(m).items()})
+
+
+def nfkc_values(fields: Column) -> Column:
+    """A map with compatibility-normalised values; only maps with non-ASCII characters are sent to Python."""
+    return F.coalesce(_nfkc_values(F.when(F.array_join(F.map_values(fields), "").rlike(r"[^\x00-\x7F]"), fields)), fields)
+
+
+#: A first value, and steps that each make the next value of the last one.
+Chain = tuple[Column, list[Callable[[Column], Column]]]
+
+
+def nest(first: Column, steps: list[Callable[[Column], Column]]) -> Column:
+    """A chain as one expression; each value is evaluated once, however often the next step uses it.
+
+    Spark evaluates the steps outside generated code: for hot paths there is `stage`.
+    """
+    for step in steps:
+        first = F.get(F.transform(F.array(first), step), F.lit(0))
+    return first
+
+
+def stage(df: DataFrame, chains: dict[str, Chain]) -> DataFrame:
+    """df with the results of chains as columns, by one projection for each step, in generated code."""
+    for i in range(1 + max(len(steps) for _, steps in chains.values())):
+        df = df.withColumns({name: steps[i - 1](F.col(name)) if i else first for name, (first, steps) in chains.items() if i <= len(steps)})
+    return df
+
+
+def filled(text: Column) -> Column:
+    """Null for an empty text. It holds its argument once, so that expressions do not grow with each use of it."""
+    return F.get(F.array_remove(F.array(text), ""), F.lit(0))
 
 
 def nfkc(text: Column) -> Column:
@@ -33,18 +64,23 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+# What is cleaned, in order.
+CLEANING = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\r\n?", "\n"), (r"[ \t\x{00A0}]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+$", ""))
+
+
 def clean_text(text: Column, most: int | None = None, unicode: bool = True) -> Column:
     """Control characters dropped, blanks collapsed by line, at most one empty line in a row, trimmed; '' is null."""
     out = nfkc(text) if unicode else text
-    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    out = F.regexp_replace(out, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[ \t\x{00A0}]+", " ")
-    out = F.regexp_replace(out, r" ?\n ?", "\n")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    for pattern, instead in CLEANING:
+        out = F.regexp_replace(out, pattern, instead)
     if most is not None:
-        out = F.when(F.length(out) > most, F.regexp_replace(F.substring(out, 1, most), r"\s+$", "")).otherwise(out)
-    return F.nullif(out, F.lit(""))
+        out = F.regexp_replace(F.substring(out, 1, most), r"\s+$", "")
+    return filled(out)
+
+
+def has_text(text: Column) -> Column:
+    """Whether clean_text leaves anything: a character that is neither a control nor a blank, also after NFKC."""
+    return F.coalesce(text.rlike(r"[^\x00-\x20\x7F\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"), F.lit(False))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -73,12 +109,13 @@ def normalize_reference(reference: Column, unicode: bool = True) -> Column:
     """The comparison key of a reference number."""
     out = F.upper(nfkc(reference) if unicode else reference)
     out = F.regexp_replace(F.regexp_replace(out, r"[^A-Z0-9/\-]", ""), r"[/\-]{2,}", "/")
-    return F.nullif(F.regexp_replace(out, r"^[/\-]+|[/\-]+$", ""), F.lit(""))
+    return filled(F.regexp_replace(out, r"^[/\-]+|[/\-]+$", ""))
 
 
-def parse_money(text: Column) -> Column:
-    """struct(currency, amount): the first amount with a currency; commas and points told apart."""
+def money_chain(text: Column) -> Chain:
+    """parse_money in steps."""
     currencies = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
+    first = F.struct(F.upper(F.regexp_extract(text, MONEY, 1)).alias("symbol"), F.replace(F.regexp_extract(text, MONEY, 2), F.lit(" "), F.lit("")).alias("raw"))
 
     def plain(m: Column) -> Column:
         raw = m["raw"]
@@ -88,8 +125,12 @@ def parse_money(text: Column) -> Column:
         out = out.when(comma & (F.length(F.substring_index(raw, ",", -1)) == 2), F.translate(raw, ",", ".")).when(comma, F.translate(raw, ",", "")).otherwise(raw)
         return F.struct(F.coalesce(F.try_element_at(currencies, m["symbol"]), m["symbol"]).alias("currency"), out.try_cast("decimal(18,2)").alias("amount"))
 
-    found = F.struct(F.upper(F.regexp_extract(text, MONEY, 1)).alias("symbol"), F.replace(F.regexp_extract(text, MONEY, 2), F.lit(" "), F.lit("")).alias("raw"))
-    return let(let(found, plain), lambda m: F.when(m["amount"].isNotNull(), m))
+    return first, [plain, lambda m: F.when(m["amount"].isNotNull(), m)]
+
+
+def parse_money(text: Column) -> Column:
+    """struct(currency, amount): the first amount with a currency; commas and points told apart."""
+    return nest(*money_chain(text))
 
 
 def slugify(text: Column, most: int = 200) -> Column:
@@ -120,7 +161,8 @@ def visible_text(html: Column) -> Column:
 
 
 def first_meaningful_line(text: Column, least: int = 12, most: int = 300) -> Column:
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    """The first line that has `least` characters after cleaning, cut at `most`; null without one."""
+    lines = F.transform(F.split(text, r"\r\n?|\n"), lambda x: F.coalesce(clean_text(x, unicode=False), F.lit("")))
     return F.substring(F.get(F.filter(lines, lambda x: F.length(x) >= least), F.lit(0)), 1, most)
 
 
@@ -148,7 +190,7 @@ def parse_enum(value: Column, members: tuple[str, ...], fallback: str) -> Column
 
 def first_present(fields: Column, *keys: str) -> Column:
     """The first value of a map's keys that is neither absent nor empty."""
-    return F.coalesce(*[F.nullif(F.try_element_at(fields, F.lit(k)), F.lit("")) for k in keys])
+    return F.coalesce(*[filled(F.try_element_at(fields, F.lit(k))) for k in keys])
 
 
 def first_rule(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import Chain, filled, nest
+
 # Parameters without meaning for a page's identity, allowed ports, literal private ranges (first, last).
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "mc_cid", "mc_eid", "_ga")
 PORTS = (80, 443, 8080, 8443)
@@ -22,29 +24,44 @@ def is_http_url(url: Column) -> Column:
     return F.coalesce(F.lower(part(url, "scheme")).isin("http", "https") & (part(url, "authority") != ""), F.lit(False))
 
 
-def resolve(url: Column, base: Column) -> Column:
-    """An absolute URL from one that may be relative to base."""
-    root = F.concat(part(base, "scheme"), F.lit("://"), part(base, "authority"))
-    folder = F.regexp_replace(part(base, "path"), r"[^/]*$", "")
-    joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), url)
-    out = F.when(part(url, "scheme") != "", url).when(url.startswith("//"), F.concat(part(base, "scheme"), F.lit(":"), url))
-    out = out.when(url.startswith("/"), F.concat(root, url)).when(url.startswith("?"), F.concat(root, part(base, "path"), url)).otherwise(F.concat(root, joined))
-    for _ in range(4):
-        out = F.regexp_replace(out, r"/(?!\.\.?/)[^/:?#]+/\.\./", "/")
-    return F.regexp_replace(out, r"/\./", "/")
+def url_chain(url: Column, base: Column | None = None) -> Chain:
+    """normalize_url in steps."""
+    whole = F.struct(filled(F.trim(url)).alias("url"), (F.lit(None).cast("string") if base is None else base).alias("base"))
+
+    def split(p: Column) -> Column:
+        return F.struct(p["url"].alias("url"), part(p["url"], "scheme").alias("own"), *[part(p["base"], c).alias(c) for c in ("scheme", "authority", "path")])
+
+    def resolve(p: Column) -> Column:
+        """An absolute URL from one that may be relative to base."""
+        url, root = p["url"], F.concat(p["scheme"], F.lit("://"), p["authority"])
+        folder = F.regexp_replace(p["path"], r"[^/]*$", "")
+        joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), url)
+        out = F.when(p["own"] != "", url).when(url.startswith("//"), F.concat(p["scheme"], F.lit(":"), url))
+        return out.when(url.startswith("/"), F.concat(root, url)).when(url.startswith("?"), F.concat(root, p["path"], url)).otherwise(F.concat(root, joined))
+
+    def climb(url: Column) -> Column:
+        out = url
+        for _ in range(4):
+            out = F.regexp_replace(out, r"/(?!\.\.?/)[^/:?#]+/\.\./", "/")
+        return F.when(F.contains(url, F.lit("/.")), F.regexp_replace(out, r"/\./", "/")).otherwise(url)
+
+    def parts(url: Column) -> Column:
+        return F.struct(F.lower(part(url, "scheme")).alias("scheme"), F.lower(part(url, "authority")).alias("authority"), part(url, "path").alias("path"), part(url, "query").alias("query"))
+
+    def build(p: Column) -> Column:
+        scheme, authority = p["scheme"], p["authority"]
+        host = F.when(scheme == "http", F.regexp_replace(authority, r":80$", "")).when(scheme == "https", F.regexp_replace(authority, r":443$", "")).otherwise(authority)
+        kept = F.filter(F.split(F.substring(p["query"], 2, 1 << 20), "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*TRACKING))
+        query = F.when(p["query"] == "", "").otherwise(F.regexp_replace(F.concat(F.lit("?"), F.array_join(kept, "&")), r"^\?$", ""))
+        good = scheme.isin("http", "https") & (authority != "") & ~F.contains(authority, F.lit("@"))
+        return F.when(good, F.concat(scheme, F.lit("://"), host, F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), query))
+
+    return whole, [*([] if base is None else [split, resolve, climb]), *([lambda p: p["url"]] if base is None else []), parts, build]
 
 
 def normalize_url(url: Column, base: Column | None = None) -> Column:
     """Scheme and host in lower case, default port, fragment and tracking dropped; credentials or no host give null."""
-    raw = F.nullif(F.trim(url), F.lit(""))
-    raw = resolve(raw, base) if base is not None else raw
-    scheme, authority = F.lower(part(raw, "scheme")), F.lower(part(raw, "authority"))
-    host = F.when(scheme == "http", F.regexp_replace(authority, r":80$", "")).when(scheme == "https", F.regexp_replace(authority, r":443$", "")).otherwise(authority)
-    path = F.when(part(raw, "path") == "", F.lit("/")).otherwise(part(raw, "path"))
-    kept = F.filter(F.split(F.substring(part(raw, "query"), 2, 1 << 20), "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*TRACKING))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    good = scheme.isin("http", "https") & (authority != "") & ~F.contains(authority, F.lit("@"))
-    return F.when(good, F.concat(scheme, F.lit("://"), host, path, query))
+    return nest(*url_chain(url, base))
 
 
 def _number(ip: Column) -> Column:
@@ -56,7 +73,7 @@ def url_policy(url: Column) -> Column:
     """struct(ok, reason): scheme, host, credentials, port and literal addresses."""
     scheme, authority = F.lower(part(url, "scheme")), F.lower(part(url, "authority"))
     host = F.regexp_replace(F.substring_index(authority, "@", -1), r":[0-9]*$", "")
-    port = F.nullif(F.regexp_extract(authority, r":([0-9]*)$", 1), F.lit("")).try_cast("int")
+    port = filled(F.regexp_extract(authority, r":([0-9]*)$", 1)).try_cast("int")
     number = F.when(host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _number(host))
     value = lambda ip: sum(int(x) * 256 ** (3 - i) for i, x in enumerate(ip.split(".")))
     private = F.lit(False)
@@ -73,7 +90,7 @@ def same_host(a: Column, b: Column) -> Column:
 
 
 def filename_from_url(url: Column) -> Column:
-    return F.nullif(F.substring_index(part(url, "path"), "/", -1), F.lit(""))
+    return filled(F.substring_index(part(url, "path"), "/", -1))
 
 
 def with_query(url: Column, query: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +40,42 @@ def briefing_compulsory(words: Column) -> Column:
     return F.when(text.contains_any(words, BRIEFING), F.when(text.contains_any(words, OPTIONAL), False).when(text.contains_any(words, COMPULSORY), True))
 
 
-def estimated_value(raw: Column, currency: Column) -> Column:
-    """struct(currency, amount): a plain number (negative: none) or an amount in text; a stated currency wins."""
+def value_chain(raw: Column, currency: Column) -> text.Chain:
+    """struct(currency, amount) in steps: a plain number (negative: none) or an amount in text; a stated currency wins."""
     code = F.upper(F.substring(currency, 1, 3))
-    parts = F.struct(raw.try_cast("decimal(18,2)").alias("number"), text.parse_money(raw).alias("money"), F.when(code.rlike("^[A-Z]{3}$"), code).alias("code"))
+    found, steps = text.money_chain(raw)
+    first = F.struct(raw.try_cast("decimal(18,2)").alias("number"), F.when(code.rlike("^[A-Z]{3}$"), code).alias("code"), found.alias("money"))
+
+    def within(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda p: F.struct(p["number"].alias("number"), p["code"].alias("code"), step(p["money"]).alias("money"))
 
     def chosen(p: Column) -> Column:
         plain = F.struct(p["code"].alias("currency"), F.when(p["number"] >= 0, p["number"]).alias("amount"))
         return F.when(p["number"].isNotNull(), plain).when(p["money"].isNotNull(), F.struct(F.coalesce(p["code"], p["money"]["currency"]).alias("currency"), p["money"]["amount"].alias("amount")))
 
-    return text.let(parts, chosen)
+    return first, [*map(within, steps), chosen]
 
 
-def extract_contact(fields: Column) -> Column:
-    get = lambda *k: F.nullif(F.trim(text.first_present(fields, *k)), F.lit(""))
+def estimated_value(raw: Column, currency: Column) -> Column:
+    return text.nest(*value_chain(raw, currency))
+
+
+def contact_chain(fields: Column) -> text.Chain:
+    """struct(name, email, phone, role, organization) in steps; null without a name, an address and a number."""
+    get = lambda *k: text.filled(F.trim(text.first_present(fields, *k)))
     blob = F.concat_ws(" ", *[F.try_element_at(fields, F.lit(k)) for k in ("description", "contact", "details")])
-    name = get("contact_name", "contact_person", "contact")
-    email = F.lower(F.coalesce(get("contact_email", "email"), F.get(text.extract_emails(blob), F.lit(0))))
-    phone = F.coalesce(get("contact_phone", "telephone", "phone"), F.get(text.extract_phones(blob), F.lit(0)))
-    whole = F.struct(name.alias("name"), email.alias("email"), phone.alias("phone"), get("contact_role").alias("role"), get("organization").alias("organization"))
-    return text.let(whole, lambda c: F.when(F.coalesce(c["name"], c["email"], c["phone"]).isNotNull(), c))
+    first = F.struct(get("contact_name", "contact_person", "contact").alias("name"), get("contact_email", "email").alias("email"), get("contact_phone", "telephone", "phone").alias("phone"), get("contact_role").alias("role"), get("organization").alias("organization"), blob.alias("blob"))
+
+    def look(c: Column) -> Column:
+        email = F.lower(F.coalesce(c["email"], text.filled(F.regexp_extract(c["blob"], text.EMAIL, 0))))
+        phone = F.coalesce(c["phone"], text.filled(F.regexp_replace(F.regexp_extract(c["blob"], text.PHONE, 0), r"[\s\-().]", "")))
+        return F.struct(c["name"].alias("name"), email.alias("email"), phone.alias("phone"), c["role"].alias("role"), c["organization"].alias("organization"))
+
+    return first, [look, lambda c: F.when(F.coalesce(c["name"], c["email"], c["phone"]).isNotNull(), c)]
+
+
+def extract_contact(fields: Column) -> Column:
+    return text.nest(*contact_chain(fields))
 
 
 def confidence(published: Column, closing: Column, reference: Column) -> Column:
@@ -70,36 +88,37 @@ def normalize_items(items: DataFrame, sources: DataFrame, as_of: str, unicode: b
     sources are joined by id (a small table is broadcast by its size); a blank title is a reject.
     """
     f = F.col("fields")
-    get = lambda *k: text.clean_text(text.first_present(f, *k), unicode=unicode)
+    get = lambda *k, most=None: (text.clean_text(text.first_present(F.col("plain"), *k), most, unicode=False), [])
     now = F.to_timestamp_ntz(F.lit(as_of))
     src = sources.select(F.col("id").alias("source_id"), *[(F.col(c) if c in sources.columns else F.lit(None).cast(t)).alias(f"s_{c}") for c, t in (("source_timezone", "string"), ("organization", "string"), ("municipality_id", "long"), ("province_id", "long"), ("base_url", "string"))])
-    rows = items.join(src, "source_id", "left").withColumn("title", text.clean_text(text.first_present(f, "title", "name", "subject"), MOST_TITLE, unicode))
-    rejects = rows.where("title IS NULL").select("source_id", "source_url", F.lit("NORMALIZE").alias("stage"), F.lit("MISSING_TITLE").alias("code"))
-    zone = F.coalesce("s_source_timezone", F.lit(dates.ZONE))
-    rows = rows.where("title IS NOT NULL").select(
-        "source_id", "source_url", "fields", "title", zone.alias("source_timezone"), "s_base_url", "s_organization", F.col("s_municipality_id").alias("municipality_id"), F.col("s_province_id").alias("province_id"),
-        *[F.col(c) for c in ("documents",) if c in items.columns],
-        get("external_id", "id").alias("external_id"), get("reference_number", "reference", "tender_number", "bid_number").alias("reference_number"),
-        text.clean_text(text.first_present(f, "description", "summary", "details", "body"), MOST_DESCRIPTION, unicode).alias("description"),
-        dates.parse_datetime(text.first_present(f, "published_at", "publication_date", "advertised_date", "date"), zone).alias("published"),
-        dates.parse_closing_datetime(text.first_present(f, "closing_at", "closing_date", "close_date", "deadline"), zone).alias("closing"),
-        dates.parse_datetime(text.first_present(f, "briefing_date", "briefing", "site_meeting_date"), zone).alias("briefing"),
-        get("briefing_location", "briefing_venue", "venue").alias("briefing_location"),
-        estimated_value(text.first_present(f, "estimated_value", "value", "budget", "amount"), text.first_present(f, "currency")).alias("money"),
-    )
-    url = lambda k: urls.normalize_url(F.try_element_at(f, F.lit(k)), F.col("s_base_url"))
+    # A test of the raw title, not of the cleaned one: the filter is pushed below the join, and takes its expression along.
+    named = text.has_text(text.first_present(f, "title", "name", "subject"))
+    rejects = items.where(~named).select("source_id", "source_url", F.lit("NORMALIZE").alias("stage"), F.lit("MISSING_TITLE").alias("code"))
+    rows = items.where(named).join(src, "source_id", "left").withColumns({"source_timezone": F.coalesce("s_source_timezone", F.lit(dates.ZONE)), "municipality_id": F.col("s_municipality_id"), "province_id": F.col("s_province_id"), "given_url": F.col("source_url"), "plain": text.nfkc_values(f) if unicode else f})
+    zone = F.col("source_timezone")
+    url = lambda k: urls.url_chain(F.try_element_at(f, F.lit(k)), F.col("s_base_url"))
+    rows = text.stage(rows, {
+        "title": get("title", "name", "subject", most=MOST_TITLE), "external_id": get("external_id", "id"), "reference_number": get("reference_number", "reference", "tender_number", "bid_number"),
+        "description": get("description", "summary", "details", "body", most=MOST_DESCRIPTION), "own_organization": get("organization", "department", "buyer"),
+        "briefing_location": get("briefing_location", "briefing_venue", "venue"), "submission_method": get("submission_method", "submission"), "submission_address": get("submission_address", "delivery_address"),
+        "published": dates.datetime_chain(text.first_present(f, "published_at", "publication_date", "advertised_date", "date"), zone),
+        "closing": dates.datetime_chain(text.first_present(f, "closing_at", "closing_date", "close_date", "deadline"), zone, dates.END_OF_DAY),
+        "briefing": dates.datetime_chain(text.first_present(f, "briefing_date", "briefing", "site_meeting_date"), zone),
+        "money": value_chain(text.first_present(f, "estimated_value", "value", "budget", "amount"), text.first_present(f, "currency")),
+        "contact": contact_chain(f),
+        "submission_url": url("submission_url"), "canonical_url": url("canonical_url"), "page_url": urls.url_chain(F.col("given_url"), F.coalesce("s_base_url", "given_url")),
+    })
     words = F.concat_ws(" ", *[F.try_element_at(f, F.lit(k)) for k in ("briefing_required", "briefing_location", "briefing", "description")])
     raw = F.map_filter(F.create_map(*[x for n, c in (("published_at", "published"), ("closing_at", "closing"), ("briefing_date", "briefing")) for x in (F.lit(n), F.struct(F.col(f"{c}.raw").alias("raw"), F.col(f"{c}.zone").alias("timezone"), F.col(f"{c}.has_time").alias("has_time")))]), lambda k, v: v["raw"].isNotNull())
     out = rows.select(
-        "source_id", "external_id", "reference_number", text.normalize_reference(F.col("reference_number"), unicode).alias("reference_number_normalized"), "title", "description",
+        "source_id", "external_id", "reference_number", text.normalize_reference(F.col("reference_number"), unicode=False).alias("reference_number_normalized"), "title", "description",
         infer_type(text.first_present(f, "procurement_type", "type", "category_type"), F.col("title"), F.col("description")).alias("procurement_type"),
         infer_status(text.first_present(f, "status", "state"), F.col("title"), F.col("closing.value"), now).alias("status"),
-        F.coalesce(get("organization", "department", "buyer"), "s_organization").alias("organization"), "municipality_id", "province_id",
+        F.coalesce("own_organization", "s_organization").alias("organization"), "municipality_id", "province_id",
         F.col("published.value").alias("published_at"), F.col("closing.value").alias("closing_at"), "source_timezone", raw.alias("raw_dates"),
-        F.col("money.amount").alias("estimated_value"), F.col("money.currency").alias("currency"), get("submission_method", "submission").alias("submission_method"), url("submission_url").alias("submission_url"), get("submission_address", "delivery_address").alias("submission_address"),
+        F.col("money.amount").alias("estimated_value"), F.col("money.currency").alias("currency"), "submission_method", "submission_url", "submission_address",
         briefing_required(F.try_element_at(f, F.lit("briefing_required")), F.col("briefing.value"), F.col("briefing_location")).alias("briefing_required"), briefing_compulsory(words).alias("briefing_compulsory"),
-        F.col("briefing.value").alias("briefing_date"), "briefing_location", extract_contact(f).alias("contact"),
-        F.coalesce(urls.normalize_url(F.col("source_url"), F.coalesce("s_base_url", "source_url")), "s_base_url").alias("source_url"), url("canonical_url").alias("canonical_url"),
+        F.col("briefing.value").alias("briefing_date"), "briefing_location", "contact", F.coalesce("page_url", "s_base_url").alias("source_url"), "canonical_url",
         *[F.col(c) for c in ("documents",) if c in items.columns],
         confidence(F.col("published.confidence"), F.col("closing.confidence"), F.col("reference_number")).alias("confidence"),
     )

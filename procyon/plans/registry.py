@@ -416,9 +416,13 @@ def n24(t: Tables) -> DataFrame:
     return t.contacts.select("id", hashing.contact_fingerprint(*[F.col(c) for c in ("name", "email", "phone", "organization")]).alias("fingerprint"), hashing.short_hash(F.col("name")).alias("short"), hashing.storage_key(F.sha2("email", 256), F.lit("pdf")).alias("key"))
 
 
-@query_of("n25_first_line", "SELECT doc_id, substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 12)[1], 1, 300) AS line FROM documents")
+@query_of("n25_first_line", r"""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' 0 ' || chr(10) || '  12  ' || text WHEN 1 THEN 'x' || chr(13) || chr(10) || '0 1' || chr(9) || text || ' ' ELSE text END AS text FROM documents)
+  SELECT doc_id, substr(list_filter(list_transform(regexp_split_to_array(text, '\r\n?|\n'), lambda x: trim(regexp_replace(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t\x{00A0}]+', ' ', 'g'))), lambda x: length(x) >= 12)[1], 1, 300) AS line FROM d""")
 def n25(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.first_meaningful_line(F.col("text")).alias("line"))
+    """Stand-in lines begin with blanks and digits, and end in blanks."""
+    i, x = F.col("doc_id") % 3, F.col("text")
+    lines = F.when(i == 0, F.concat(F.lit(" 0 \n  12  "), x)).when(i == 1, F.concat(F.lit("x\r\n0 1\t"), x, F.lit(" "))).otherwise(x)
+    return t.documents.select("doc_id", text.first_meaningful_line(lines).alias("line"))
 
 
 _TYPES = (("RFQ", ("bolt",)), ("RFP", ("gear", "widget")), ("AUCTION", ("ring",)))
@@ -447,7 +451,8 @@ def raw_items(t: Tables) -> DataFrame:
     }
     fields = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     blank = F.when(F.col("id") % 101 == 0, F.map_filter(fields, lambda k, v: k != "title")).otherwise(fields)
-    return t.opportunities.select("id", "source_id", "source_url", blank.alias("fields"))
+    # a small file is one task: its items are dealt out before the work on each
+    return t.opportunities.select("id", "source_id", "source_url", blank.alias("fields")).repartition(t.spark.sparkContext.defaultParallelism)
 
 
 def normalized(t: Tables) -> DataFrame:
