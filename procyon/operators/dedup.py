@@ -27,45 +27,73 @@ def conflict_free(pairs: DataFrame) -> DataFrame:
     return pairs.where(a.isNull() | b.isNull() | (a == b))
 
 
-def first_match(pairs: DataFrame, layer: int, decision: Column, confidence: Column, reason: str) -> DataFrame:
-    """The earliest seen candidate of each incoming row, then the smallest id."""
-    order = W.partitionBy("id").orderBy(F.col("e_seen").asc_nulls_last(), "existing_id")
-    best = pairs.withColumn("decision", decision).withColumn("confidence", confidence).withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return best.select("id", "existing_id", F.lit(layer).alias("layer"), "decision", F.round("confidence", 3).alias("confidence"), F.lit(reason).alias("reason"))
+def _place(seen: Column, key: str = "id", *more: str) -> Column:
+    """Earlier rows have smaller ones; rows without a time come last, then the smaller id is first."""
+    return F.struct(seen.isNull().alias("last"), seen.alias("seen"), F.col(key).alias("id"), *more)
 
 
-def _existing(df: DataFrame, *more: str) -> DataFrame:
-    seen = F.col("first_seen_at") if "first_seen_at" in df.columns else F.col("published_at")
-    return df.select(F.col("id").alias("existing_id"), seen.alias("e_seen"), F.col("reference_number_normalized").alias("e_reference"), F.col("source_id").alias("e_source"), F.col("municipality_id").alias("e_municipality"), *more)
+def _seen(df: DataFrame) -> Column:
+    return F.col("first_seen_at") if "first_seen_at" in df.columns else F.col("published_at")
+
+
+def _two_earliest(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name_1, name_2): the earliest and the next place of each key, by sums that every task begins on its own."""
+    first = rows.groupBy(*keys).agg(F.min("place").alias("one"))
+    next_ = rows.join(first, keys).groupBy(*keys).agg(F.min("one").alias(f"{name}_1"), F.min(F.when(F.col("place") != F.col("one"), F.col("place"))).alias(f"{name}_2"))
+    return next_
+
+
+def _other(name: str) -> Column:
+    """The earlier of two places that is not the row itself."""
+    return F.when(F.col(f"{name}_1.id") != F.col("id"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_2"))
+
+
+def earliest_match(incoming: DataFrame, existing: DataFrame, keys: list[str], guard: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, first): the earliest seen existing row of equal keys, for the incoming rows that have one.
+
+    No pair of rows is made: existing rows are summed by key before the join, so that a key of very many rows is one
+    row there. guard: rows whose reference is present and differs do not match; then the earliest is looked up among
+    those of the same reference, those without one, or all, if the incoming row has none.
+    """
+    ref = "reference_number_normalized"
+    rows = existing.dropna(subset=keys).select(*keys, F.col(ref).alias("e_reference"), _place(_seen(existing), "id", *more).alias("place"))
+    every = _two_earliest(rows, keys, "every")
+    found = incoming.dropna(subset=keys).select("id", *keys, F.col(ref).alias("own_reference")).join(every, keys)
+    if not guard:
+        return found.select("id", _other("every").alias("first")).where("first IS NOT NULL")
+    bare = _two_earliest(rows.where("e_reference IS NULL"), keys, "bare")
+    same = _two_earliest(rows.where("e_reference IS NOT NULL"), [*keys, "e_reference"], "same").withColumnRenamed("e_reference", "own_reference")
+    found = found.join(bare, keys, "left").join(same, [*keys, "own_reference"], "left")
+    first = F.when(F.col("own_reference").isNull(), _other("every")).otherwise(F.least(_other("same"), _other("bare")))
+    return found.select("id", first.alias("first")).where("first IS NOT NULL")
+
+
+def _decided(found: DataFrame, layer: int, decision: Column, confidence: Column, reason: str) -> DataFrame:
+    return found.select("id", F.col("first.id").alias("existing_id"), F.lit(layer).alias("layer"), decision.alias("decision"), F.round(confidence, 3).alias("confidence"), F.lit(reason).alias("reason"))
 
 
 def dedup_reference(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Layer 1: the same normalised or raw reference in the same scope."""
     a, b = scope(incoming), scope(existing)
-    found = []
-    for name in ("reference_number_normalized", "reference_number"):
-        e = _existing(b, "scope", F.col(name).alias("k"))
-        found.append(a.withColumn("k", F.col(name)).join(e, ["scope", "k"]).where("id != existing_id").select("id", "existing_id", "e_seen"))
-    return first_match(found[0].union(found[1]).distinct(), 1, F.lit("EXACT_MATCH"), F.lit(0.99), "reference")
+    found = [earliest_match(a.withColumn("k", F.col(name)), b.withColumn("k", F.col(name)), ["scope", "k"], guard=False) for name in ("reference_number_normalized", "reference_number")]
+    first = found[0].union(found[1]).groupBy("id").agg(F.min("first").alias("first"))
+    return _decided(first, 1, F.lit("EXACT_MATCH"), F.lit(0.99), "reference")
 
 
 def dedup_content_hash(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Layer 2: the same content of the same source."""
-    e = _existing(existing, "content_hash")
-    pairs = incoming.join(e, "content_hash").where("id != existing_id AND source_id = e_source")
-    return first_match(conflict_free(pairs), 2, F.lit("EXACT_MATCH"), F.lit(1.0), "content hash")
+    return _decided(earliest_match(incoming, existing, ["content_hash", "source_id"]), 2, F.lit("EXACT_MATCH"), F.lit(1.0), "content hash")
 
 
 def dedup_fingerprint(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Layer 3: the same fingerprint; who issued both decides how sure it is."""
-    e = _existing(existing, "fingerprint")
-    pairs = conflict_free(incoming.join(e, "fingerprint").where("id != existing_id"))
-    source, town = F.col("source_id").eqNullSafe(F.col("e_source")), F.col("municipality_id") == F.col("e_municipality")
-    apart = source & F.col("municipality_id").isNotNull() & F.col("e_municipality").isNotNull() & (F.col("municipality_id") != F.col("e_municipality"))
-    same = F.coalesce(source | town, F.lit(False))
-    decision = F.when(apart, "UNCERTAIN").when(same, "PROBABLE_MATCH").otherwise("UNCERTAIN")
-    sure = F.when(apart, 0.45).when(same, 0.9).otherwise(0.5)
-    return first_match(pairs, 3, decision, sure, "fingerprint")
+    found = earliest_match(incoming, existing, ["fingerprint"], more=("source_id", "municipality_id"))
+    found = found.join(incoming.select("id", "source_id", "municipality_id"), "id")
+    theirs, town = F.col("first.source_id"), F.col("first.municipality_id")
+    apart = F.coalesce((F.col("source_id") == theirs) & (F.col("municipality_id") != town), F.lit(False))
+    same = F.coalesce(F.col("source_id").eqNullSafe(theirs) | (F.col("municipality_id") == town), F.lit(False))
+    decision = F.when(~apart & same, "PROBABLE_MATCH").otherwise("UNCERTAIN")
+    return _decided(found, 3, decision, F.when(apart, 0.45).when(same, 0.9).otherwise(0.5), "fingerprint")
 
 
 def dedup_trigram(incoming: DataFrame, existing: DataFrame, extra: Column | None = None) -> DataFrame:
@@ -84,8 +112,9 @@ def dedup_trigram(incoming: DataFrame, existing: DataFrame, extra: Column | None
 
 def resolve_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """The first layer that answers each incoming row, else NEW. Only what layers 1 to 3 leave is joined by title."""
+    incoming, existing = materialise(incoming), materialise(existing)
     exact = reduce(DataFrame.unionByName, [f(incoming, existing) for f in (dedup_reference, dedup_content_hash, dedup_fingerprint)])
-    exact = exact.withColumn("__n", F.row_number().over(W.partitionBy("id").orderBy("layer"))).where("__n = 1").drop("__n")
+    exact = materialise(exact.groupBy("id").agg(F.min_by(F.struct(*OUT[1:]), "layer").alias("m")).select("id", "m.*"))
     rest = incoming.join(exact, "id", "left_anti")
     found = exact.unionByName(dedup_trigram(rest, existing))
     out = incoming.select("id").join(found, "id", "left")
@@ -113,19 +142,14 @@ def jump(point: DataFrame, rounds: int = 30) -> DataFrame:
         jumped = materialise(point.join(hop, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
         point = jumped.drop("moved")
         if not jumped.where("moved").limit(1).count():
-            break
-    return point
-
-
-def _place(order: str, *more: str) -> Column:
-    """Earlier rows have smaller ones; rows without an order come last, as in first_match."""
-    return F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("seen"), "id", *more)
+            return point
+    raise RuntimeError(f"pointers form no forest: some still move after {rounds} rounds")
 
 
 def _earliest(batch: DataFrame, keys: list[str], order: str, *more: str) -> DataFrame:
     """(id, own, first): the earliest row of the same keys without a conflicting reference, found by sums, not by pairs."""
     ref = "reference_number_normalized"
-    rows = batch.dropna(subset=keys).select("id", *keys, ref, _place(order, *more).alias("own"))
+    rows = batch.dropna(subset=keys).select("id", *keys, ref, _place(F.col(order), "id", *more).alias("own"))
     same = rows.groupBy(*keys, ref).agg(F.min("own").alias("same"))
     every = same.groupBy(*keys).agg(F.min("same").alias("any"), F.min(F.when(F.col(ref).isNull(), F.col("same"))).alias("bare"))
     found = rows.join(every, keys).join(same.where(F.col(ref).isNotNull()), [*keys, ref], "left")
@@ -138,7 +162,7 @@ def match_within_batch(batch: DataFrame, order: str = "published_at") -> DataFra
     Layers 1 to 3 ask for the earliest row of equal keys, which needs no pairs; only what they leave is joined by title.
     """
     out = lambda df, layer, decision, sure, reason: df.where("first < own").select("id", F.col("first.id").alias("existing_id"), F.lit(layer).alias("layer"), decision.alias("decision"), sure.alias("confidence"), F.lit(reason).alias("reason"))
-    scoped = scope(batch).withColumn("own", _place(order))
+    scoped = scope(batch).withColumn("own", _place(F.col(order)))
     first = []
     for name in ("reference_number_normalized", "reference_number"):
         keyed = scoped.select("id", "own", "scope", F.col(name).alias("k")).dropna(subset=["scope", "k"])
@@ -153,7 +177,7 @@ def match_within_batch(batch: DataFrame, order: str = "published_at") -> DataFra
     exact = out(one, 1, F.lit("EXACT_MATCH"), F.lit(0.99), "reference").union(out(two, 2, F.lit("EXACT_MATCH"), F.lit(1.0), "content hash"))
     exact = exact.union(out(three, 3, decision, F.when(apart, 0.45).when(same, 0.9).otherwise(0.5), "fingerprint"))
     exact = materialise(exact.groupBy("id").agg(F.min_by(F.struct(*OUT[1:]), "layer").alias("m")).select("id", "m.*"))
-    placed = batch.withColumn("place", _place(order))
+    placed = batch.withColumn("place", _place(F.col(order)))
     titles = dedup_trigram(placed.join(exact, "id", "left_anti"), placed, F.col("r.place") < F.col("l.place"))
     found = exact.unionByName(titles)
     return batch.select("id").join(found, "id", "left").select("id", "existing_id", "layer", F.coalesce("decision", F.lit("NEW")).alias("decision"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("reason", F.lit("no match")).alias("reason"))

@@ -7,34 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import set_similarity, trigrams
+from ..sources.state import materialise
 
 
-def prefixed(df: DataFrame, key: str, title: str, order: DataFrame, least: float) -> DataFrame:
-    """(key, grams, n, gram) for the first n - ceil(least n) + 1 trigrams of each row, rarest first by order (gram, df)."""
-    rows = df.select(key, trigrams(F.col(title)).alias("grams")).withColumn("n", F.size("grams"))
-    ranked = rows.select(key, "n", F.explode("grams").alias("gram")).join(order, "gram", "left")
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "gram"))
-    keep = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
-    return keep.select(key, "n", "gram")
+def prefixed(rows: DataFrame, key: str, order: DataFrame, least: float, block: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n, gram, pos, block) for the first n - ceil(least n) + 1 trigrams of each row, rarest first by order (gram, df)."""
+    ranked = rows.select(key, "n", *block, F.explode("grams").alias("gram")).join(order, "gram", "left")
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "gram")) - 1
+    keep = ranked.withColumn("pos", place).where(F.col("pos") <= F.col("n") - F.ceil(least * F.col("n")))
+    return keep.select(key, "n", "gram", "pos", *block)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, key: str = "id", title: str = "title", block: tuple[str, ...] = (), strict: bool = True, extra: Column | None = None, short: int = 0) -> DataFrame:
     """(left_id, right_id, similarity) of rows whose titles' trigram similarity is above (or at) least.
 
     block: columns that must be equal. extra: a condition on l.* and r.*. Titles under `short` characters on the left
-    are skipped. Candidates share a trigram of both prefixes and have compatible sizes; each is verified exactly.
+    are skipped. Trigrams are made once for each row and kept. Candidates share a trigram of both prefixes, far enough
+    from the end of both, and have compatible sizes; each is verified exactly.
     """
-    left = left.where(F.length(title) >= short)
-    grams = left.select(F.explode(trigrams(F.col(title))).alias("gram")).union(right.select(F.explode(trigrams(F.col(title))).alias("gram")))
-    order = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    a = prefixed(left, key, title, order, least).join(left.select(key, *block), key).toDF("left_id", "na", "gram", *block)
-    b = prefixed(right, key, title, order, least).join(right.select(key, *block), key).toDF("right_id", "nb", "gram", *block)
-    pairs = a.join(b, ["gram", *block]).where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("left_id", "right_id").distinct()
+    gramed = lambda df: materialise(df.withColumn("grams", trigrams(F.col(title))).withColumn("n", F.size("grams")))
+    one = left is right
+    right = gramed(right)
+    left = right if one else gramed(left.where(F.length(title) >= short))
+    left = left.where(F.length(title) >= short) if one else left
+    grams = right.select(F.explode("grams").alias("gram")) if one else left.select(F.explode("grams").alias("gram")).union(right.select(F.explode("grams").alias("gram")))
+    order = materialise(grams.groupBy("gram").agg(F.count("*").alias("df")))
+    a = prefixed(left, key, order, least, block).toDF("left_id", "na", "gram", "pa", *block)
+    b = prefixed(right, key, order, least, block).toDF("right_id", "nb", "gram", "pb", *block)
+    na, nb = F.col("na"), F.col("nb")
+    fits = (na >= least * nb) & (nb >= least * na) & ((1 + least) * F.least(na - F.col("pa"), nb - F.col("pb")) >= least * (na + nb) - 1e-9)
+    pairs = a.join(b, ["gram", *block]).where(fits).select("left_id", "right_id").distinct()
     l, r = left.alias("l"), right.alias("r")
     full = pairs.join(l, pairs["left_id"] == F.col(f"l.{key}")).join(r, pairs["right_id"] == F.col(f"r.{key}"))
     if extra is not None:
         full = full.where(extra)
-    scored = full.withColumn("similarity", set_similarity(trigrams(F.col(f"l.{title}")), trigrams(F.col(f"r.{title}"))))
+    scored = full.withColumn("similarity", set_similarity(F.col("l.grams"), F.col("r.grams")))
     return scored.where(F.col("similarity") > least if strict else F.col("similarity") >= least).select("left_id", "right_id", "similarity")
 
 

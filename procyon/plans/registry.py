@@ -506,13 +506,6 @@ def v6(t: Tables) -> DataFrame:
 
 # --- duplicates ----------------------------------------------------------------------------------------------------
 
-_IN = """SELECT id + 10000000 AS id, reference_number, CASE WHEN id % 8 = 0 THEN NULL ELSE reference_number_normalized END AS reference_number_normalized, CASE WHEN id % 16 = 4 THEN title || ' amended' ELSE title END AS title, organization, procurement_type,
-  CASE WHEN id % 12 = 0 THEN source_id + 1 ELSE source_id END AS source_id, municipality_id, published_at, closing_at FROM opportunities WHERE id % 4 = 0"""
-
-
-def incoming(t: Tables) -> DataFrame:
-    """The quarter of seen_again that the SQL of d1, d2, d3, d6 and d7_exact_layers takes."""
-    return seen_again(t).where(F.col("id") % 4 == 0)
 
 
 def seen_again(t: Tables) -> DataFrame:
@@ -530,7 +523,7 @@ def with_keys(df: DataFrame) -> DataFrame:
 
 
 _INCOMING = """i AS (SELECT id + 10000000 AS id, CASE WHEN id % 8 <> 0 THEN reference_number END AS reference_number, CASE WHEN id % 8 <> 0 THEN reference_number_normalized END AS reference_number_normalized,
-  CASE WHEN id % 16 = 4 THEN title || ' amended' ELSE title END AS title, organization, procurement_type, CASE WHEN id % 12 = 0 THEN source_id + 1 ELSE source_id END AS source_id, municipality_id, published_at, closing_at FROM opportunities WHERE id % 4 = 0)"""
+  CASE WHEN id % 16 = 4 THEN title || ' amended' ELSE title END AS title, organization, procurement_type, CASE WHEN id % 12 = 0 THEN source_id + 1 ELSE source_id END AS source_id, municipality_id, published_at, closing_at FROM opportunities)"""
 _SCOPE = "CASE WHEN {0}.municipality_id IS NOT NULL THEN 'm' || CAST({0}.municipality_id AS STRING) ELSE 's' || CAST({0}.source_id AS STRING) END"
 _D1 = f"""d1 AS (SELECT i.id, o.id AS existing_id, 1 AS layer, 'EXACT_MATCH' AS decision, CAST(0.99 AS DOUBLE) AS confidence FROM i JOIN opportunities o ON {_SCOPE.format('i')} = {_SCOPE.format('o')} AND i.reference_number_normalized = o.reference_number_normalized
   QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY o.published_at, o.id) = 1)"""
@@ -542,69 +535,52 @@ _APART = "(i.source_id = o.source_id AND i.municipality_id IS NOT NULL AND o.mun
 _D3 = f"""d3 AS (SELECT i.id, o.id AS existing_id, 3 AS layer, CASE WHEN {_APART} THEN 'UNCERTAIN' WHEN coalesce(i.source_id = o.source_id OR i.municipality_id = o.municipality_id, false) THEN 'PROBABLE_MATCH' ELSE 'UNCERTAIN' END AS decision,
   CAST(CASE WHEN {_APART} THEN 0.45 WHEN coalesce(i.source_id = o.source_id OR i.municipality_id = o.municipality_id, false) THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM i JOIN opportunities o ON {_DAYSAME} AND {_NOCLASH} QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY o.published_at, o.id) = 1)"""
 _COLS = ["id", "existing_id", "layer", "decision", "confidence"]
-_ALL = _INCOMING.replace(" WHERE id % 4 = 0", "")
 
 
 @query_of("d1_dedup_reference", f"WITH {_INCOMING}, {_D1} SELECT * FROM d1")
 def d1(t: Tables) -> DataFrame:
-    return dedup.dedup_reference(incoming(t), t.opportunities).select(*_COLS)
-
-
-@query_of("d1_dedup_reference_all", f"WITH {_ALL}, {_D1} SELECT * FROM d1")
-def d1_all(t: Tables) -> DataFrame:
     return dedup.dedup_reference(seen_again(t), t.opportunities).select(*_COLS)
 
 
 @query_of("d2_dedup_content_hash", f"WITH {_INCOMING}, {_D2} SELECT * FROM d2")
 def d2(t: Tables) -> DataFrame:
-    return dedup.dedup_content_hash(incoming(t), with_keys(t.opportunities)).select(*_COLS)
-
-
-@query_of("d2_dedup_content_hash_all", f"WITH {_ALL}, {_D2} SELECT * FROM d2")
-def d2_all(t: Tables) -> DataFrame:
     return dedup.dedup_content_hash(seen_again(t), with_keys(t.opportunities)).select(*_COLS)
 
 
 @query_of("d3_dedup_fingerprint", f"WITH {_INCOMING}, {_D3} SELECT * FROM d3")
 def d3(t: Tables) -> DataFrame:
-    return dedup.dedup_fingerprint(incoming(t), with_keys(t.opportunities)).select(*_COLS)
+    return dedup.dedup_fingerprint(seen_again(t), with_keys(t.opportunities)).select(*_COLS)
 
 
-@query_of("d3_dedup_fingerprint_all", f"WITH {_ALL}, {_D3} SELECT * FROM d3")
-def d3_all(t: Tables) -> DataFrame:
-    return dedup.dedup_fingerprint(seen_again(t), with_keys(t.opportunities)).select(*_COLS)
+_D4 = rf"""w AS (SELECT title, unnest(list_distinct(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+'))) AS w FROM (SELECT title FROM i UNION SELECT title FROM opportunities)),
+  g AS (SELECT title, list(DISTINCT substr('  ' || w || ' ', CAST(k AS BIGINT), 3)) AS g FROM w, range(1, 60) r(k) WHERE k <= length(w) + 1 GROUP BY title),
+  p AS (SELECT i.id, o.id AS existing_id, i.title AS a, o.title AS b FROM i JOIN opportunities o ON i.source_id = o.source_id AND i.id <> o.id AND length(i.title) >= 25 AND {_NOCLASH}
+    AND coalesce(o.closing_at BETWEEN i.closing_at - INTERVAL 3 DAY AND i.closing_at + INTERVAL 3 DAY, true) AND (i.municipality_id IS NULL OR i.municipality_id IS NOT DISTINCT FROM o.municipality_id)),
+  c AS (SELECT id, existing_id, len(list_intersect(x.g, y.g)) AS c, len(x.g) + len(y.g) AS n FROM p JOIN g x ON x.title = a JOIN g y ON y.title = b),
+  d4 AS (SELECT id, existing_id, 4 AS layer, CASE WHEN CAST(c AS DOUBLE) / (n - c) >= 0.82 THEN 'PROBABLE_MATCH' ELSE 'UNCERTAIN' END AS decision, round(CAST(c AS DOUBLE) / (n - c), 3) AS confidence FROM c WHERE CAST(c AS DOUBLE) / (n - c) > 0.65
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(c AS DOUBLE) / (n - c) DESC, existing_id) = 1)"""
+_D7 = f"""{_INCOMING}, {_D1}, {_D2}, {_D3}, {_D4}, a AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4),
+  d7 AS (SELECT i.id, existing_id, layer, coalesce(decision, 'NEW') AS decision, coalesce(confidence, 1.0) AS confidence FROM i LEFT JOIN (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer) = 1) m ON m.id = i.id)"""
 
 
-@query_of("d4_dedup_trigram")
+@query_of("d4_dedup_trigram", f"WITH {_INCOMING}, {_D4} SELECT * FROM d4")
 def d4(t: Tables) -> DataFrame:
     return dedup.dedup_trigram(seen_again(t), t.opportunities).select(*_COLS)
 
 
 @query_of("d6_reference_conflict_guard", f"WITH {_INCOMING} SELECT i.id, count(*) AS candidates FROM i JOIN opportunities o ON {_DAYSAME} AND {_NOCLASH} GROUP BY 1")
 def d6(t: Tables) -> DataFrame:
-    e = with_keys(t.opportunities).select("fingerprint", F.col("reference_number_normalized").alias("e_reference"))
-    return dedup.conflict_free(incoming(t).join(e, "fingerprint")).groupBy("id").agg(F.count("*").alias("candidates"))
-
-
-@query_of("d6_reference_conflict_guard_all", f"WITH {_ALL} SELECT i.id, count(*) AS candidates FROM i JOIN opportunities o ON {_DAYSAME} AND {_NOCLASH} GROUP BY 1")
-def d6_all(t: Tables) -> DataFrame:
     e = with_keys(t.opportunities).select("fingerprint", F.col("reference_number_normalized").alias("e_reference"))
     return dedup.conflict_free(seen_again(t).join(e, "fingerprint")).groupBy("id").agg(F.count("*").alias("candidates"))
 
 
-@query_of("d7_resolve_duplicates")
+@query_of("d7_resolve_duplicates", f"WITH {_D7} SELECT id, existing_id, CAST(layer AS BIGINT) AS layer, decision, CAST(confidence AS DOUBLE) AS confidence FROM d7")
 def d7(t: Tables) -> DataFrame:
-    return dedup.resolve_duplicates(seen_again(t), with_keys(t.opportunities)).select(*_COLS)
+    return dedup.resolve_duplicates(seen_again(t), with_keys(t.opportunities)).select(*_COLS).withColumn("layer", F.col("layer").cast("bigint"))
 
 
 @query_of("d7_exact_layers", f"WITH {_INCOMING}, {_D1}, {_D2}, {_D3}, a AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) SELECT layer, decision, count(*) AS n FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer) = 1) GROUP BY 1, 2")
 def d7b(t: Tables) -> DataFrame:
-    out = dedup.resolve_duplicates(incoming(t), with_keys(t.opportunities))
-    return stats.dedup_decision_report(out.where("layer <= 3"))
-
-
-@query_of("d7_exact_layers_all", f"WITH {_ALL}, {_D1}, {_D2}, {_D3}, a AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) SELECT layer, decision, count(*) AS n FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer) = 1) GROUP BY 1, 2")
-def d7b_all(t: Tables) -> DataFrame:
     out = dedup.resolve_duplicates(seen_again(t), with_keys(t.opportunities))
     return stats.dedup_decision_report(out.where("layer <= 3"))
 
@@ -620,7 +596,9 @@ def d8b(t: Tables) -> DataFrame:
     return dedup.resolve_batch(with_keys(t.opportunities))
 
 
-@query_of("d9_d10_review_queue")
+@query_of("d9_d10_review_queue", f"""WITH {_D7}, r AS (SELECT id, title, NULL AS data_quality, published_at FROM i UNION ALL SELECT id, title, NULL, published_at FROM opportunities)
+  SELECT d7.id, existing_id AS candidate_id, c.title AS candidate_title, CAST(confidence AS DOUBLE) AS confidence FROM d7 JOIN opportunities o ON o.id = d7.id - 10000000 JOIN r c ON c.id = existing_id
+  WHERE decision = 'UNCERTAIN' AND o.data_quality IN ('VALID', 'NEEDS_REVIEW') ORDER BY o.published_at DESC, d7.id LIMIT 100""")
 def d9(t: Tables) -> DataFrame:
     batch = seen_again(t)
     noted = dedup.apply_uncertain(batch.unionByName(with_keys(t.opportunities)), dedup.resolve_duplicates(batch, with_keys(t.opportunities)))

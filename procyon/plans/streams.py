@@ -64,7 +64,7 @@ def t8_stale_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as items of their users: exact repeats of a title are left out, the rest are kept and counted."""
-    folder = streams.shared_folder(spark)
+    folder = streams.own_folder(spark)
 
     def process(batch: DataFrame, current: DataFrame | None) -> dict[str, DataFrame]:
         fresh = batch.dropDuplicates(["source_id", "title"])

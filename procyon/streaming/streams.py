@@ -6,7 +6,6 @@ data that is there and reads its result back from the shared folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.state import shared_folder
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,9 +28,8 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | Non
 
     In append mode windows that the watermark has not passed are missing; in complete mode each batch replaces the last.
     """
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, own_folder(stream.sparkSession)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/b{batch_id}")
