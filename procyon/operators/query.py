@@ -165,6 +165,67 @@ def list_by(df: DataFrame, equals: dict[str, Any] | None = None, contains: dict[
     return df.orderBy(*order)
 
 
+def list_sources(sources: DataFrame, equals: dict[str, Any] | None = None, text: str | None = None) -> DataFrame:
+    """Sources by connector, health, municipality and other equal columns, and by a text in their name or organization."""
+    out = list_by(sources, equals)
+    if not text:
+        return out
+    return out.where(F.contains(F.lower("name"), F.lit(text.lower())) | F.contains(F.lower("organization"), F.lit(text.lower())))
+
+
+def get_by(df: DataFrame, ref: Any, columns: tuple[str, ...] = ("id", "code", "slug", "name")) -> DataFrame:
+    """The rows that a reference names, by the first of the columns in which any row does; texts in any case.
+
+    Tables of reference data (provinces, municipalities, categories) are meant: a row at most is expected.
+    """
+    place = F.lit(None).cast("int")
+    for i, c in reversed(list(enumerate(columns))):
+        place = F.when(F.lower(F.col(c).cast("string")) == F.lit(str(ref).strip().lower()), F.lit(i)).otherwise(place)
+    found = df.withColumn("__place", place).where("__place IS NOT NULL")
+    best = found.agg(F.min("__place").alias("__best"))
+    return found.join(F.broadcast(best), found["__place"] == best["__best"]).select(*df.columns)  # one row
+
+
+def districts_of_province(districts: DataFrame, municipalities: DataFrame, provinces: DataFrame, ref: Any) -> DataFrame:
+    """Districts with a municipality in the province, which comes along as `province`."""
+    p = get_by(provinces, ref).select(F.col("id").alias("province_id"), F.col("name").alias("province"))
+    m = municipalities.join(p, "province_id").select(F.col("district_id").alias("id"), "province").distinct()
+    return districts.join(m, "id")
+
+
+def document_versions_of(versions: DataFrame, document: Any, key: str = "document") -> DataFrame:
+    """A document's versions, the newest first."""
+    return versions.where(F.col(key) == F.lit(document)).orderBy(F.col("version").desc())
+
+
+def text_of(texts: DataFrame, document: Any, key: str = "id", column: str = "content") -> DataFrame:
+    """The text of a document, empty where it has none."""
+    return texts.where(F.col(key) == F.lit(document)).select(key, F.coalesce(column, F.lit("")).alias("text"))
+
+
+def list_categories(categories: DataFrame, taxonomy: str | None = None, active: bool | None = True) -> DataFrame:
+    """Categories of a taxonomy, the active ones unless told otherwise, by slug."""
+    equals = {c: v for c, v in (("taxonomy", taxonomy), ("active", active)) if v is not None and c in categories.columns}
+    return list_by(categories, equals, order=("slug",))
+
+
+def runs_with_sources(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Runs with their source's name as `source`; sources are joined by id."""
+    return runs.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
+
+
+def runs_with_jobs(runs: DataFrame, jobs: DataFrame, key: str = "id", dead: tuple[str, ...] = ("FAILED", "CANCELLED")) -> DataFrame:
+    """Runs with the status of their job as `job_status`, and `orphaned`: the job is missing or dead."""
+    j = jobs.select(F.col("id").alias(key), F.col("status").alias("job_status"))
+    return runs.join(j, key, "left").withColumn("orphaned", F.coalesce(F.col("job_status").isin(*dead), F.lit(True)))
+
+
+def pending_documents(docs: DataFrame, most: int | None = 25, downloaded: str = "downloaded_at", error: str = "error", order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """Documents that are neither downloaded nor failed, the oldest first; most: None for all."""
+    out = docs.where(F.col(downloaded).isNull() & F.col(error).isNull()).orderBy(*order)
+    return out if most is None else out.limit(most)
+
+
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("position", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("position") <= k)
 

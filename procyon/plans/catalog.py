@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import streams  # noqa: F401  (adds the streaming queries)
+from . import ingest, streams  # noqa: F401  (they add their queries)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

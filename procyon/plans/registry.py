@@ -80,16 +80,17 @@ def f2(t: Tables) -> DataFrame:
 
 @query_of("f3_list_sources", "SELECT id, name, connector FROM sources WHERE connector = 'JSON' AND (contains(lower(name), '1') OR contains(lower(organization), '1'))")
 def f3(t: Tables) -> DataFrame:
-    # single characters are no terms: the digits are looked up through the filters on equal columns and substrings
-    s = t.sources.where("connector = 'JSON'")
-    return s.where(F.contains(F.lower("name"), F.lit("1")) | F.contains(F.lower("organization"), F.lit("1"))).select("id", "name", "connector")
+    return query.list_sources(t.sources, {"connector": "JSON"}, "1").select("id", "name", "connector")
 
 
 @query_of("f4_districts_of_province", "SELECT DISTINCT d.id, d.name, p.name AS province FROM districts d JOIN municipalities m ON m.district_id = d.id JOIN provinces p ON p.id = m.province_id WHERE p.name = 'EUROPE'")
 def f4(t: Tables) -> DataFrame:
-    p = t.provinces.where("name = 'EUROPE'").select(F.col("id").alias("province_id"), F.col("name").alias("province"))
-    m = t.municipalities.join(p, "province_id").select(F.col("district_id").alias("id"), "province").distinct()
-    return t.districts.join(m, "id").select("id", "name", "province")
+    return query.districts_of_province(t.districts, t.municipalities, t.provinces, "europe").select("id", "name", "province")
+
+
+@query_of("f4_get_municipality", "SELECT id, name FROM municipalities WHERE code = 'M7'")
+def f4_get(t: Tables) -> DataFrame:
+    return query.get_by(t.municipalities, " m7").select("id", "name")
 
 
 @query_of("f5_documents_of", "SELECT id, filename FROM doc_texts WHERE opportunity_id = 5 ORDER BY id")
@@ -97,6 +98,18 @@ def f5(t: Tables) -> DataFrame:
     return query.list_by(t.doc_texts, {"opportunity_id": 5}).select("id", "filename")
 
 
+@query_of("f5_document_versions_of", "WITH s AS (SELECT l_orderkey AS document, sha256(CAST(l_partkey % 5 AS STRING)) AS sha, min(l_shipdate) AS first_at FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem) GROUP BY 1, 2) SELECT document, sha, CAST(row_number() OVER (ORDER BY first_at, sha) AS BIGINT) AS version FROM s")
+def f5_versions(t: Tables) -> DataFrame:
+    last = t.lineitem.agg(F.max("l_orderkey")).first()[0]
+    f = t.lineitem.select(F.col("l_orderkey").alias("document"), F.sha2((F.col("l_partkey") % 5).cast("string"), 256).alias("sha"), F.col("l_shipdate").alias("at"))
+    return query.document_versions_of(versions.document_versions(f, "document", "sha", "at"), last).select("document", "sha", F.col("version").cast("bigint").alias("version"))
+
+
+@query_of("f5_text_of", "SELECT id, coalesce(content, '') AS text FROM doc_texts WHERE id = 7")
+def f5_text(t: Tables) -> DataFrame:
+    return query.text_of(t.doc_texts, 7)
+
+
 @query_of("f6_search_terms", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'released')")
 def f6(t: Tables) -> DataFrame:
     return query.search_terms(t.documents, "License released x", ("text",)).select("doc_id")
@@ -195,15 +208,16 @@ def j5(t: Tables) -> DataFrame:
     return out.select("id", F.col("contact.name").alias("contact"), F.coalesce(F.size("documents"), F.lit(0)).cast("bigint").alias("documents"), F.coalesce(names, F.lit("")).alias("categories"))
 
 
-@query_of("j6_runs_with_jobs", "SELECT r.id, s.name AS source, j.status AS job_status FROM source_runs r JOIN sources s ON s.id = r.source_id LEFT JOIN jobs j ON j.id = r.id")
+@query_of("j6_runs_with_jobs", "SELECT r.id, s.name AS source, j.status AS job_status, coalesce(j.status = 'FAILED', true) AS orphaned FROM source_runs r JOIN sources s ON s.id = r.source_id LEFT JOIN jobs j ON j.id = r.id")
 def j6(t: Tables) -> DataFrame:
-    s, j = t.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), t.jobs.select("id", F.col("status").alias("job_status"))
-    return t.source_runs.join(s, "source_id").join(j, "id", "left").select("id", "source", "job_status")
+    return query.runs_with_jobs(query.runs_with_sources(t.source_runs, t.sources), t.jobs).select("id", "source", "job_status", "orphaned")
 
 
-@query_of("j7_pending_documents", "SELECT id, filename FROM doc_texts WHERE n_chars > 3000 ORDER BY n_chars, id LIMIT 25")
+@query_of("j7_pending_documents", "SELECT id, filename FROM doc_texts WHERE id % 3 = 0 AND id % 5 <> 0 ORDER BY n_chars, id LIMIT 25")
 def j7(t: Tables) -> DataFrame:
-    return t.doc_texts.where("n_chars > 3000").orderBy("n_chars", "id").limit(25).select("id", "filename")
+    """Stand-in: two of three documents are downloaded, one of five failed; the shorter are the older ones."""
+    docs = t.doc_texts.withColumn("downloaded_at", F.when(F.col("id") % 3 != 0, F.lit(AS_OF))).withColumn("error", F.when(F.col("id") % 5 == 0, "timeout"))
+    return query.pending_documents(docs, order=("n_chars", "id")).select("id", "filename")
 
 
 @query_of("j8_resolve_municipality", "SELECT o.id, m.id AS resolved FROM (SELECT id, CASE id % 3 WHEN 0 THEN '  nation_' || CAST(id % 30 AS STRING) ELSE 'm' || CAST(id % 30 AS STRING) END AS place FROM opportunities) o LEFT JOIN municipalities m ON lower(trim(place)) IN (lower(m.name), m.slug, lower(m.code))")
