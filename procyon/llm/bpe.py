@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import map_batches, text_chunks
 
 REMEMBERED = 200_000
 
@@ -71,6 +71,7 @@ class Bpe:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.special_starts = {t[0] for t in self.special}
         self.codes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -159,7 +160,7 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None or "<" not in text:
+        if self.cut is None or not any(map(text.__contains__, self.special_starts)):
             return self._piece(text)
         return b"".join([np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._piece(p) for p in self.cut.split(text) if p])
 
@@ -190,7 +191,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array(ids, pa.binary()), *more], ["id", "ids", *["decoded"] * decoded])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids binary" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
 def token_lists(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +208,7 @@ def token_lists(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array(n), lists], ["id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_tokens bigint, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -220,4 +221,4 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([model.decode(x or b"") for x in batch.column("ids").to_pylist()], pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return map_batches(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, f"id {kind}, text string").withColumnRenamed("id", id_col)

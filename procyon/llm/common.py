@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-MAX_CHUNK_BYTES = 1 << 20
+MAX_CHUNK_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,6 +36,28 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of at most BATCH_BYTES: rows of long texts would else fill a worker.
+
+    The session's bound on the bytes of a batch is lowered to that, and left so, as Spark reads it when the plan runs.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of df has, in upper or lower case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -133,56 +159,98 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-SMALL_GRAPH = 1 << 16
+LANES = 16  # counters of a sketch that share a row
+
+
+def sketch(df: DataFrame, length: int, counters: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum over all partitions of counters(batches), arrays of `length` numbers, a multiple of LANES."""
+    lanes = [f"c{i}" for i in range(LANES)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = counters(batches).reshape(-1, LANES)
+        some = np.flatnonzero(held.any(1))
+        for a in range(0, len(some), 1 << 13):
+            own = some[a : a + (1 << 13)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *[pa.array(np.ascontiguousarray(c)) for c in held[own].T]], ["lot", *lanes])
 
-def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of all edges in one task, by union-find with path halving."""
-    parent: dict[int, int] = {}
+    kinds = ", ".join(f"{c} bigint" for c in lanes)
+    total = map_batches(df, run, f"lot int, {kinds}").groupBy("lot").agg(*[F.sum(c).alias(c) for c in lanes]).toArrow()
+    out = np.zeros((length // LANES, LANES), np.int64)
+    out[total["lot"].to_numpy()] = np.stack([total[c].to_numpy() for c in lanes], 1)
+    return out.ravel()
 
-    def find(a: int) -> int:
-        while (up := parent.setdefault(a, a)) != a:
-            parent[a] = parent[up]
-            a = up
-        return a
 
-    for frame in frames:
-        for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": list(parent), "component": [find(a) for a in parent]}, dtype="int64")
+EDGES = 1 << 18
 
 
-def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def _stars(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(node, root) of the nodes of edges: root is the first node, in an order of chance, reachable by a chunk's edges.
+
+    The order of seed 0 is that of the ids. A fixed order would let a long monotone path shrink by its ends only.
+    """
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = np.concatenate([b.column(c).to_numpy() for c in (0, 1) for b in held])
+        nodes, at = np.unique(ends, return_inverse=True)
+        if seed:
+            nodes, place = nodes[order := np.argsort(mix(nodes.view(np.uint64) ^ mix(np.array([seed], np.uint64))))], np.argsort(order)
+            at = place[at]
+        label = forest(len(nodes), at[: len(at) // 2], at[len(at) // 2 :])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= EDGES:
+                yield star(held)
+                held = []
+        if held:
+            yield star(held)
+
+    return run
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest index that it reaches over the edges (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        a, b = label[i], label[j]
+        live = a != b
+        i, j, a, b = i[live], j[live], a[live], b[live]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return label
+
+
+def components(edges: DataFrame, lot: int = EDGES) -> DataFrame:
     """(node, component) of each node in edges (src, dst; longs): component is the smallest node reachable.
 
-    Rounds of: every node points at its smallest neighbour, pointers are jumped to their roots, edges are contracted
-    to roots. Each round at least halves the nodes that still have edges. Only joins and combinable minima: a node
-    with very many edges is pre-aggregated, and joins read saved tables, so Spark may split skewed partitions.
-    At most `small` edges, counted first, are joined up in one task instead, with the same result.
-    Empty edges give an empty table; loops and repeated edges are ignored; nulls are dropped.
+    Rounds of: each task joins up its own edges and points every node at a root of its part; the roots that tasks point
+    one node at are joined by edges, which are the next round's. A round leaves two thirds of a path's nodes, less of
+    denser graphs. Tasks get about `lot` edges, so few edges take one round. Only combinable minima and joins: a node
+    with very many edges is pre-aggregated by each task. Empty edges give an empty table; loops and repeated edges are
+    ignored; nulls are dropped.
     """
-    live = save(edges.where("src < dst OR src > dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    labels = None
-    if live.count() <= small:
-        return save(live.coalesce(1).mapInPandas(_forest, "node bigint, component bigint"))
-    while not live.isEmpty():
-        both = live.union(live.select("dst", "src")).toDF("node", "near")
-        point = save(both.groupBy("node").agg(F.least("node", F.min("near")).alias("to")))
-        while True:
-            hop = point.select(F.col("node").alias("to"), F.col("to").alias("far"))
-            moved = save(point.join(hop, "to").select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
-            point = moved.drop("moved")
-            if not moved.where("moved").limit(1).count():
-                break
-        if labels is None:
-            labels = point.toDF("node", "component")
-        else:
-            step = point.toDF("component", "to")
-            labels = save(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        a, b = point.toDF("src", "a"), point.toDF("dst", "b")
-        live = save(live.join(a, "src").join(b, "dst").where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-    if labels is None:
-        return live.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    return labels
+    live = edges.where("src < dst OR src > dst").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+    steps: list[DataFrame] = []
+    while True:
+        live = save(live.distinct())
+        parts = max(1, -(-live.count() // lot))
+        stars = save(map_batches(live.coalesce(parts), _stars(len(steps)), "node bigint, root bigint"))
+        point = save(stars.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("other")))
+        steps.append(point.select("node", "component"))
+        several = point.where("component != other")
+        if parts == 1 or several.isEmpty():
+            break
+        live = stars.join(several.select("node", "component"), "node").where("root != component").select(F.col("root").alias("src"), F.col("component").alias("dst"))
+    labels = steps.pop()
+    if not steps:
+        return labels
+    while steps:
+        later = labels.toDF("component", "last")
+        labels = steps.pop().join(later, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    labels = save(labels)
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return save(labels.join(least, "component").select("node", F.col("least").alias("component")))

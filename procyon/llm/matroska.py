@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import map_batches, text_chunks
 
 # Element ids: fixed values of the Matroska format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
@@ -202,7 +202,7 @@ def mux_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([mux(payload_of(r)) for r in raw], pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -219,7 +219,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                     yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(zip(*packets, strict=True), kinds, strict=True)]], ["id", *names])
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, " + _PACKET[7:-1].replace(": ", " ")).withColumnRenamed("id", id_col)
+    return map_batches(media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")), run, f"id {kind}, " + _PACKET[7:-1].replace(": ", " ")).withColumnRenamed("id", id_col)
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -243,4 +243,4 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
 
     narrow = media.select(F.col(id_col).alias("id"), *keep, F.col(media_col).alias("media"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "media")
-    return narrow.mapInArrow(run, f"{kinds}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return map_batches(narrow, run, f"{kinds}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string").withColumnRenamed("id", id_col)

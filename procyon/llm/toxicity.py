@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, save, text_chunks
+from .common import map_batches, mix, save, text_chunks
 
 ORDERS = (4, 6)
 BITS = 20
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))
             yield pa.RecordBatch.from_arrays([chunk.column("y"), chunk.column("w"), lists], ["y", "w", "buckets"])
 
-    rows = save(sample.select("y", "w", "text").mapInArrow(featurise, "y int, w double, buckets array<int>"))
+    rows = save(map_batches(sample.select("y", "w", "text"), featurise, "y int, w double, buckets array<int>"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 1 << BITS), np.int64)
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
             own = some[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(held[1, own]), pa.array(held[0, own])], ["bucket", "p", "q"])
 
-    found = rows.mapInArrow(counts, "bucket int, p bigint, q bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    found = map_batches(rows, counts, "bucket int, p bigint, q bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     found = save(found)
     total = found.agg(F.sum(F.col("p") + 1).alias("p"), F.sum(F.col("q") + 1).alias("q")).first()
     ratio = F.log((F.col("p") + 1) / float(total["p"] or 1)) - F.log((F.col("q") + 1) / float(total["q"] or 1))
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     buckets = np.array(sorted(r["bucket"] for r in best), np.int64)
     r = np.array([x["r"] for x in sorted(best, key=lambda x: x["bucket"])])
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT())  # on at most 2 * per_class rows; Arrow has no sparse vectors
     def vector(own):  # noqa: ANN001, ANN202
         own = np.asarray(own, np.int64)
         at = np.searchsorted(buckets, own)
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
@@ -173,4 +173,4 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFra
                 yield batch.slice(start, chunk.num_rows).filter(pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))) < reject))
                 start += chunk.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
