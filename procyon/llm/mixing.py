@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save, text_buffers, text_chunks, word_spans
+from .common import map_batches, save, text_buffers, text_chunks, word_spans
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, RANGES = 1.5, 2, 4096
@@ -40,7 +40,7 @@ def sizes(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> D
 
     narrow = docs.select(*[v.alias(k) for k, v in keep.items()], F.col(text_col).alias("__text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__text")
-    return narrow.mapInArrow(run, f"{kinds}, size bigint")
+    return map_batches(narrow, run, f"{kinds}, size bigint")
 
 
 def key_unit(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -114,7 +114,8 @@ def mix(docs: DataFrame, quality: Column | None = None) -> DataFrame:
     """docs as the mix takes them: rows that it takes twice come twice, rows that it does not take are gone."""
     key = quality_key(quality=quality)
     goal = plan(save(sizes(docs, {"doc_id": F.col("doc_id"), "source": F.col("source"), "key": key})))
-    goal = goal.select(F.col("source").alias("__s"), *[F.col(c) for c in ("epochs", "last_key", "last_id")])
-    keyed = docs.withColumn("__key", key)
-    rows = keyed.join(goal, keyed["source"].eqNullSafe(goal["__s"])).withColumn("__n", taken_times("__key"))
-    return rows.where("__n > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
+    # A row travels as one struct, so that none of its columns can clash with those of the plan.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), key.alias("key"))
+    goal = goal.select(F.col("source").alias("s"), "epochs", "last_key", "last_id")
+    rows = whole.join(goal, whole["source"].eqNullSafe(goal["s"])).withColumn("n", taken_times())
+    return rows.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, save, text_chunks
+from .common import map_batches, row_key, save, text_chunks
 
 #: Kinds in the order in which equal starts are listed: the strong ones, then the weak ones.
 KINDS = ("assign", "access", "hex", "login", "token", "endpoint")
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("scope"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, scope string, parts array<struct<start: bigint, rank: int, kind: string, `end`: bigint>>").withColumnRenamed("id", id_col)
+    return map_batches(narrow, run, f"id {kind}, scope string, parts array<struct<start: bigint, rank: int, kind: string, `end`: bigint>>").withColumnRenamed("id", id_col)
 
 
 def link(parts: DataFrame, gap: int = GAP) -> DataFrame:
@@ -138,5 +138,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap:
             out.append(text)
         return texts.__class__(out, dtype=object)
 
-    keyed = docs.withColumn("__scope", row_key(id_col, text_col))
-    return keyed.join(spans.withColumnRenamed("scope", "__scope").withColumnRenamed("spans", "__spans"), "__scope", "left").withColumn(text_col, F.coalesce(cut(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.col("__spans")), F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A row travels as one struct, so that none of its columns can clash with those of the spans.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("scope"))
+    text = F.col("row")[text_col]
+    rows = rows.join(spans, "scope", "left").withColumn("text", F.coalesce(cut(F.when(F.col("spans").isNotNull(), text), F.col("spans")), text))
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
