@@ -33,8 +33,10 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_join(docs, rows, k, percent):
+@pytest.mark.parametrize(("k", "percent", "short", "part"), [(3, 90, 4, 4096), (5, 80, 1, 3)])
+def test_jaccard_join(docs, rows, monkeypatch, k, percent, short, part):
+    monkeypatch.setattr(ngram_jaccard, "SHORT", short)
+    monkeypatch.setattr(ngram_jaccard, "PART", part)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.components_of(docs, k, percent).collect()]
     sets = {i: shingles(t, k) for i, t, *_ in rows if i is not None}
     edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
@@ -100,7 +102,7 @@ def test_fm_index_finds_what_a_scan_finds():
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, x) for x in range(5001, 5200)] + [(7, 7), (8, 9), (9, 8)]
-    got, large = ({x.node: x.component for x in common.components(spark.createDataFrame(edges, "src bigint, dst bigint"), small).collect()} for small in (1 << 16, 0))
+    got, large = ({x.node: x.component for x in common.components(spark.createDataFrame(edges, "src bigint, dst bigint"), small).collect()} for small in (1 << 16, 4))
     assert got == large
     nodes = {n for e in edges if e[0] != e[1] for n in e}
     assert got == components(nodes, [e for e in edges if e[0] != e[1]])
@@ -179,3 +181,13 @@ def test_reputation_shrinks_small_hosts(spark):
     assert (out["http://user@H.org:80/p?q#f"].host, out["http://user@H.org:80/p?q#f"].path) == ("user@h.org:80", "/p")
     empty = pages.limit(0)
     assert url_reputation.judge(empty, empty.select(F.col("url").alias("host"), "bad")).count() == 0
+
+
+def test_substrings_of_unlike_documents(spark):
+    words = [f"w{i}" for i in range(2000)]
+    alone = [(i, " ".join(words[i * 40 : i * 40 + 40])) for i in range(20)]
+    same = " ".join(words[1000:1013])
+    for rows in (alone, alone[:1], [(1, f"a b {same} c"), (2, f"d {same}")], [*alone, (50, f"x {same} y"), (51, same)]):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(len(rows))
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(docs).collect()}
+        assert got == brute_substrings(rows)
