@@ -2,7 +2,7 @@
 
 The text is the shard's word sequences, dense symbols with a sentinel between them. Suffixes are ordered by their
 first 16 symbols (prefix doubling), enough for patterns of up to 15; the Burrows-Wheeler transform is kept as a wavelet
-matrix of bit vectors, packed 64 to a word with one count for each word.
+matrix of bit vectors, packed 64 to a word, with a 16-bit count for each word and a 64-bit one for each 1024 words.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ class BitVector:
         padded = np.zeros(n, bool)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.zeros(len(self.words), np.int64)
-        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+        before = np.zeros(len(self.words), np.int64)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=before[1:])
+        self.large = before[::1024].copy()
+        self.small = (before - np.repeat(self.large, 1024)[: len(before)]).astype(np.uint16)
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
         at = i >> 6
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at] + np.bitwise_count(self.words[at] & low)
+        return self.large[at >> 10] + self.small[at] + np.bitwise_count(self.words[at] & low)
 
 
 class WaveletMatrix:

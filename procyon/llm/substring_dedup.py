@@ -5,12 +5,12 @@ Shards are by content, not by document, so that no document is streamed to every
 6-gram in it (by a count sketch of fixed size over all documents, then by hash), consecutive windows of one key are a
 segment, and equal windows always have equal keys.
 
-1. Base pass: sketch of 6-grams; each row's number of words and the digest of all of them.
+1. Sketch of 6-grams, whose sum also gives the number of shards: each stands for a fixed number of words.
 2. Keys: each segment's key is dealt by its hash; keys seen in two documents are shared. Only these go on.
 3. Segments with shared keys are dealt to shards by key. Equal segments are one, owned by the smallest id. A shard
    builds an FM-index of its segments and searches all their windows backwards; a matching statistic of 13 whose range
    holds a smaller owner is reported as an interval of removed words.
-4. Rows with intervals are cut; the others keep their digests.
+4. Rows with intervals are cut; the others keep the digest of all their words.
 
 Keys or segments that recur within one task's chunk are settled there, and only one of them is dealt on, so a passage
 that a third of all documents hold reaches a shard once per chunk.
@@ -31,11 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, save, text_buffers, text_chunks, word_hashes, word_spans
+from .common import gram_hashes, map_batches, mix, save, sketch, text_buffers, text_chunks, word_hashes
 from .fm_index import FmIndex
 from .ngram_jaccard import SKETCH_BITS, rarity
 
 WINDOW, GRAM, STEPS = 13, 6, 5.5
+SHARD_WORDS, DEALT_BYTES = 1 << 19, 4 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -64,7 +65,7 @@ class Segments:
         self.doc = np.asarray(ids.fill_null(0)).astype(np.int64)
         self.check = np.asarray(chunk.column("check")).astype(np.int64)
         grams = gram_hashes(self.words, GRAM)
-        low = order[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58) | mix(grams) >> np.uint64(6)
+        low = order[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | mix(grams) >> np.uint64(6)
         for step in (1, 2, 4):  # the smallest of 8 consecutive grams
             low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
         count = np.where(usable, np.maximum(np.diff(first) - WINDOW + 1, 0), 0)
@@ -80,19 +81,23 @@ class Segments:
         self.first = first
 
 
-def _dealt(docs: DataFrame, order: np.ndarray, emit: Callable, extra: str = "") -> DataFrame:
+def shard_count(docs: DataFrame, words: int) -> int:
+    """A shard for each SHARD_WORDS words of all documents, and enough for the tasks of a shuffle."""
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // SHARD_WORDS))
+
+
+def _dealt(docs: DataFrame, order: np.ndarray, buckets: int, emit: Callable) -> DataFrame:
     """(bucket, kind, blob): emit(chunk, segments of the chunk, number of buckets) gives the rows of a chunk."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # 2^18 numbers
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # 2^20 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, limit=4 << 20):
+        for chunk in text_chunks(batches, limit=DEALT_BYTES):
             rows = list(emit(chunk, Segments(chunk, shared.value), buckets))
             if rows:
                 bucket, kind, blob = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
 
-    return docs.mapInArrow(run, "bucket int, kind int, blob binary")
+    return map_batches(docs, run, "bucket int, kind int, blob binary")
 
 
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -105,34 +110,32 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
-def base_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Rows (doc_id, check, n_words, digest), and the order of 6-grams by how rare their bucket is."""
+def gram_counts(docs: DataFrame) -> np.ndarray:
+    """How often each bucket of 6-grams occurs, over all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "check", "n_words", "digest", "bucket", "n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         held = np.zeros(1 << SKETCH_BITS, np.int64)
-        kind = pa.int64()
         for chunk in text_chunks(batches):
-            words, first = word_hashes(*text_buffers(chunk.column("text")), lower=False)
-            held += np.bincount((gram_hashes(words, GRAM) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            digest = [hashlib.sha256(b" ".join(t.encode().split())).hexdigest() for t in chunk.column("text").to_pylist()]
-            none = [pa.nulls(chunk.num_rows, pa.int32()), pa.nulls(chunk.num_rows, pa.int64())]
-            kind = chunk.column("doc_id").type
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("check"), pa.array(np.diff(first)), pa.array(digest), *none], names)
-        some = np.flatnonzero(held)
-        for a in range(0, len(some), 1 << 16):
-            own = some[a : a + (1 << 16)]
-            none = [pa.nulls(len(own), kind), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.string())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(own, pa.int32()), pa.array(held[own])], names)
-
-    both = save(docs.mapInArrow(run, "doc_id bigint, check bigint, n_words bigint, digest string, bucket int, n bigint"))
-    total = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2^18 rows at most
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[total["bucket"].to_numpy()] = total["n"].to_numpy()
-    return both.where("bucket IS NULL").select("doc_id", "check", "n_words", "digest"), rarity(counts, STEPS)
-
-
-def shared_keys(docs: DataFrame, order: np.ndarray) -> DataFrame:
+            words = word_hashes(*text_buffers(chunk.column("text")), lower=False)[0]
+            np.add.at(held, (gram_hashes(words, GRAM) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        return held
+
+    return sketch(docs.select("text"), 1 << SKETCH_BITS, run)
+
+
+def base_pass(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, check, n_words, digest): what becomes of a row from which nothing is removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            words = [t.encode().split() for t in chunk.column("text").to_pylist()]
+            digest = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("check"), pa.array([len(w) for w in words], pa.int64()), pa.array(digest)], ["doc_id", "check", "n_words", "digest"])
+
+    return map_batches(docs, run, "doc_id bigint, check bigint, n_words bigint, digest string")
+
+
+def shared_keys(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
     """(doc_id, check, keys): the keys of each row's segments that are in another document too, 32 bits of each."""
 
     def emit(chunk: pa.RecordBatch, s: Segments, buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -186,12 +189,12 @@ def shared_keys(docs: DataFrame, order: np.ndarray) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)), pa.int32()), pa.array(k32))
         return pa.table([pa.array(doc[head]), pa.array(check[head]), lists], ["doc_id", "check", "keys"])
 
-    dealt = _dealt(docs, order, emit)
+    dealt = _dealt(docs, order, shards, emit)
     found = dealt.groupBy("bucket").applyInArrow(match, "doc_id bigint, check bigint, keys array<bigint>")
     return found.groupBy("doc_id", "check").agg(F.flatten(F.collect_list("keys")).alias("keys"))
 
 
-def shared_spans(docs: DataFrame, order: np.ndarray) -> DataFrame:
+def shared_spans(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
     """(doc_id, check, starts, lengths): the runs of words to remove from each row. docs: with keys, see shared_keys."""
 
     def emit(chunk: pa.RecordBatch, s: Segments, buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -247,7 +250,7 @@ def shared_spans(docs: DataFrame, order: np.ndarray) -> DataFrame:
         doc, check, place, size = (np.concatenate([s[c] for s in spans]) for c in range(4)) if spans else [np.zeros(0, np.int64)] * 4
         return pa.table([doc, check, place, size], ["doc_id", "check", "start", "length"])
 
-    dealt = _dealt(docs, order, emit)
+    dealt = _dealt(docs, order, shards, emit)
     found = dealt.groupBy("bucket").applyInArrow(search, "doc_id bigint, check bigint, start bigint, length bigint")
     return found.groupBy("doc_id", "check").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
 
@@ -306,10 +309,11 @@ def _search(blobs: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row; kept words are joined by one space."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("check", F.crc32("text"))
-    base, order = base_pass(rows)
-    keys = save(shared_keys(rows, order))
+    counts = gram_counts(rows)
+    order, shards = rarity(counts, STEPS), shard_count(docs, int(counts.sum()))
+    keys = save(shared_keys(rows, order, shards))
     some = save(rows.join(keys, ["doc_id", "check"]).select("doc_id", "check", "text", "keys"))
-    spans = save(shared_spans(some, order))
+    spans = save(shared_spans(some, order, shards))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
@@ -325,5 +329,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])).hexdigest())
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("check"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "check", "n_removed", "kept"])
 
-    done = some.select("doc_id", "check", "text").join(spans, ["doc_id", "check"]).mapInArrow(cut, "doc_id bigint, check bigint, n_removed bigint, kept string").dropDuplicates(["doc_id", "check"])
-    return base.join(save(done), ["doc_id", "check"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "digest").alias("kept_sha256"))
+    cut_rows = map_batches(some.select("doc_id", "check", "text").join(spans, ["doc_id", "check"]), cut, "doc_id bigint, check bigint, n_removed bigint, kept string")
+    done = cut_rows.dropDuplicates(["doc_id", "check"])
+    return base_pass(rows).join(save(done), ["doc_id", "check"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "digest").alias("kept_sha256"))
