@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import load
-from ..operators import versions  # noqa: F401  (batch twin of stream_versions)
+from ..operators.ingest import ingest_batch
 from ..streaming import streams
-from .registry import QUERIES, SQL
+from .registry import AS_OF, QUERIES, SQL, Tables, item_sources, raw_items
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +62,19 @@ def t8_stale_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions that two batches of items make: the opportunities, then all of them again, some cancelled or renamed."""
+    t, folder = Tables(spark, sf_dir), streams.own_folder(spark)
+    items = raw_items(t)
+    again = F.map_concat(F.map_filter("fields", lambda k, v: ~k.isin("status", "summary")), F.create_map(F.lit("status"), F.when(F.col("id") % 4 == 0, "cancelled").otherwise("open"), F.lit("summary"), F.lit("seen again")))
+    for part in (items, items.withColumn("fields", again)):
+        part.drop("id").coalesce(1).write.mode("append").parquet(f"{folder}/items")
+    schema = spark.read.parquet(f"{folder}/items").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/items")
+    streams.stream_ingest(stream, f"{folder}/out", lambda batch, current: ingest_batch(batch, item_sources(t), current, AS_OF), f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/versions").select("id", F.col("batch_id").cast("int").alias("batch"), "version", "title", "status")
+
+
+def t1_ingest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as items of their users: exact repeats of a title are left out, the rest are kept and counted."""
     folder = streams.own_folder(spark)
 
@@ -77,17 +89,16 @@ def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/versions").select("source_id", "title", F.col("version").cast("bigint").alias("version"))
 
 
-for _f in (t1_ingest, t2_change_feed, t3_quota_windows, t4_source_health, t5_versions, t6_exact_dedup, t7_sliding_counts, t7_edit_sessions, t8_stale_alerts):
+for _f in (t1_ingest, t1_ingest_exact, t2_change_feed, t3_quota_windows, t4_source_health, t5_versions, t6_exact_dedup, t7_sliding_counts, t7_edit_sessions, t8_stale_alerts):
     QUERIES[_f.__name__] = _f
 
 SQL |= {
-    "t1_ingest": "SELECT DISTINCT user_id AS source_id, event_type || ' ' || props AS title, CAST(1 AS BIGINT) AS version FROM events",
+    "t1_ingest_exact": "SELECT DISTINCT user_id AS source_id, event_type || ' ' || props AS title, CAST(1 AS BIGINT) AS version FROM events",
     "t2_change_feed": "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-15 00:00:00'",
     "t3_quota_windows": "SELECT user_id AS client, CASE user_id % 3 WHEN 0 THEN 'FREE' WHEN 1 THEN 'STANDARD' ELSE 'PREMIUM' END AS tier, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS hits, count(*) <= CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END AS allowed, greatest(CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END - count(*), 0) AS remaining FROM events GROUP BY user_id, date_trunc('minute', ts)",
     "t4_source_health": SQL["o5_source_health"].replace("source_id, runs, consecutive_failures, strftime(last_run_at, '%Y-%m-%d %H:%M:%S') AS last_run_at, strftime(last_success_at, '%Y-%m-%d %H:%M:%S') AS last_success_at,", "source_id, runs, consecutive_failures,"),
+    "t8_stale_alerts": "SELECT user_id AS source_id, epoch_ms(max(ts)) AS last_success_ms FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "t6_exact_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "t7_edit_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "t7_sliding_counts": "SELECT event_type, strftime(date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY 1, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER))",
 }
-
-__all__ = ["load"]

@@ -172,7 +172,7 @@ class _Stale(StatefulProcessor):
         frame = pd.concat(list(rows))
         good = frame[frame["status"] != "FAILED"]["started_at"]
         if len(good):
-            ms = int(pd.Timestamp(good.max()).timestamp() * 1000)
+            ms = pd.Timestamp(good.max()).value // 1_000_000
             if not self.last.exists() or ms > self.last.get()[0]:
                 if self.last.exists():
                     self.handle.deleteTimer(self.last.get()[0] + self.horizon)
