@@ -97,7 +97,7 @@ SQL |= {
     "t2_change_feed": "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-15 00:00:00'",
     "t3_quota_windows": "SELECT user_id AS client, CASE user_id % 3 WHEN 0 THEN 'FREE' WHEN 1 THEN 'STANDARD' ELSE 'PREMIUM' END AS tier, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS hits, count(*) <= CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END AS allowed, greatest(CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END - count(*), 0) AS remaining FROM events GROUP BY user_id, date_trunc('minute', ts)",
     "t4_source_health": SQL["o5_source_health"].replace("source_id, runs, consecutive_failures, strftime(last_run_at, '%Y-%m-%d %H:%M:%S') AS last_run_at, strftime(last_success_at, '%Y-%m-%d %H:%M:%S') AS last_success_at,", "source_id, runs, consecutive_failures,"),
-    "t8_stale_alerts": "SELECT user_id AS source_id, epoch_ms(max(ts)) AS last_success_ms FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "t8_stale_alerts": "SELECT user_id AS source_id, CAST(floor(epoch_us(max(ts)) / 1000.0) AS BIGINT) AS last_success_ms FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "t6_exact_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "t7_edit_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "t7_sliding_counts": "SELECT event_type, strftime(date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, range(0, 2) r(k) GROUP BY 1, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER))",
