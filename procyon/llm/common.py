@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-MAX_CHUNK_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+MAX_CHUNK_BYTES, BATCH_BYTES = 1 << 18, 1 << 20
+pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pool keeps what is freed, in every Python worker
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

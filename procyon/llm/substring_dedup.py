@@ -86,12 +86,24 @@ def shard_count(docs: DataFrame, words: int) -> int:
     return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // SHARD_WORDS))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about `limit` bytes: what recurs within a chunk is settled there."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _dealt(docs: DataFrame, order: np.ndarray, buckets: int, emit: Callable) -> DataFrame:
     """(bucket, kind, blob): emit(chunk, segments of the chunk, number of buckets) gives the rows of a chunk."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # 2^20 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, limit=DEALT_BYTES):
+        for chunk in text_chunks(_gathered(batches, DEALT_BYTES), limit=DEALT_BYTES):
             rows = list(emit(chunk, Segments(chunk, shared.value), buckets))
             if rows:
                 bucket, kind, blob = zip(*rows, strict=True)
