@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import save, table
 
 
 def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +161,19 @@ r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.target - b.e
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (epochs + CASE WHEN upto - size / 2.0 <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import alignment
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    told = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    kept = save(aligned.withColumn("groups_sha256", told).drop("groups"))
+    return alignment.score_links(kept, *paths).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -178,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_fm_substring_dedup": op9_fm_substring_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_token_alignment": op11_token_alignment,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op6_host_reputation": OP6_SQL, "op10_source_mix": OP10_SQL}
