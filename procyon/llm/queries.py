@@ -180,6 +180,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -199,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_token_alignment": op11_token_alignment,
     "op12_whitening": op12_whitening,
+    "op13_language_crf": op13_language_crf,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op6_host_reputation": OP6_SQL, "op10_source_mix": OP10_SQL}
