@@ -99,7 +99,9 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _BYTE_2 = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240501, 20240502))
+_MULT_2 = np.uint64(0xD1342543DE82EF95)
+_INV_2 = np.uint64(pow(int(_MULT_2), -1, 1 << 64))
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -140,13 +142,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and each text's first word. lower: A-Z as a-z."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and each text's first word. lower: A-Z as a-z; second: another hash, by other numbers."""
     starts, ends, first = word_spans(data, offsets)
-    code = _BYTE[_LOWER] if lower else _BYTE
+    code, base, inverse = (_BYTE_2, _MULT_2, _INV_2) if second else (_BYTE, _MULT, _INV)
+    code = code[_LOWER] if lower else code
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(code[data] * _power("up", _MULT, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power("down", _INV, len(data) + 1)[starts]), first
+    np.cumsum(code[data] * _power(f"up{second}", base, len(data)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(f"down{second}", inverse, len(data) + 1)[starts]), first
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

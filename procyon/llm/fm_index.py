@@ -65,7 +65,7 @@ class FmIndex:
         inside = np.ones(n, bool)
         inside[ends] = False
         text[inside] = dense + 1
-        self.text, self.begin = text, np.concatenate([[0], ends[:-1] + 1])
+        self.text, self.begin = text.astype(np.int32), np.concatenate([[0], ends[:-1] + 1])
         rank, k = text, 1
         while k < DEPTH:
             after = np.zeros(n, np.int64)
@@ -73,7 +73,8 @@ class FmIndex:
             _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
             k *= 2
         order = np.argsort(rank, kind="stable")
-        self.owner = np.repeat(owners, lengths + 1)[order]
+        self.owners, rank = np.unique(owners, return_inverse=True)  # in order, so that the smallest rank is the smallest owner
+        self.owner = np.append(np.repeat(rank, lengths + 1)[order], len(self.owners)).astype(np.int32)
         size = len(self.alphabet) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
         self.bwt = WaveletMatrix(text[order - 1], size)
@@ -106,5 +107,4 @@ class FmIndex:
         top[back] = high
         pairs = np.empty(2 * len(at), np.int64)
         pairs[::2], pairs[1::2] = at, top
-        owner = np.append(self.owner, np.iinfo(np.int64).max)
-        return np.minimum.reduceat(owner, pairs)[::2][back] if len(at) else np.zeros(0, np.int64)
+        return self.owners[np.minimum.reduceat(self.owner, pairs)[::2]][back] if len(at) else np.zeros(0, np.int64)

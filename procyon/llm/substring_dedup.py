@@ -12,6 +12,9 @@ segment, and equal windows always have equal keys.
    holds a smaller owner is reported as an interval of removed words.
 4. Rows with intervals are cut; the others keep the digest of all their words.
 
+Words are compared by 128 bits, two hashes of 64 bits by unrelated numbers, in the index and in the digests by which
+equal segments are one; 64 of them choose keys and shards, which only bring candidates together.
+
 Keys or segments that recur within one task's chunk are settled there, and only one of them is dealt on, so a passage
 that a third of all documents hold reaches a shard once per chunk.
 
@@ -55,6 +58,25 @@ def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=0)
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """For each row whether it is the first or differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def numbered(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's pair among the distinct pairs, in their order; where each distinct pair is first found)."""
+    _, first, number = np.unique(one, return_index=True, return_inverse=True)
+    if (two[first][number] == two).all():
+        return number, first
+    order = np.lexsort((two, one))
+    new = changes(one[order], two[order])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
 class Segments:
     """The segments of a chunk's rows: key, row, first word (in the row) and in the chunk, number of windows."""
 
@@ -63,7 +85,7 @@ class Segments:
         ids = chunk.column("doc_id")
         usable = np.asarray(ids.is_valid()) if len(ids) else np.zeros(0, bool)
         self.doc = np.asarray(ids.fill_null(0)).astype(np.int64)
-        self.check = np.asarray(chunk.column("check")).astype(np.int64)
+        self.check = np.asarray(chunk.column("check"))
         grams = gram_hashes(self.words, GRAM)
         low = order[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | mix(grams) >> np.uint64(6)
         for step in (1, 2, 4):  # the smallest of 8 consecutive grams
@@ -170,17 +192,17 @@ def shared_keys(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
         for b, i in _slices(np.where((several[group] & ~new) | ~once, -1, bucket)):
             if b >= 0:
                 i = i[np.argsort(row[i], kind="stable")]
-                yield b, 0, pack(deltas(doc[i]).astype("<i8"), s.check[row[i]].astype("<u4"), k32[i], several[group[i]].astype("u1"))
+                yield b, 0, pack(deltas(doc[i]).astype("<i8"), s.check[row[i]].astype("<i8"), k32[i], several[group[i]].astype("u1"))
         # Kind 1: settled here, dealt out evenly by row.
         i = np.flatnonzero(several[group] & once)
         for b, j in _slices(mix(row[i].astype(np.uint64) + key[i[:1]].sum()).astype(np.int64) % buckets):
             own = i[j][np.argsort(row[i[j]], kind="stable")]
-            yield b, 1, pack(deltas(doc[own]).astype("<i8"), s.check[row[own]].astype("<u4"), k32[own], np.ones(len(own), "u1"))
+            yield b, 1, pack(deltas(doc[own]).astype("<i8"), s.check[row[own]].astype("<i8"), k32[own], np.ones(len(own), "u1"))
 
     def match(t: pa.Table) -> pa.Table:
         out = []
         for kind in (0, 1):
-            blobs = [unpack(b.as_py(), "<i8", "<u4", "<u4", "u1") for b, k in zip(t["blob"], t["kind"].to_pylist(), strict=True) if k == kind]
+            blobs = [unpack(b.as_py(), "<i8", "<i8", "<u4", "u1") for b, k in zip(t["blob"], t["kind"].to_pylist(), strict=True) if k == kind]
             if not blobs:
                 continue
             doc = np.concatenate([np.cumsum(b[0]) for b in blobs])
@@ -196,8 +218,8 @@ def shared_keys(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
             out.append((doc, check, k32))
         doc, check, k32 = (np.concatenate([o[c] for o in out]) for c in range(3))
         by = np.lexsort((check, doc))
-        doc, check, k32 = doc[by], check[by].astype(np.int64), k32[by].astype(np.int64)
-        head = np.flatnonzero((np.diff(doc, prepend=doc[:1] - 1) != 0) | (np.diff(check, prepend=-1) != 0)) if len(doc) else np.zeros(0, np.int64)
+        doc, check, k32 = doc[by], check[by], k32[by].astype(np.int64)
+        head = np.flatnonzero(changes(doc, check))
         lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)), pa.int32()), pa.array(k32))
         return pa.table([pa.array(doc[head]), pa.array(check[head]), lists], ["doc_id", "check", "keys"])
 
@@ -222,41 +244,38 @@ def shared_spans(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
         key, row, begin, windows, place = s.key[hit], s.row[hit], s.at[hit], s.windows[hit], s.place[hit]
         size = windows + WINDOW - 1
         doc = s.doc[row]
-        digest = _digests(s.words, begin, size)
-        by = np.lexsort((doc, digest))
-        new = np.ones(len(by), bool)
-        new[1:] = digest[by[1:]] != digest[by[:-1]]
+        second = word_hashes(*text_buffers(chunk.column("text")), lower=False, second=True)[0]
+        one, two = _digests(s.words, begin, size), _digests(second, begin, size)
+        by = np.lexsort((doc, two, one))
+        new = changes(one[by], two[by])
         least = np.empty(len(by), np.int64)
         least[by] = doc[by][np.flatnonzero(new)][np.cumsum(new) - 1]
         bucket = (key >> np.uint64(32)).astype(np.int64) % buckets
-        code = (s.words & np.uint64(0xFFFFFFFF)).astype("<u4")
-        first = np.zeros(len(by), bool)
-        first[by] = new
         # Kind 0: segments of the smallest id here; the words once for each, all its places.
         own = np.flatnonzero(doc == least)
         for b, i in _slices(bucket[own]):
             i = own[i]
-            i = i[np.argsort(digest[i], kind="stable")]
-            heads = i[np.flatnonzero(np.diff(digest[i].view(np.int64), prepend=~digest[i[:1]].view(np.int64)))]
-            words = np.concatenate([code[a : a + n] for a, n in zip(begin[heads], size[heads], strict=True)])
-            names, dense = np.unique(words, return_inverse=True)
-            yield b, 0, pack(doc[i], s.check[row[i]].astype("<u4"), place[i].astype("<u4"), digest[i], size[heads].astype("<u4"), names, dense.astype("<u4").view("u1").reshape(-1, 4).T.ravel())
+            i = i[np.lexsort((two[i], one[i]))]
+            heads = i[changes(one[i], two[i])]
+            words = np.concatenate([np.arange(a, a + n) for a, n in zip(begin[heads], size[heads], strict=True)])
+            dense, names = numbered(s.words[words], second[words])
+            yield b, 0, pack(doc[i], s.check[row[i]].astype("<i8"), place[i].astype("<u4"), one[i], two[i], size[heads].astype("<u4"), s.words[words[names]], second[words[names]], dense.astype("<u4").view("u1").reshape(-1, 4).T.ravel())
         # Kind 1: the others go as a whole; settled here, dealt out evenly.
         i = np.flatnonzero(doc != least)
         for b, j in _slices(mix(row[i].astype(np.uint64) + key[:1].sum()).astype(np.int64) % buckets):
             j = i[j]
-            yield b, 1, pack(doc[j], s.check[row[j]].astype("<u4"), place[j].astype("<u4"), size[j].astype("<u4"))
+            yield b, 1, pack(doc[j], s.check[row[j]].astype("<i8"), place[j].astype("<u4"), size[j].astype("<u4"))
 
     def search(t: pa.Table) -> pa.Table:
         spans: list[tuple[np.ndarray, ...]] = []
         blobs = []
         for b, kind in zip(t["blob"], t["kind"].to_pylist(), strict=True):
             if kind:
-                doc, check, place, size = unpack(b.as_py(), "<i8", "<u4", "<u4", "<u4")
-                spans.append((doc, check.astype(np.int64), place.astype(np.int64), size.astype(np.int64)))
+                doc, check, place, size = unpack(b.as_py(), "<i8", "<i8", "<u4", "<u4")
+                spans.append((doc, check, place.astype(np.int64), size.astype(np.int64)))
             else:
-                doc, check, place, digest, size, names, dense = unpack(b.as_py(), "<i8", "<u4", "<u4", "<u8", "<u4", "<u4", "u1")
-                blobs.append((doc, check, place, digest, size, names[np.ascontiguousarray(dense.reshape(4, -1).T).view("<u4").ravel()]))
+                *whole, dense = unpack(b.as_py(), "<i8", "<i8", "<u4", "<u8", "<u8", "<u4", "<u8", "<u8", "u1")
+                blobs.append((*whole, np.ascontiguousarray(dense.reshape(4, -1).T).view("<u4").ravel()))
         if blobs:
             spans += _search(blobs)
         doc, check, place, size = (np.concatenate([s[c] for s in spans]) for c in range(4)) if spans else [np.zeros(0, np.int64)] * 4
@@ -278,17 +297,19 @@ def _digests(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
 
 def _search(blobs: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
     """The removed runs of a shard's entries: what the FM-index of its distinct segments finds for smaller owners."""
-    doc, check, place, digest = (np.concatenate([b[c] for b in blobs]) for c in range(4))
-    size, codes = (np.concatenate([b[c] for b in blobs]) for c in (4, 5))
-    per_blob = [b[3][np.flatnonzero(np.diff(b[3].view(np.int64), prepend=~b[3][:1].view(np.int64)))] for b in blobs]
-    names, at = np.unique(np.concatenate(per_blob), return_index=True)  # each segment's words, once
+    doc, check, place, one, two, size = (np.concatenate([b[c] for b in blobs]) for c in range(6))
+    which, _ = numbered(one, two)
+    heads = np.concatenate([changes(b[3], b[4]) for b in blobs])
+    _, at = np.unique(which[heads], return_index=True)  # each segment's words, once
+    symbol, _ = numbered(*(np.concatenate([b[c] for b in blobs]) for c in (6, 7)))
+    base = np.cumsum([0] + [len(b[6]) for b in blobs])
+    codes = np.concatenate([symbol[b[8] + k] for b, k in zip(blobs, base, strict=False)])
     begin = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
     size = size.astype(np.int64)
-    which = np.searchsorted(names, digest)
-    owner = np.full(len(names), np.iinfo(np.int64).max)
+    owner = np.full(len(at), np.iinfo(np.int64).max)
     np.minimum.at(owner, which, doc)
     out = []
-    check, place = check.astype(np.int64), place.astype(np.int64)
+    place = place.astype(np.int64)
     length = size[at]
     other = doc > owner[which]
     out.append((doc[other], check[other], place[other], length[which[other]]))
@@ -320,7 +341,7 @@ def _search(blobs: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row; kept words are joined by one space."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("check", F.crc32("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("check", F.xxhash64("text"))
     counts = gram_counts(rows)
     order, shards = rarity(counts, STEPS), shard_count(docs, int(counts.sum()))
     keys = save(shared_keys(rows, order, shards))

@@ -191,3 +191,45 @@ def test_substrings_of_unlike_documents(spark):
         docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(len(rows))
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(docs).collect()}
         assert got == brute_substrings(rows)
+
+
+def test_words_of_one_code_are_told_apart(spark):
+    """Words whose first hash has the same lower half are different words all the same."""
+    import pyarrow as pa
+
+    twins = {}
+    for word in (f"q{i}" for i in [*range(216_000, 217_000), *range(385_000, 386_500)]):
+        code = common.word_hashes(*common.text_buffers(pa.array([word])), lower=False)[0][0] & np.uint64(0xFFFFFFFF)
+        twins.setdefault(int(code), []).append(word)
+    pairs = [w for w in twins.values() if len(w) > 1]
+    assert ["q216270", "q385977"] in pairs
+    shared = "a b c d e f g h i j k l m n o p".split()
+    rows = []
+    for k, (x, y) in enumerate(pairs):
+        for place in range(13):
+            rows += [(1000 * k + 2 * place, " ".join([*shared[:place], x, *shared[place:12], f"t{k}{place}"])), (1000 * k + 2 * place + 1, " ".join([*shared[:place], y, *shared[place:12], f"u{k}{place}"]))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_substrings(rows)
+    one = np.array([5, 5, 3, 5], np.uint64)
+    number, first = substring_dedup.numbered(one, np.array([1, 2, 9, 1], np.uint64))
+    assert number.tolist() == [1, 2, 0, 1] and first.tolist() == [2, 0, 1]
+
+
+def test_one_passage_in_every_document(spark):
+    r = random.Random(12)
+    passage = " ".join(f"w{r.randrange(50)}" for _ in range(60))
+    rows = [(i, f"x{i} {passage} y{i}" + (f" {passage[:90]}" if i % 3 else "")) for i in range(400)]
+    rows += [(7, f"other text of the same id {passage}"), (500, passage), (501, " ".join(passage.split()[5:30]))]
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect())
+    first, want = {}, []
+    for i, text in sorted(rows, key=lambda x: x[0]):
+        w = text.split()
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    for i, text in rows:
+        w, gone = text.split(), set()
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] < i:
+                gone |= set(range(j, j + 13))
+        want.append((i, len(w), len(gone)))
+    assert got == sorted(want)
