@@ -110,9 +110,16 @@ def dedup_trigram(incoming: DataFrame, existing: DataFrame, extra: Column | None
     return best.select(F.col("left_id").alias("id"), F.col("right_id").alias("existing_id"), F.lit(4).alias("layer"), decision.alias("decision"), F.round("similarity", 3).alias("confidence"), F.lit("title").alias("reason"))
 
 
-def resolve_duplicates(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """The first layer that answers each incoming row, else NEW. Only what layers 1 to 3 leave is joined by title."""
-    incoming, existing = materialise(incoming), materialise(existing)
+USED = ("id", "source_id", "municipality_id", "reference_number", "reference_number_normalized", "content_hash", "fingerprint", "title", "closing_at", "first_seen_at", "published_at")
+
+
+def resolve_duplicates(incoming: DataFrame, existing: DataFrame, stored: bool = False) -> DataFrame:
+    """The first layer that answers each incoming row, else NEW. Only what layers 1 to 3 leave is joined by title.
+
+    stored: existing is a table that can be read again as it is, and is not copied.
+    """
+    existing = existing.select(*[c for c in USED if c in existing.columns])
+    incoming, existing = materialise(incoming), existing if stored else materialise(existing)
     exact = reduce(DataFrame.unionByName, [f(incoming, existing) for f in (dedup_reference, dedup_content_hash, dedup_fingerprint)])
     exact = materialise(exact.groupBy("id").agg(F.min_by(F.struct(*OUT[1:]), "layer").alias("m")).select("id", "m.*"))
     rest = incoming.join(exact, "id", "left_anti")

@@ -13,9 +13,10 @@ KEPT = ("id", "first_seen_at", "version")
 
 
 def ingest_batch(items: DataFrame, sources: DataFrame, current: DataFrame | None, as_of: str, seen_at: str | None = None) -> dict[str, DataFrame]:
-    """Tables of a batch: opportunities (all, as they are then), versions, events, decisions, rejects.
+    """Tables of a batch: opportunities (those that it adds or changes), versions, events, decisions, rejects.
 
-    items and sources are those of normalize_items; current is the `opportunities` of the batch before, or None. Items
+    items and sources are those of normalize_items; current is the stored table before the batch, or None. Nothing of
+    the size of current is written: its rows are looked up by their keys, and by title in the batch's sources. Items
     of a batch are first resolved among themselves, the earliest published of them stands for the rest; these are
     resolved against current. Exact and probable matches become updates of the record that they match, of several the
     last published; uncertain ones are new records that need review. An update never erases a value by null; a version
@@ -32,15 +33,18 @@ def ingest_batch(items: DataFrame, sources: DataFrame, current: DataFrame | None
     if current is None:
         decisions = firsts.select("id", F.lit(None).cast("bigint").alias("existing_id"), F.lit(None).cast("int").alias("layer"), F.lit("NEW").alias("decision"), F.lit(1.0).alias("confidence"), F.lit("no match").alias("reason"))
     else:
-        decisions = materialise(dedup.resolve_duplicates(firsts, current))
+        decisions = materialise(dedup.resolve_duplicates(firsts, current, stored=True))
     merged = F.col("decision").isin("EXACT_MATCH", "PROBABLE_MATCH")
     fresh = dedup.apply_uncertain(firsts.join(decisions.where(~merged).select("id"), "id", "left_semi"), decisions)
     target = roots.join(decisions.select(F.col("id").alias("root"), F.when(merged, F.col("existing_id")).otherwise(F.col("id")).alias("target")), "root").select("id", "target")
-    base = materialise(fresh if current is None else current.unionByName(fresh))
     fields = [c for c in keep.columns if c not in KEPT]
     last = keep.join(target.where("id != target"), "id").groupBy("target").agg(F.max_by(F.struct(*fields), F.struct("published_at", "id")).alias("r"))
     updates = materialise(last.select(F.col("target").alias("id"), "r.*"))
+    base = fresh
+    if current is not None:
+        base = current.join(updates.select("id"), "id", "left_semi").unionByName(fresh)
+    base = materialise(base)
     changed = materialise(versions.diff_records(base, updates))
-    after = versions.apply_updates(base, updates)
+    after = materialise(versions.apply_updates(base, updates))
     made = after.join(changed.select("id").union(fresh.select("id")).distinct(), "id", "left_semi").select("id", "version", "title", "status")
     return {"opportunities": after, "versions": made, "events": versions.semantic_events(changed), "decisions": decisions, "rejects": all_rejects(missing, invalid)}

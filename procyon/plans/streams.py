@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import ingest_batch
 from ..streaming import streams
-from .registry import AS_OF, QUERIES, SQL, Tables, item_sources, raw_items
+from .registry import AS_OF, QUERIES, SQL, Tables, item_sources
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,17 +61,49 @@ def t8_stale_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_available(streams.stream_stale_alerts(_runs(spark, sf_dir), 24 * 3600))
 
 
+def ingest_items(t: Tables, again: bool) -> DataFrame:
+    """Stand-in items of a first batch, one for each order, and of a later one, by the last digit of the order's key.
+
+    First: 7 has the reference of 1 of its ten, 9 is 5 once more under another address, 6 has no reference, 8 no title.
+    Again: 0 is cancelled, 2 has another reference, 3 another title, 4 lost its reference and is awarded, 6 has a longer
+    title, 8 has a title; the others are not seen again.
+    """
+    k, of = F.col("o_orderkey"), F.col("o_orderkey") % 10
+    own = F.when(of == 7, k - 6).when(of == 9, k - 4).otherwise(k)
+    title = F.concat(F.lit("Contract "), F.md5(F.when(of == 9, own).otherwise(k).cast("string")))
+    reference = F.when(of != 6, F.concat(F.lit("R/"), own))
+    status, page = F.lit("open"), F.concat(F.lit("https://www.example.org/t/"), k)
+    if again:
+        title = F.when(of == 3, F.concat(F.lit("Renamed "), F.md5(k.cast("string")))).when(of == 6, F.concat(title, F.lit(" v2"))).otherwise(title)
+        reference = F.when(of == 2, F.concat(F.lit("N/"), k)).when(of != 4, reference)
+        status = F.when(of == 0, "cancelled").when(of == 4, "awarded").otherwise("open")
+    else:
+        title = F.when(of != 8, title)
+    at = F.date_format(F.timestamp_seconds(F.lit(1735689600) + k * 60), "dd/MM/yyyy HH:mm")
+    values = {"title": title, "reference": reference, "summary": F.concat(F.lit("Order "), k), "date": at, "deadline": F.lit("5 March 2026"), "status": status}
+    fields = F.map_filter(F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v)]), lambda _, v: v.isNotNull())
+    rows = t.orders.where(of.isin(0, 2, 3, 4, 6, 8)) if again else t.orders
+    first = t.supplier.agg(F.min("s_suppkey").alias("lowest"), F.count("*").alias("suppliers"))  # one row
+    source = F.col("lowest") + F.floor(k / 10) % F.col("suppliers")
+    return rows.crossJoin(F.broadcast(first)).select(source.alias("source_id"), page.alias("source_url"), fields.alias("fields"))
+
+
 def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The versions that two batches of items make: the opportunities, then all of them again, some cancelled or renamed."""
+    """The versions that two batches of items make; the stream stops between them and goes on from its checkpoint."""
     t, folder = Tables(spark, sf_dir), streams.own_folder(spark)
-    items = raw_items(t)
-    again = F.map_concat(F.map_filter("fields", lambda k, v: ~k.isin("status", "summary")), F.create_map(F.lit("status"), F.when(F.col("id") % 4 == 0, "cancelled").otherwise("open"), F.lit("summary"), F.lit("seen again")))
-    for part in (items, items.withColumn("fields", again)):
-        part.drop("id").coalesce(1).write.mode("append").parquet(f"{folder}/items")
-    schema = spark.read.parquet(f"{folder}/items").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/items")
-    streams.stream_ingest(stream, f"{folder}/out", lambda batch, current: ingest_batch(batch, item_sources(t), current, AS_OF), f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/versions").select("id", F.col("batch_id").cast("int").alias("batch"), "version", "title", "status")
+    for again in (False, True):
+        ingest_items(t, again).repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{folder}/items")
+        stream = spark.readStream.schema(spark.read.parquet(f"{folder}/items").schema).parquet(f"{folder}/items")
+        streams.stream_ingest(stream, f"{folder}/out", lambda batch, current: ingest_batch(batch, item_sources(t), current, AS_OF), f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/versions").select(F.col("batch_id").cast("int").alias("batch"), "version", "title", "status")
+
+
+_T1 = """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 10 AS of, CASE o_orderkey % 10 WHEN 7 THEN o_orderkey - 6 WHEN 9 THEN o_orderkey - 4 ELSE o_orderkey END AS own FROM orders),
+i AS (SELECT *, 'Contract ' || md5(CAST(CASE of WHEN 9 THEN own ELSE k END AS VARCHAR)) AS title, row_number() OVER (PARTITION BY own ORDER BY k) AS n, count(*) OVER (PARTITION BY own) AS seen FROM k),
+first AS (SELECT own, CAST(max(n) AS BIGINT) AS version, arg_max(title, n) AS title FROM i WHERE of <> 8 GROUP BY own)
+SELECT 0 AS batch, version, title, 'OPEN' AS status FROM first
+UNION ALL SELECT 1, CASE WHEN of IN (2, 8) THEN CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END, CASE of WHEN 3 THEN 'Renamed ' || md5(CAST(k AS VARCHAR)) WHEN 6 THEN title || ' v2' ELSE title END,
+  CASE of WHEN 0 THEN 'CANCELLED' WHEN 4 THEN 'AWARDED' ELSE 'OPEN' END FROM i WHERE of IN (0, 2, 3, 4, 6, 8)"""
 
 
 def t1_ingest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +111,10 @@ def t1_ingest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = streams.own_folder(spark)
 
     def process(batch: DataFrame, current: DataFrame | None) -> dict[str, DataFrame]:
-        fresh = batch.dropDuplicates(["source_id", "title"])
+        fresh = batch.dropDuplicates(["source_id", "title"]).withColumn("id", F.xxhash64("source_id", "title"))
         if current is not None:
             fresh = fresh.join(current.select("source_id", "title"), ["source_id", "title"], "left_anti")
-        return {"opportunities": fresh if current is None else current.select(*fresh.columns).unionByName(fresh), "versions": fresh.withColumn("version", F.lit(1))}
+        return {"opportunities": fresh, "versions": fresh.drop("id").withColumn("version", F.lit(1))}
 
     items = streams.read_events(spark, sf_dir).select(F.col("user_id").alias("source_id"), F.concat_ws(" ", "event_type", "props").alias("title"))
     streams.stream_ingest(items, folder, process, f"{folder}/state").awaitTermination()
@@ -93,6 +125,7 @@ for _f in (t1_ingest, t1_ingest_exact, t2_change_feed, t3_quota_windows, t4_sour
     QUERIES[_f.__name__] = _f
 
 SQL |= {
+    "t1_ingest": _T1,
     "t1_ingest_exact": "SELECT DISTINCT user_id AS source_id, event_type || ' ' || props AS title, CAST(1 AS BIGINT) AS version FROM events",
     "t2_change_feed": "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-15 00:00:00'",
     "t3_quota_windows": "SELECT user_id AS client, CASE user_id % 3 WHEN 0 THEN 'FREE' WHEN 1 THEN 'STANDARD' ELSE 'PREMIUM' END AS tier, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS hits, count(*) <= CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END AS allowed, greatest(CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END - count(*), 0) AS remaining FROM events GROUP BY user_id, date_trunc('minute', ts)",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..sources.state import shared_folder
+from ..sources.state import KeyedTable, scratch, shared_folder, write_tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -192,23 +192,20 @@ def stream_stale_alerts(runs: DataFrame, horizon_s: int = 96 * 3600, late: str =
     return _with_state(runs.withWatermark("started_at", late), "source_id", _Stale(horizon_s), "source_id bigint, last_success_ms bigint", "Append", "EventTime")
 
 
-def stream_ingest(items: DataFrame, path: str, process: Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]], checkpoint: str) -> Any:
-    """Runs process(batch, current) for each micro-batch and writes its tables under the batch's id; replays overwrite.
+def stream_ingest(items: DataFrame, path: str, process: Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]], checkpoint: str, buckets: int = 64) -> Any:
+    """Runs process(batch, current) for each micro-batch and writes its tables; a replayed batch writes them again.
 
-    current is what the batches before have kept in `opportunities`, or None.
+    process gives the rows of `opportunities` that are new or changed, and histories. current is what the batches
+    before have left in `opportunities` (a KeyedTable under path), or None. Histories get a partition for each batch;
+    the keyed table's manifest is written last and commits the batch. What process saved on its way is deleted then.
     """
-    from ..sources.state import write_tables
+    spark = items.sparkSession
+    table = KeyedTable(spark, f"{path}/opportunities", buckets=buckets)
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = None
-        for before in range(batch_id - 1, -1, -1):
-            try:
-                current = spark.read.parquet(f"{path}/opportunities/batch={before}")
-                break
-            except Exception as e:  # a batch without rows wrote nothing
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        write_tables(process(batch, current), path, str(batch_id))
+        with scratch(spark):
+            found = process(batch, table.read(batch_id - 1))
+            write_tables({k: df for k, df in found.items() if k != "opportunities"}, path, str(batch_id), rewritten=())
+            table.write(found["opportunities"], batch_id)
 
     return items.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(one).start()

@@ -1,23 +1,82 @@
-"""The whole ingest of two batches on a few items."""
+"""The whole ingest of two batches on a few items, and the keyed table under it."""
+
+import os
+import random
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 from procyon.operators.ingest import ingest_batch
-from procyon.sources.state import materialise
+from procyon.sources import state
+from procyon.sources.state import KeyedTable
 
 AS_OF = "2026-01-01 00:00:00"
 SIGNS = {"title": "Supply of road signs for the northern depot", "reference": "SCM/1/2026", "description": "signs", "date": "2025-12-01", "deadline": "5 March 2026", "status": "open"}
 PUMPS = {"title": "Maintenance of pumps and valves in the region", "reference": "SCM/2/2026", "description": "pumps", "date": "2025-12-02", "deadline": "6 March 2026", "status": "open"}
 
 
-def test_two_batches(spark):
+def test_two_batches(spark, tmp_path):
     sources = spark.createDataFrame([(1, "City", 5, None, "https://www.example.org/", "Africa/Johannesburg")], "id bigint, organization string, municipality_id bigint, province_id bigint, base_url string, source_timezone string")
     items = lambda *rows: spark.createDataFrame([(1, f"https://www.example.org/{name}", fields) for name, fields in rows], "source_id bigint, source_url string, fields map<string,string>")
     first = ingest_batch(items(("a", SIGNS), ("b", PUMPS), ("c", {"title": "  "}), ("a", SIGNS)), sources, None, AS_OF)
-    current = materialise(first["opportunities"])
+    table = KeyedTable(spark, str(tmp_path / "opportunities"), buckets=4)
+    table.write(first["opportunities"], 0)
+    current = table.read(0)
     assert current.count() == 2 and {r.version for r in first["versions"].collect()} == {1}
     assert [r.code for r in first["rejects"].collect()] == ["MISSING_TITLE"]
     second = ingest_batch(items(("a2", {**SIGNS, "status": "cancelled"}), ("d", {**PUMPS, "title": "Security services at the harbour", "reference": "SCM/3/2026", "description": "guards"})), sources, current, AS_OF)
     assert {r.decision for r in second["decisions"].collect()} == {"EXACT_MATCH", "NEW"}
-    after = {r.title: (r.version, r.status) for r in second["opportunities"].collect()}
+    assert {r.title for r in second["opportunities"].collect()} == {SIGNS["title"], "Security services at the harbour"}
+    table.write(second["opportunities"], 1)
+    after = {r.title: (r.version, r.status) for r in table.read(1).collect()}
     assert after == {SIGNS["title"]: (2, "CANCELLED"), PUMPS["title"]: (1, "OPEN"), "Security services at the harbour": (1, "OPEN")}
     assert "CANCELLED" in {r.event_type for r in second["events"].collect()}
     assert sorted(r.version for r in second["versions"].collect()) == [1, 2]
+
+
+def size_of(folder):
+    return sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+
+
+def test_keyed_table_equals_a_dict(spark, tmp_path):
+    """Many batches of new and changed rows: the table is what a dict would be, and holds little more than that."""
+    table, want, r = KeyedTable(spark, str(tmp_path / "t"), buckets=3), {}, random.Random(1)
+    for batch in range(9):
+        rows = {r.randrange(60): batch * 1000 + i for i in range([40, 3, 5, 0, 30, 2, 2, 25, 1][batch])}
+        want |= rows
+        table.write(spark.createDataFrame(list(rows.items()), "id bigint, v bigint"), batch)
+        assert {x.id: x.v for x in table.read(batch).collect()} == want
+    assert len(list((tmp_path / "t" / "manifest").glob("batch=*"))) == 2
+    parts = {p.part for b in (7, 8) for p in table.parts(b)}
+    assert {str(p.parent.relative_to(tmp_path / "t")) for p in (tmp_path / "t").rglob("bucket=*/*.parquet")} == parts
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=4)
+    batches = [[(i, 0) for i in range(50)], [(3, 1), (70, 1)], [(3, 2), (4, 2)]]
+    frames = [spark.createDataFrame(b, "id bigint, v bigint") for b in batches]
+    for batch, df in enumerate(frames):
+        table.write(df, batch)
+    before = sorted(map(tuple, table.read(2).collect())), sorted(map(str, table.parts(2)))
+    table.write(frames[2], 2)  # as after a crash behind the manifest
+    assert (sorted(map(tuple, table.read(2).collect())), sorted(map(str, table.parts(2)))) == before
+    table.write(frames[2].where("id = 3"), 2)  # as after one before it, with other rows
+    assert {x.id: x.v for x in table.read(2).collect()}[4] == 0
+
+
+def test_bytes_written_go_with_the_batch(spark, tmp_path):
+    wide = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=8)
+    table.write(wide, 0)
+    whole = size_of(tmp_path / "t" / "data" / "batch=0")
+    table.write(wide.where("id % 400 = 7"), 1)
+    assert size_of(tmp_path / "t" / "data" / "batch=1") < whole / 40 and not (tmp_path / "t" / "rewritten").exists()
+    assert table.read(1).count() == 40_000
+
+
+def test_scratch_deletes_what_was_saved_within_it(spark):
+    with state.scratch(spark):
+        state.materialise(spark.range(3))
+        (path,) = state._scopes[-1]
+        assert os.path.exists(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:")) and not state._scopes
