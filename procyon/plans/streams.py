@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import ingest_batch
+from ..sources.state import materialise
 from ..streaming import streams
 from .registry import AS_OF, QUERIES, SQL, Tables, item_sources
 
@@ -28,18 +29,35 @@ def t3_quota_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("client", "tier", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "hits", "allowed", F.col("remaining").cast("bigint").alias("remaining"))
 
 
+def _with_end(turns: list[DataFrame], key: str, at: str) -> list[DataFrame]:
+    """turns, and one more of a single row, of no key that is asked for, whose time lets the watermark pass all others."""
+    last = turns[0]
+    for x in turns[1:]:
+        last = last.union(x)
+    end = last.agg(F.max(at).alias("top")).select((F.col("top") + F.expr("INTERVAL 400 DAYS")).alias(at), F.lit(-1).cast("bigint").alias(key))
+    return [*turns, end.select(*[F.col(f.name) if f.name in (at, key) else F.lit(None).cast(f.dataType).alias(f.name) for f in turns[0].schema])]
+
+
 def t4_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_available(streams.stream_source_health(_runs(spark, sf_dir)), "update", ["source_id"]).select("source_id", "runs", "consecutive_failures", "health")
+    """Health of the events' users; every third run comes a turn after those that are newer than it."""
+    t = Tables(spark, sf_dir)
+    runs = t.source_runs.select("id", "source_id", F.col("started_at").cast("timestamp").alias("started_at"), "status", "duration_ms")
+    turn = F.least(F.lit(2), F.floor(F.dayofmonth("started_at") / 11) + F.when(F.col("id") % 3 == 0, 1).otherwise(0))
+    out = streams.run_in_turns(_with_end([runs.where(turn == i) for i in range(3)], "source_id", "started_at"), lambda s: streams.stream_source_health(s, "40 days"), "update", ["source_id"])
+    return out.where("source_id >= 0").select("source_id", "runs", "consecutive_failures", "health")
 
 
 def t5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of the orders' lines as they arrive; equals e5_version_history."""
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    # the order of observations within an order is that of the batch stand-in, computed from the lines' own columns
-    seq = F.xxhash64("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    obs = lines.select(F.col("l_orderkey").alias("opportunity_id"), seq.alias("seq"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("closing_at"), F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("CLOSED").alias("status"), F.concat(F.lit("https://www.example.org/d/"), F.col("l_partkey") % 5, F.lit(".pdf")).alias("document_url"))
-    return streams.run_available(streams.stream_versions(obs, ["closing_at", "status"]))
+    """Versions of the orders' lines as they arrive in four turns, a third of them a turn late; equals e5_version_history."""
+    t = Tables(spark, sf_dir)
+    hour = F.col("opportunity_id") % 997
+    at = F.timestamp_seconds(F.lit(1704067200) + hour * 3600 + F.col("seq") * 600)
+    obs = t.observations.select("opportunity_id", at.alias("at"), F.col("seq").cast("bigint").alias("seq"), F.date_format("closing_at", "yyyy-MM-dd HH:mm:ss").alias("closing_at"), "status", "submission_method", "document_url")
+    turn = F.least(F.lit(3), F.floor(hour / 250) + F.when(F.xxhash64("opportunity_id", "seq") % 3 == 0, 1).otherwise(0))
+    obs = materialise(obs.withColumn("turn", turn))
+    turns = [obs.where(F.col("turn") == i).drop("turn") for i in range(4)]
+    out = streams.run_in_turns(_with_end(turns, "opportunity_id", "at"), lambda s: streams.stream_versions(s, ["closing_at", "status", "submission_method"], late="600 hours"))
+    return out.where("opportunity_id >= 0").select("opportunity_id", "seq", "version", "closing_at", "status", "submission_method", "document_added")
 
 
 def t6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +70,14 @@ def t7_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+def t7_late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding counts of events that arrive in three turns, some of them a turn or two late."""
+    events = Tables(spark, sf_dir).events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    turn = F.least(F.lit(2), F.floor(F.dayofmonth("ts") / 11) + F.when(F.col("event_id") % 7 == 3, 1).when(F.col("event_id") % 11 == 5, 2).otherwise(0))
+    out = streams.run_in_turns([events.where(turn == i) for i in range(3)], lambda s: streams.sliding_counts_with_late(s, "2 hours", "1 hour", "10 minutes", "40 days"), "update", ["event_type", "start"])
+    return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "late")
+
+
 def t7_edit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.run_available(streams.edit_sessions(streams.read_events(spark, sf_dir), "30 minutes", "user_id"), "complete")
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
@@ -121,7 +147,7 @@ def t1_ingest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/versions").select("source_id", "title", F.col("version").cast("bigint").alias("version"))
 
 
-for _f in (t1_ingest, t1_ingest_exact, t2_change_feed, t3_quota_windows, t4_source_health, t5_versions, t6_exact_dedup, t7_sliding_counts, t7_edit_sessions, t8_stale_alerts):
+for _f in (t1_ingest, t1_ingest_exact, t2_change_feed, t3_quota_windows, t4_source_health, t5_versions, t6_exact_dedup, t7_sliding_counts, t7_late_counts, t7_edit_sessions, t8_stale_alerts):
     QUERIES[_f.__name__] = _f
 
 SQL |= {
@@ -130,6 +156,11 @@ SQL |= {
     "t2_change_feed": "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-15 00:00:00'",
     "t3_quota_windows": "SELECT user_id AS client, CASE user_id % 3 WHEN 0 THEN 'FREE' WHEN 1 THEN 'STANDARD' ELSE 'PREMIUM' END AS tier, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS hits, count(*) <= CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END AS allowed, greatest(CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END - count(*), 0) AS remaining FROM events GROUP BY user_id, date_trunc('minute', ts)",
     "t4_source_health": SQL["o5_source_health"].replace("source_id, runs, consecutive_failures, strftime(last_run_at, '%Y-%m-%d %H:%M:%S') AS last_run_at, strftime(last_success_at, '%Y-%m-%d %H:%M:%S') AS last_success_at,", "source_id, runs, consecutive_failures,"),
+    "t5_versions": SQL["e5_version_history"],
+    "t7_late_counts": """WITH e AS (SELECT event_type, ts, least(2, floor(day(ts) / 11.0) + CASE WHEN event_id % 7 = 3 THEN 1 WHEN event_id % 11 = 5 THEN 2 ELSE 0 END) AS turn FROM events),
+      m AS (SELECT t.turn, (SELECT max(ts) FROM e WHERE e.turn < t.turn) AS newest FROM (SELECT DISTINCT turn FROM e) t),
+      w AS (SELECT event_type, date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) AS start, newest FROM e JOIN m USING (turn), range(0, 2) r(k))
+      SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) FILTER (NOT coalesce(start + INTERVAL 2 HOUR <= newest - INTERVAL 10 MINUTE, false)) AS n, count(*) FILTER (coalesce(start + INTERVAL 2 HOUR <= newest - INTERVAL 10 MINUTE, false)) AS late FROM w GROUP BY event_type, start""",
     "t8_stale_alerts": "SELECT user_id AS source_id, CAST(floor(epoch_us(max(ts)) / 1000.0) AS BIGINT) AS last_success_ms FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "t6_exact_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "t7_edit_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k",

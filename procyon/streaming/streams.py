@@ -32,12 +32,13 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """What a stream yields for the data that is there. keys: in update mode, the latest row of each.
 
     In append mode windows that the watermark has not passed are missing; in complete mode each batch replaces the last.
+    folder: where state and results of earlier runs are, so that this run goes on from them.
     """
-    spark, folder = stream.sparkSession, own_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, folder or own_folder(stream.sparkSession)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/b{batch_id}")
@@ -52,6 +53,19 @@ def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | Non
     return out.drop("__batch")
 
 
+def run_in_turns(turns: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """What build(stream) yields when the rows of `turns` arrive one frame after another.
+
+    After each the stream stops, and goes on from its checkpoint with the next: a restart between any two.
+    """
+    spark, folder = turns[0].sparkSession, own_folder(turns[0].sparkSession)
+    out = None
+    for turn in turns:
+        turn.write.mode("append").parquet(f"{folder}/in")
+        out = run_available(build(spark.readStream.schema(turn.schema).parquet(f"{folder}/in")), mode, keys, folder)
+    return out
+
+
 def stream_change_feed(events: DataFrame, event_type: str | None = None, after: str | None = None) -> DataFrame:
     if event_type is not None:
         events = events.where(F.col("event_type") == event_type)
@@ -75,87 +89,189 @@ def sliding_counts(events: DataFrame, window: str, slide: str, late: str = "10 m
     return out.select("event_type", F.col("window.start").alias("start"), "n")
 
 
+class _LateCounts(StatefulProcessor):
+    """Rows of one window in time, and behind the watermark. What Spark takes for its watermark is `back` behind it."""
+
+    def __init__(self, length_ms: int, back_ms: int):
+        self.length, self.back = length_ms, back_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("counts", "n bigint, late bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.state.exists()
+        n, late = self.state.get() if known else (0, 0)
+        end = key[1] + self.length
+        told = timerValues.getCurrentWatermarkInMs()
+        more = sum(len(frame) for frame in rows)
+        if told > 0 and end <= told + self.back:
+            late += more
+        else:
+            n += more
+        self.state.update((n, late))
+        if not known:
+            self.handle.registerTimer(end)
+        yield pd.DataFrame({"event_type": [key[0]], "start_ms": [key[1]], "n": [n], "late": [late]})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_counts_with_late(events: DataFrame, window: str, slide: str, late: str = "10 minutes", horizon: str = "30 days") -> DataFrame:
+    """(event_type, start, n, late): sliding_counts, and how many rows came when the window's end was behind the watermark.
+
+    The watermark is that of sliding_counts: `late` behind the newest time of the batches before. Spark would drop those
+    rows unseen, so it is given one that is `horizon` further back; rows later still are dropped and not counted, and a
+    window's counts are forgotten then. In update mode, a row for each change of a window.
+    """
+    length, back = (int(pd.Timedelta(x) / pd.Timedelta("1ms")) for x in (window, horizon))
+    allowed = f"{int(pd.Timedelta(late) / pd.Timedelta('1ms')) + back} milliseconds"
+    rows = events.withWatermark("ts", allowed).withColumn("first", F.window("ts", slide)["start"])
+    step = int(pd.Timedelta(slide) / pd.Timedelta("1ms"))
+    rows = rows.select("event_type", "ts", F.explode(F.sequence(F.unix_millis("first") - F.lit(length - step), F.unix_millis("first"), F.lit(step))).alias("start_ms"))
+    out = _with_state(rows, ["event_type", "start_ms"], _LateCounts(length, back), "event_type string, start_ms bigint, n bigint, late bigint", "Update", "EventTime")
+    return out.select("event_type", F.timestamp_millis("start_ms").alias("start"), "n", "late")
+
+
 def edit_sessions(events: DataFrame, gap: str, key: str, late: str = "10 minutes") -> DataFrame:
     """(key, start, end, n): sessions of events of one key no further apart than gap."""
     out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def _with_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, time: str) -> DataFrame:
+def _with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, mode: str, time: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
+    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
+
 
+class _Ordered(StatefulProcessor):
+    """A reorder buffer: a key's rows wait until the watermark has passed their time, and are stepped through in order.
 
-class _Health(StatefulProcessor):
+    Rows wait in list state, whatever batch they came in, and one timer for each key stands at the earliest of them.
+    When it fires, every row behind the watermark is released by (ms, order), as no earlier one can come any more, and
+    the timer moves on. What a worker holds of a key is what waits within the watermark's delay, never its history.
+    """
+
+    def __init__(self, columns: list[str], schema: str):
+        self.columns, self.schema = ["ms", *columns], f"ms bigint, {schema}"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for frame in rows:
+            held = frame[self.columns].astype(object).where(frame[self.columns].notna(), None)
+            self.waiting.appendList(list(held.itertuples(index=False, name=None)))
+            first = int(frame["ms"].min()) if first is None else min(first, int(frame["ms"].min()))
+        if first is not None:
+            self._set(first)
+        return iter(())
+
+    def _set(self, ms: int) -> None:
+        if self.timer.exists():
+            if self.timer.get()[0] <= ms:
+                return
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.timer.update((ms,))
+        self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.waiting.get()]
+        rest = [r for r in rows if r[0] > passed]
+        self.timer.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._set(min(r[0] for r in rest))
+        else:
+            self.waiting.clear()
+        yield from self.step(key, sorted((r for r in rows if r[0] <= passed), key=lambda r: r[:2]))
+
+    def step(self, key: Any, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """What the next rows of a key yield: tuples of `columns`, in order."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Health(_Ordered):
     """Consecutive failures and smoothed duration of a source."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("health", "failures bigint, average double, runs bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def step(self, key: Any, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         failures, average, runs = self.state.get() if self.state.exists() else (0, None, 0)
-        # Rows of a batch come in any order; a batch's rows of one source are its runs since the last batch.
-        frame = pd.concat(list(rows)).sort_values(["started_at", "id"])
-        for status, ms in zip(frame["status"], frame["duration_ms"], strict=True):
+        for _, _, status, ms in rows:
             failures = failures + 1 if status == "FAILED" else 0
-            if ms is not None and ms == ms:
+            if ms is not None:
                 average = float(ms) if average is None else round(average * 0.7 + float(ms) * 0.3, 2)
             runs += 1
         self.state.update((failures, average, runs))
         health = "OFFLINE" if failures >= 10 else "FAILING" if failures >= 4 else "DEGRADED" if failures >= 1 else "HEALTHY"
         yield pd.DataFrame({"source_id": [key[0]], "runs": [runs], "consecutive_failures": [failures], "health": [health], "average_ms": [average]})
 
-    def close(self) -> None:
-        pass
 
+def stream_source_health(runs: DataFrame, late: str = "1 hour") -> DataFrame:
+    """runs (source_id, id, started_at, status, duration_ms) as they arrive -> a source's health, in update mode.
 
-def stream_source_health(runs: DataFrame) -> DataFrame:
-    """runs (source_id, id, started_at, status, duration_ms) as they arrive -> a source's health, in update mode."""
-    return _with_state(runs, "source_id", _Health(), "source_id bigint, runs bigint, consecutive_failures bigint, health string, average_ms double", "Update", "None")
+    Runs count in the order of started_at, then id, once the watermark (`late` behind the newest) has passed them; runs
+    that come later than that are dropped.
+    """
+    rows = runs.withWatermark("started_at", late).select("source_id", "id", "started_at", "status", "duration_ms", F.unix_millis("started_at").alias("ms"))
+    return _with_state(rows, ["source_id"], _Health(["id", "status", "duration_ms"], "id bigint, status string, duration_ms bigint"), "source_id bigint, runs bigint, consecutive_failures bigint, health string, average_ms double", "Update", "EventTime")
 
 
-class _Versions(StatefulProcessor):
+class _Versions(_Ordered):
     """The values in force of an opportunity, and the documents that it had."""
 
     def __init__(self, fields: list[str], document: str):
-        self.fields, self.document = fields, document
+        super().__init__(["seq", *fields, document], "seq bigint, " + ", ".join(f"`{f}` string" for f in [*fields, document]))
+        self.fields = fields
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", "field string", "value string")
+        super().init(handle)
+        self.values = handle.getValueState("values", "version bigint, " + ", ".join(f"`{f}` string" for f in self.fields))
         self.seen = handle.getMapState("seen", "url string", "yes boolean")
-        self.version = handle.getValueState("version", "n bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        version = self.version.get()[0] if self.version.exists() else 0
+    def step(self, key: Any, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        version, *now = self.values.get() if self.values.exists() else (0, *[None] * len(self.fields))
+        known = {u: self.seen.containsKey((u,)) for u in {r[-1] for r in rows} - {None}}
         out = []
-        for r in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
-            changed = []
-            for f in self.fields:
-                new = r[f]
-                if new is None or new != new:
-                    continue
-                old = self.values.getValue((f,))[0] if self.values.containsKey((f,)) else None
-                if old != str(new):
-                    self.values.updateValue((f,), (str(new),))
-                    changed.append(f)
-            fresh = r[self.document] is not None and not self.seen.containsKey((r[self.document],))
+        for _, seq, *values, url in rows:
+            changed = [f for f, old, new in zip(self.fields, now, values, strict=True) if new is not None and new != old]
+            now = [old if new is None else new for old, new in zip(now, values, strict=True)]
+            fresh = url is not None and not known[url]
             if fresh:
-                self.seen.updateValue((r[self.document],), (True,))
+                known[url] = True
+                self.seen.updateValue((url,), (True,))
             if version == 0 or changed or fresh:
                 version += 1
-                out.append((key[0], r["seq"], version, fresh, ",".join(sorted(changed)) if version > 1 else ""))
-        self.version.update((version,))
+                out.append((key[0], seq, version, *now, fresh, ",".join(sorted(changed)) if version > 1 else ""))
+        self.values.update((version, *now))
         if out:
-            yield pd.DataFrame(out, columns=["opportunity_id", "seq", "version", "document_added", "changed"])
+            yield pd.DataFrame(out, columns=["opportunity_id", "seq", "version", *self.fields, "document_added", "changed"])
 
-    def close(self) -> None:
-        pass
 
+def stream_versions(observations: DataFrame, fields: list[str], document: str = "document_url", late: str = "1 hour") -> DataFrame:
+    """observations (opportunity_id, at, seq, fields, document) -> a row for each new version, fields as text.
 
-def stream_versions(observations: DataFrame, fields: list[str], document: str = "document_url") -> DataFrame:
-    """observations (opportunity_id, seq, fields, document) -> a row for each new version; fields compared as text."""
-    text = observations.select("opportunity_id", "seq", *[F.col(f).cast("string").alias(f) for f in fields], document)
-    return _with_state(text, "opportunity_id", _Versions(fields, document), "opportunity_id bigint, seq bigint, version bigint, document_added boolean, changed string", "Append", "None")
+    Observations count in the order of (at, seq), in whatever order and batch they come: each waits until the watermark
+    (`late` behind the newest `at`) has passed it. Those that come later than that are dropped.
+    """
+    text = observations.withWatermark("at", late).select("opportunity_id", "at", F.unix_millis("at").alias("ms"), "seq", *[F.col(f).cast("string").alias(f) for f in [*fields, document]])
+    schema = f"opportunity_id bigint, seq bigint, version bigint, {', '.join(f'`{f}` string' for f in fields)}, document_added boolean, changed string"
+    return _with_state(text, ["opportunity_id"], _Versions(fields, document), schema, "Append", "EventTime")
 
 
 class _Stale(StatefulProcessor):
@@ -169,10 +285,10 @@ class _Stale(StatefulProcessor):
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows))
-        good = frame[frame["status"] != "FAILED"]["started_at"]
-        if len(good):
-            ms = pd.Timestamp(good.max()).value // 1_000_000
+        good = [frame.loc[frame["status"] != "FAILED", "started_at"].max() for frame in rows]
+        good = [x for x in good if not pd.isna(x)]
+        if good:
+            ms = pd.Timestamp(max(good)).value // 1_000_000
             if not self.last.exists() or ms > self.last.get()[0]:
                 if self.last.exists():
                     self.handle.deleteTimer(self.last.get()[0] + self.horizon)
@@ -189,7 +305,7 @@ class _Stale(StatefulProcessor):
 
 def stream_stale_alerts(runs: DataFrame, horizon_s: int = 96 * 3600, late: str = "1 hour") -> DataFrame:
     """(source_id, last_success_ms) when event time passes a source's last success by the horizon."""
-    return _with_state(runs.withWatermark("started_at", late), "source_id", _Stale(horizon_s), "source_id bigint, last_success_ms bigint", "Append", "EventTime")
+    return _with_state(runs.withWatermark("started_at", late), ["source_id"], _Stale(horizon_s), "source_id bigint, last_success_ms bigint", "Append", "EventTime")
 
 
 def stream_ingest(items: DataFrame, path: str, process: Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]], checkpoint: str, buckets: int = 64) -> Any:

@@ -47,16 +47,9 @@ def test_every_opportunity_is_looked_up(spark):
     assert len({r.id % 4 for r in QUERIES["d4_dedup_trigram"](spark, SF).select("id").collect()}) == 4
 
 
-def test_stream_versions_equal_batch(spark):
-    from pyspark.sql import functions as F
-
-    from procyon.model import load
-
-    seq = F.xxhash64("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    obs = load(spark, SF, "lineitem").select(F.col("l_orderkey").alias("opportunity_id"), seq.alias("seq"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("closing_at"), F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("CLOSED").alias("status"), F.concat(F.lit("https://www.example.org/d/"), F.col("l_partkey") % 5, F.lit(".pdf")).alias("document_url"))
-    batch = versions.version_history(obs, "opportunity_id", ["seq"], ["closing_at", "status"], "document_url").select("opportunity_id", "seq", "version", "document_added")
-    stream = QUERIES["t5_versions"](spark, SF).select("opportunity_id", "seq", "version", "document_added")
-    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
+@pytest.mark.parametrize("name", ["t1_ingest", "t5_versions", "t7_late_counts"])
+def test_streams_in_turns_agree_with_sql(spark, name):
+    test_sql_agrees(spark, name)
 
 
 def test_open_sessions_are_there(spark, tmp_path):
