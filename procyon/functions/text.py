@@ -168,9 +168,10 @@ def first_meaningful_line(text: Column, least: int = 12, most: int = 300) -> Col
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the lower-case words, each padded by two blanks before and one after."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0))
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))))
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    padded = F.concat(F.lit("  "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " \n  "), F.lit(" "))
+    grams = F.regexp_extract_all(padded, F.lit("(?=(...))"), 1)  # a dot is no line feed, so none spans two words
+    return F.array_distinct(F.when(low == "", F.slice(grams, 1, 0)).otherwise(grams))
 
 
 def set_similarity(a: Column, b: Column) -> Column:

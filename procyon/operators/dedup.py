@@ -96,15 +96,15 @@ def dedup_fingerprint(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return _decided(found, 3, decision, F.when(apart, 0.45).when(same, 0.9).otherwise(0.5), "fingerprint")
 
 
-def dedup_trigram(incoming: DataFrame, existing: DataFrame, extra: Column | None = None) -> DataFrame:
-    """Layer 4: similar titles of one source, with compatible references and closing dates; the best match only. extra: a condition on l.* and r.*."""
+def dedup_trigram(incoming: DataFrame, existing: DataFrame, extra: Column | None = None, needs: tuple[str, ...] = ()) -> DataFrame:
+    """Layer 4: similar titles of one source, with compatible references and closing dates; the best match only. extra: a condition on l.* and r.* of the columns `needs`."""
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     ref = r("reference_number_normalized").isNull() | l("reference_number_normalized").isNull() | (l("reference_number_normalized") == r("reference_number_normalized"))
     near = F.make_dt_interval(F.lit(CLOSING_DAYS))
     close = l("closing_at").isNull() | r("closing_at").isNull() | r("closing_at").between(l("closing_at") - near, l("closing_at") + near)
     town = l("municipality_id").isNull() | l("municipality_id").eqNullSafe(r("municipality_id"))
     fits = (l("id") != r("id")) & ref & close & town
-    pairs = similar_pairs(incoming, existing, FLOOR, block=("source_id",), short=LEAST_TITLE, extra=fits if extra is None else fits & extra)
+    pairs = similar_pairs(incoming, existing, FLOOR, block=("source_id",), short=LEAST_TITLE, extra=fits if extra is None else fits & extra, needs=("reference_number_normalized", "closing_at", "municipality_id", *needs))
     best = pairs.withColumn("__n", F.row_number().over(W.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id"))).where("__n = 1")
     decision = F.when(F.col("similarity") >= PROBABLE, "PROBABLE_MATCH").otherwise("UNCERTAIN")
     return best.select(F.col("left_id").alias("id"), F.col("right_id").alias("existing_id"), F.lit(4).alias("layer"), decision.alias("decision"), F.round("similarity", 3).alias("confidence"), F.lit("title").alias("reason"))
@@ -185,7 +185,7 @@ def match_within_batch(batch: DataFrame, order: str = "published_at") -> DataFra
     exact = exact.union(out(three, 3, decision, F.when(apart, 0.45).when(same, 0.9).otherwise(0.5), "fingerprint"))
     exact = materialise(exact.groupBy("id").agg(F.min_by(F.struct(*OUT[1:]), "layer").alias("m")).select("id", "m.*"))
     placed = batch.withColumn("place", _place(F.col(order)))
-    titles = dedup_trigram(placed.join(exact, "id", "left_anti"), placed, F.col("r.place") < F.col("l.place"))
+    titles = dedup_trigram(placed.join(exact, "id", "left_anti"), placed, F.col("r.place") < F.col("l.place"), ("place",))
     found = exact.unionByName(titles)
     return batch.select("id").join(found, "id", "left").select("id", "existing_id", "layer", F.coalesce("decision", F.lit("NEW")).alias("decision"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("reason", F.lit("no match")).alias("reason"))
 

@@ -1,47 +1,78 @@
-"""Trigram set-similarity join by prefix filtering: no nested loop, no pair outside a shared rare trigram."""
+"""Trigram set-similarity join by prefix filtering: no nested loop, no pair outside a shared rare trigram.
+
+Trigrams are put in one order for all rows, rarest first, by a class of frequency (counted in CLASSES buckets of their
+hashes, so what the driver holds is fixed) and then by hash; a row's prefix is cut from that order within the row.
+Candidates share a trigram of both prefixes, far enough from the end of both, have compatible sizes, meet the caller's
+own condition, and pass a bound by bitmaps: a bit that one row has and the other lacks is a trigram that it lacks. All
+of this is tested while they are joined; what is left is verified exactly.
+"""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import set_similarity, trigrams
 from ..sources.state import materialise
 
+CLASSES, WORDS = 4096, 4
+
+
+def frequency_classes(*rows: DataFrame) -> Column:
+    """An array of CLASSES numbers: for each bucket of hashes in `tokens`, half a power of two of how often it occurs."""
+    tokens = reduce(DataFrame.union, [r.select(F.explode("tokens").alias("h")) for r in rows])
+    counts = {r["bucket"]: r["count"] for r in tokens.groupBy(F.pmod("h", F.lit(CLASSES)).alias("bucket")).count().collect()}
+    return F.split(F.lit(",".join(str(int(2 * math.log2(1 + counts.get(i, 0)))) for i in range(CLASSES))), ",").cast("array<int>")
+
+
+def with_tokens(rows: DataFrame, title: str) -> DataFrame:
+    """rows with grams, n, tokens (a hash of each gram) and the bitmap of the tokens in s0, s1, ..."""
+    out = rows.withColumn("grams", trigrams(F.col(title))).withColumn("n", F.size("grams")).withColumn("tokens", F.transform("grams", lambda g: F.xxhash64(g)))
+    # place of a bit: the word by the lowest bits of the hash, the bit by the next six
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda k: lambda acc, h: F.when(F.pmod(h, F.lit(WORDS)) == k, acc.bitwiseOR(bit(h))).otherwise(acc)
+    return out.withColumns({f"s{k}": F.aggregate("tokens", F.lit(0).cast("bigint"), word(k)) for k in range(WORDS)})
+
 
-def prefixed(rows: DataFrame, key: str, order: DataFrame, least: float, block: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n, gram, pos, block) for the first n - ceil(least n) + 1 trigrams of each row, rarest first by order (gram, df)."""
-    ranked = rows.select(key, "n", *block, F.explode("grams").alias("gram")).join(order, "gram", "left")
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "gram")) - 1
-    keep = ranked.withColumn("pos", place).where(F.col("pos") <= F.col("n") - F.ceil(least * F.col("n")))
-    return keep.select(key, "n", "gram", "pos", *block)
+def prefixed(rows: DataFrame, classes: Column, least: float, columns: list[str]) -> DataFrame:
+    """(columns, token, pos) for the first n - ceil(least n) + 1 tokens of each row, rarest first."""
+    ranked = F.array_sort(F.transform("tokens", lambda h: F.struct(F.get(classes, F.pmod(h, F.lit(CLASSES)).cast("int")).alias("c"), h.alias("h"))))
+    kept = F.slice(ranked, F.lit(1), F.greatest(F.col("n") - F.ceil(least * F.col("n")) + 1, F.lit(0)).cast("int"))
+    return rows.where("n > 0").select(*columns, F.posexplode(kept).alias("pos", "t")).select(*columns, "pos", F.col("t.h").alias("token"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, least: float, key: str = "id", title: str = "title", block: tuple[str, ...] = (), strict: bool = True, extra: Column | None = None, short: int = 0) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, key: str = "id", title: str = "title", block: tuple[str, ...] = (), strict: bool = True, extra: Column | None = None, needs: tuple[str, ...] = (), short: int = 0) -> DataFrame:
     """(left_id, right_id, similarity) of rows whose titles' trigram similarity is above (or at) least.
 
-    block: columns that must be equal. extra: a condition on l.* and r.*. Titles under `short` characters on the left
-    are skipped. Trigrams are made once for each row and kept. Candidates share a trigram of both prefixes, far enough
-    from the end of both, and have compatible sizes; each is verified exactly.
+    block: columns that must be equal. extra: a condition on l.* and r.*, of the columns `needs` besides key and block.
+    Titles under `short` characters on the left are skipped. Missing titles have no trigrams and are similar to none.
+    Right rows are looked at only in blocks that left has; equal keys and repeated rows are rows like others.
     """
-    gramed = lambda df: materialise(df.withColumn("grams", trigrams(F.col(title))).withColumn("n", F.size("grams")))
-    one = left is right
-    right = gramed(right)
-    left = right if one else gramed(left.where(F.length(title) >= short))
-    left = left.where(F.length(title) >= short) if one else left
-    grams = right.select(F.explode("grams").alias("gram")) if one else left.select(F.explode("grams").alias("gram")).union(right.select(F.explode("grams").alias("gram")))
-    order = materialise(grams.groupBy("gram").agg(F.count("*").alias("df")))
-    a = prefixed(left, key, order, least, block).toDF("left_id", "na", "gram", "pa", *block)
-    b = prefixed(right, key, order, least, block).toDF("right_id", "nb", "gram", "pb", *block)
-    na, nb = F.col("na"), F.col("nb")
-    fits = (na >= least * nb) & (nb >= least * na) & ((1 + least) * F.least(na - F.col("pa"), nb - F.col("pb")) >= least * (na + nb) - 1e-9)
-    pairs = a.join(b, ["gram", *block]).where(fits).select("left_id", "right_id").distinct()
-    l, r = left.alias("l"), right.alias("r")
-    full = pairs.join(l, pairs["left_id"] == F.col(f"l.{key}")).join(r, pairs["right_id"] == F.col(f"r.{key}"))
-    if extra is not None:
-        full = full.where(extra)
-    scored = full.withColumn("similarity", set_similarity(F.col("l.grams"), F.col("r.grams")))
+    columns = list(dict.fromkeys([key, *block, *needs]))
+    gramed = lambda df: materialise(with_tokens(df.select(*dict.fromkeys([*columns, title])), title).drop(*({title} - set(columns))))
+    long = left.where(F.length(title) >= short)
+    if left is right:
+        right = gramed(right)
+        left = right if not short else right.join(long.select(key).distinct(), key, "left_semi")
+    else:
+        left = gramed(long)
+        right = gramed(right.join(left.select(*block).distinct(), list(block), "left_semi") if block else right)
+    classes = frequency_classes(*([right] if left is right else [left, right]))
+    used = [*columns, "n", *[f"s{k}" for k in range(WORDS)]]
+    a, b = prefixed(left, classes, least, used).alias("l"), prefixed(right, classes, least, used).alias("r")
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    na, nb = l("n"), r("n")
+    shared = least / (1 + least) * (na + nb) - 1e-9  # so many trigrams must be common
+    fits = (na >= least * nb) & (nb >= least * na) & (F.least(na - l("pos"), nb - r("pos")) >= shared)
+    lacks = lambda x, y: reduce(lambda p, q: p + q, [F.bit_count(x(f"s{k}").bitwiseAND(F.bitwise_not(y(f"s{k}")))) for k in range(WORDS)])
+    fits = fits & (na - lacks(l, r) >= shared) & (nb - lacks(r, l) >= shared)
+    same = reduce(lambda p, q: p & q, [l(c) == r(c) for c in ("token", *block)])
+    pairs = a.join(b, same & fits if extra is None else same & fits & extra).select(l(key).alias("left_id"), r(key).alias("right_id")).distinct()
+    one, two = left.select(F.col(key).alias("left_id"), F.col("grams").alias("lg")), right.select(F.col(key).alias("right_id"), F.col("grams").alias("rg"))
+    scored = pairs.join(one, "left_id").join(two, "right_id").withColumn("similarity", set_similarity(F.col("lg"), F.col("rg")))
     return scored.where(F.col("similarity") > least if strict else F.col("similarity") >= least).select("left_id", "right_id", "similarity")
 
 
