@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, hashing, text, urls
 from ..model import PROCUREMENT_TYPES, duckdb_sql, load
-from ..operators import classify, dedup, normalize, ops, query, search, sets, similarity, stats, validate, versions
+from ..operators import classify, dedup, fulltext, normalize, ops, query, search, sets, similarity, stats, validate, versions
 from ..sources import listings, pages, state
+from ..sources.state import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,9 +130,36 @@ def f7(t: Tables) -> DataFrame:
     return search.search_ranked(search.inverted_index(t.opportunities, "title", stemmed=False), "the red widget", stemmed=False)
 
 
-@query_of("f7_search_stemmed")
+def _stored_index(t: Tables, df: DataFrame, text: str, key: str) -> fulltext.Index:
+    folder = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    fulltext.write_index(df, text, folder, key)
+    return fulltext.Index(t.spark, folder)
+
+
+def _words_of(t: Tables) -> DataFrame:
+    return t.opportunities.select("id", F.concat_ws(" ", "title", "description").alias("words"))
+
+
+_LEXEMES = r"""tok AS (SELECT id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS at FROM (SELECT {key} AS id, regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}]+') AS w FROM {table}))"""
+_WORDS = "title || coalesce(' ' || description, '')"
+_NEAR = "CASE WHEN abs(a.at - b.at) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(a.at - b.at) / 1.5 - 2)) END"
+
+
+@query_of("f7_search_stemmed", f"WITH {_LEXEMES.format(key='id', text=_WORDS, table='opportunities')} SELECT a.id AS key, round(1 - product(1 - 0.1 * sqrt({_NEAR})), 9) AS rank FROM tok a JOIN tok b USING (id) WHERE a.token IN ('widget', 'widgets') AND b.token IN ('red') GROUP BY a.id")
 def f7b(t: Tables) -> DataFrame:
-    return search.search_ranked(search.inverted_index(t.opportunities.select("id", F.concat_ws(" ", "title", "description").alias("words")), "words"), "widgets")
+    """Ranks of all documents with both stems, from a stored index."""
+    return _stored_index(t, _words_of(t), "words", "id").search("the red widgets")
+
+
+@query_of("f7_search_top", f"WITH {_LEXEMES.format(key='doc_id', text='text', table='documents')}, n AS (SELECT id AS key, least(count(*), 256) AS n FROM tok WHERE token IN ('the', 'of', 'licensed', 'license', 'licenses', 'licensing') AND token NOT IN ('the', 'of') GROUP BY id) SELECT key, round(0.1 * list_sum(list_transform(range(1, n + 1), lambda j: 1.0 / (j * j))) / (pi() * pi() / 6), 9) AS rank FROM n ORDER BY rank DESC, key LIMIT 10")
+def f7c(t: Tables) -> DataFrame:
+    """The best ten documents (a top-k report) by blocks whose bound can reach them."""
+    return _stored_index(t, t.documents, "text", "doc_id").search_top("the licenses", 10)
+
+
+@query_of("f8_index_boolean", f"WITH {_LEXEMES.format(key='id', text=_WORDS, table='opportunities')} SELECT id AS key FROM tok GROUP BY id HAVING (bool_or(token IN ('widget', 'widgets')) AND bool_or(starts_with(token, 'build'))) OR bool_or(token IN ('plate', 'plates', 'plated', 'plating'))")
+def f8b(t: Tables) -> DataFrame:
+    return _stored_index(t, _words_of(t), "words", "id").search_any([["widgets", "build*"], ["plates"]])
 
 
 @query_of("f8_search_boolean", f"WITH tok AS ({_TOKENS.format(key='id', text='title', table='opportunities')}) SELECT id FROM tok GROUP BY id HAVING (bool_or(token = 'red') AND bool_or(starts_with(token, 'gea'))) OR bool_or(token = 'plate')")
