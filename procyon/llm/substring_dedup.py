@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, map_batches, mix, save, sketch, text_buffers, text_chunks, word_hashes
+from .common import gram_hashes, map_batches, mix, save, sketch, text_buffers, text_chunks, word_hashes, word_spans
 from .fm_index import FmIndex
 from .ngram_jaccard import SKETCH_BITS, rarity
 
@@ -244,7 +244,8 @@ def shared_spans(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
         key, row, begin, windows, place = s.key[hit], s.row[hit], s.at[hit], s.windows[hit], s.place[hit]
         size = windows + WINDOW - 1
         doc = s.doc[row]
-        second = word_hashes(*text_buffers(chunk.column("text")), lower=False, second=True)[0]
+        raw = text_buffers(chunk.column("text"))
+        second, (starts, ends, _) = word_hashes(*raw, lower=False, second=True)[0], word_spans(*raw)
         one, two = _digests(s.words, begin, size), _digests(second, begin, size)
         by = np.lexsort((doc, two, one))
         new = changes(one[by], two[by])
@@ -253,13 +254,13 @@ def shared_spans(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
         bucket = (key >> np.uint64(32)).astype(np.int64) % buckets
         # Kind 0: segments of the smallest id here; the words once for each, all its places.
         own = np.flatnonzero(doc == least)
-        for b, i in _slices(bucket[own]):
+        for bucket_id, i in _slices(bucket[own]):
             i = own[i]
             i = i[np.lexsort((two[i], one[i]))]
             heads = i[changes(one[i], two[i])]
-            words = np.concatenate([np.arange(a, a + n) for a, n in zip(begin[heads], size[heads], strict=True)])
-            dense, names = numbered(s.words[words], second[words])
-            yield b, 0, pack(doc[i], s.check[row[i]].astype("<i8"), place[i].astype("<u4"), one[i], two[i], size[heads].astype("<u4"), s.words[words[names]], second[words[names]], dense.astype("<u4").view("u1").reshape(-1, 4).T.ravel())
+            low, high = starts[begin[heads]], ends[begin[heads] + size[heads] - 1]
+            words = np.concatenate([raw[0][a:b] for a, b in zip(low, high, strict=True)])
+            yield bucket_id, 0, pack(doc[i], s.check[row[i]].astype("<i8"), place[i].astype("<u4"), changes(one[i], two[i]).astype("u1"), (high - low).astype("<u4"), words)
         # Kind 1: the others go as a whole; settled here, dealt out evenly.
         i = np.flatnonzero(doc != least)
         for b, j in _slices(mix(row[i].astype(np.uint64) + key[:1].sum()).astype(np.int64) % buckets):
@@ -274,8 +275,7 @@ def shared_spans(docs: DataFrame, order: np.ndarray, shards: int) -> DataFrame:
                 doc, check, place, size = unpack(b.as_py(), "<i8", "<i8", "<u4", "<u4")
                 spans.append((doc, check, place.astype(np.int64), size.astype(np.int64)))
             else:
-                *whole, dense = unpack(b.as_py(), "<i8", "<i8", "<u4", "<u8", "<u8", "<u4", "<u8", "<u8", "u1")
-                blobs.append((*whole, np.ascontiguousarray(dense.reshape(4, -1).T).view("<u4").ravel()))
+                blobs.append(tuple(unpack(b.as_py(), "<i8", "<i8", "<u4", "u1", "<u4", "u1")))
         if blobs:
             spans += _search(blobs)
         doc, check, place, size = (np.concatenate([s[c] for s in spans]) for c in range(4)) if spans else [np.zeros(0, np.int64)] * 4
@@ -297,15 +297,13 @@ def _digests(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
 
 def _search(blobs: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
     """The removed runs of a shard's entries: what the FM-index of its distinct segments finds for smaller owners."""
-    doc, check, place, one, two, size = (np.concatenate([b[c] for b in blobs]) for c in range(6))
-    which, _ = numbered(one, two)
-    heads = np.concatenate([changes(b[3], b[4]) for b in blobs])
-    _, at = np.unique(which[heads], return_index=True)  # each segment's words, once
-    symbol, _ = numbered(*(np.concatenate([b[c] for b in blobs]) for c in (6, 7)))
-    base = np.cumsum([0] + [len(b[6]) for b in blobs])
-    codes = np.concatenate([symbol[b[8] + k] for b, k in zip(blobs, base, strict=False)])
-    begin = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-    size = size.astype(np.int64)
+    doc, check, place, new, taken, data = (np.concatenate([b[c] for b in blobs]) for c in range(6))
+    raw = data, np.concatenate([[0], np.cumsum(taken.astype(np.int64))])
+    (words, begin), (second, _) = word_hashes(*raw, lower=False), word_hashes(*raw, lower=False, second=True)
+    size = np.diff(begin)
+    segment, at = numbered(_digests(words, begin[:-1], size), _digests(second, begin[:-1], size))  # each segment's words, once
+    which = segment[np.cumsum(new.astype(np.int64)) - 1]
+    codes, _ = numbered(words, second)
     owner = np.full(len(at), np.iinfo(np.int64).max)
     np.minimum.at(owner, which, doc)
     out = []
