@@ -29,21 +29,27 @@ def url_chain(url: Column, base: Column | None = None) -> Chain:
     whole = F.struct(filled(F.trim(url)).alias("url"), (F.lit(None).cast("string") if base is None else base).alias("base"))
 
     def split(p: Column) -> Column:
-        return F.struct(p["url"].alias("url"), part(p["url"], "scheme").alias("own"), *[part(p["base"], c).alias(c) for c in ("scheme", "authority", "path")])
+        return F.struct(p["url"].alias("url"), part(p["url"], "scheme").alias("own"), *[part(p["base"], c).alias(c) for c in ("scheme", "authority", "path", "query")], F.regexp_extract(p["url"], "^[^?#]*", 0).alias("way"))
 
     def resolve(p: Column) -> Column:
-        """An absolute URL from one that may be relative to base."""
-        url, root = p["url"], F.concat(p["scheme"], F.lit("://"), p["authority"])
+        """struct(url) of an absolute URL, or (root, path, tail) of one that is relative to base."""
+        url, way, none = p["url"], p["way"], F.lit(None).cast("string")
+        tail = F.substr(url, F.length(way) + 1)
         folder = F.regexp_replace(p["path"], r"[^/]*$", "")
-        joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), url)
-        out = F.when(p["own"] != "", url).when(url.startswith("//"), F.concat(p["scheme"], F.lit(":"), url))
-        return out.when(url.startswith("/"), F.concat(root, url)).when(url.startswith("?"), F.concat(root, p["path"], url)).otherwise(F.concat(root, joined))
-
-    def climb(url: Column) -> Column:
-        out = url
-        for _ in range(4):
-            out = F.regexp_replace(out, r"/(?!\.\.?/)[^/:?#]+/\.\./", "/")
-        return F.when(F.contains(url, F.lit("/.")), F.regexp_replace(out, r"/\./", "/")).otherwise(url)
+        joined = F.when(way.startswith("/"), way).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), way))
+        whole = F.when(p["own"] != "", url).when(url.startswith("//"), F.concat(p["scheme"], F.lit(":"), url))
+        whole = whole.when(way == "", F.concat(p["scheme"], F.lit("://"), p["authority"], p["path"], F.when(tail.startswith("?"), tail).otherwise(p["query"])))
+        return F.struct(whole.alias("url"), F.when(whole.isNull(), F.concat(p["scheme"], F.lit("://"), p["authority"])).alias("root"), F.when(whole.isNull(), joined).otherwise(none).alias("path"), way.startswith("/").alias("rooted"), tail.alias("tail"))
+
+    def climb(p: Column) -> Column:
+        """A stack of segments: `..` takes the last one away, `.` is dropped, and so are empty ones behind base's path."""
+        path = p["path"]
+        segments = F.split(path, "/")
+        inner = F.filter(segments, lambda s, i: p["rooted"] | (s != "") | (i == 0) | (i == F.size(segments) - 1))
+        stack = F.aggregate(inner, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.array_append(acc, s)))
+        folded = F.regexp_replace(F.concat(F.array_join(stack, "/"), F.when(path.rlike(r"(^|/)\.{1,2}$"), F.lit("/")).otherwise("")), "^/?", "/")
+        plain = ~path.rlike(r"(^|/)\.{1,2}(/|$)|//")
+        return F.coalesce(p["url"], F.concat(p["root"], F.when(plain, path).otherwise(folded), p["tail"]))
 
     def parts(url: Column) -> Column:
         return F.struct(F.lower(part(url, "scheme")).alias("scheme"), F.lower(part(url, "authority")).alias("authority"), part(url, "path").alias("path"), part(url, "query").alias("query"))

@@ -18,6 +18,27 @@ EVENT_TYPES = ("OPPORTUNITY_CREATED", "OPPORTUNITY_UPDATED", "DEADLINE_CHANGED",
 DECISIONS = ("NEW", "EXACT_MATCH", "PROBABLE_MATCH", "UNCERTAIN")
 SCHEDULABLE = ("ACTIVE", "DEGRADED", "VERIFIED")
 
+VERIFICATIONS = ("UNVERIFIED", "PASSED", "PASSED_WITH_WARNINGS", "FAILED")
+LIFECYCLES = ("DISCOVERED", "PENDING_VERIFICATION", "VERIFIED", "ACTIVE", "DEGRADED", "PAUSED", "DISABLED")
+
+#: Keys and checks of the stored tables: unique keys (with the condition under which they count) and conditions of rows.
+CONSTRAINTS: dict[str, dict] = {
+    "opportunities": {
+        "unique": {"town_reference": ["municipality_id", "reference_number"], "source_external": ["source_id", "external_id"], "fingerprint": ["fingerprint"]},
+        "where": {"fingerprint": "data_quality <> 'NEEDS_REVIEW'"},  # uncertain duplicates are kept beside the other, for review
+        "checks": {"value": "estimated_value >= 0", "version": "version >= 1"},
+    },
+    "versions": {"unique": {"opportunity_version": ["opportunity_id", "version"]}, "checks": {"version": "version >= 1"}, "id": "opportunity_id"},
+    "documents": {"unique": {"opportunity_url": ["opportunity_id", "url"]}, "checks": {"file_size": "file_size >= 0"}},
+    "document_versions": {"unique": {"document_sha": ["document_id", "sha256"]}, "id": "document_id"},
+    "sources": {
+        "checks": {
+            "priority": "priority BETWEEN 0 AND 1000", "interval": "interval_minutes >= 5", "rate": "rate_per_minute > 0", "claim_lease": "claimed_by IS NULL OR claim_expires_at IS NOT NULL",
+            "lifecycle": f"lifecycle IN {LIFECYCLES}", "verification": f"verification IN {VERIFICATIONS}", "passed_is_dated": "verification NOT IN ('PASSED', 'PASSED_WITH_WARNINGS') OR verification_at IS NOT NULL",
+        },
+    },
+}
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 STANDINS: dict[str, str] = {

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import SCHEDULABLE
+from ..sources.state import materialise
 from .query import top_k_per_group
 
 BACKOFF = {"HEALTHY": 1, "UNKNOWN": 1, "DEGRADED": 2, "FAILING": 4, "OFFLINE": 12}
@@ -75,15 +78,34 @@ def source_health(runs: DataFrame) -> DataFrame:
     return out.withColumn("health", health_of(F.col("consecutive_failures")))
 
 
-def response_time_ewma(runs: DataFrame, keep: float = 0.7) -> DataFrame:
+TAIL = 64
+
+
+def response_time_ewma(runs: DataFrame, keep: float = 0.7, tail: int = TAIL) -> DataFrame:
     """(source_id, average_ms): the first duration, then round(0.7 previous + 0.3 next, 2) in the order of runs.
 
-    The rounding at each step makes the fold sequential: a source's durations (two numbers a run) are folded as one array.
+    The rounding makes the fold sequential, but a step never turns two averages round. So a source's last `tail` runs
+    are folded twice, from the least and from the greatest duration that it ever had, between which every average lies:
+    if both end alike, so does the fold of all its runs. For the sources where they don't, the tail is made longer;
+    when it holds all their runs, its first is the fold's start. No array is longer than a source needs.
     """
-    rows = runs.where("duration_ms IS NOT NULL").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("started_at", "id", F.col("duration_ms").cast("double").alias("ms")))).alias("a"))
-    start = F.get("a", F.lit(0))["ms"]
-    fold = F.aggregate(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0))), start, lambda acc, x: F.round(acc * keep + x["ms"] * (1 - keep), 2))
-    return rows.select("source_id", fold.alias("average_ms"))
+    rows = runs.where("duration_ms IS NOT NULL").select("source_id", F.struct("started_at", "id", F.col("duration_ms").cast("double").alias("ms")).alias("run"))
+    every = materialise(rows.groupBy("source_id").agg(F.count("*").alias("n"), F.min("run.ms").alias("low"), F.max("run.ms").alias("high")))
+    done, left = [], every
+    step = lambda acc, x: F.round(acc * keep + x["ms"] * (1 - keep), 2)
+    fold = lambda runs, start: F.aggregate(runs, start.cast("double"), step)
+    while True:
+        place = F.row_number().over(W.partitionBy("source_id").orderBy(F.col("run").desc()))
+        last = rows.join(left.select("source_id"), "source_id", "left_semi").withColumn("__n", place).where(F.col("__n") <= tail)  # each task keeps `tail` of a source
+        held = last.groupBy("source_id").agg(F.array_sort(F.collect_list("run")).alias("a")).join(left, "source_id")
+        exact = fold(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0))), F.get("a", F.lit(0))["ms"])
+        whole = F.size("a") == F.col("n")
+        ends = materialise(held.select("source_id", "n", "low", "high", F.when(whole, exact).otherwise(fold(F.col("a"), F.col("low"))).alias("one"), F.when(whole, exact).otherwise(fold(F.col("a"), F.col("high"))).alias("two")))
+        done.append(ends.where("one = two").select("source_id", F.col("one").alias("average_ms")))
+        left = ends.where("one != two").select("source_id", "n", "low", "high")
+        if left.isEmpty():
+            return reduce(DataFrame.union, done)
+        tail *= 8
 
 
 def unhealthy_sources(sources: DataFrame, least: int = 3, limit: int = 100) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -230,17 +233,53 @@ def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> D
     return df.withColumn("position", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("position") <= k)
 
 
-def json_containment(df: DataFrame, column: str, probe: dict[str, Any]) -> DataFrame:
-    """Rows whose JSON holds the (nested) object probe."""
-
-    def leaves(obj: dict[str, Any], path: str) -> list[tuple[str, Any]]:
-        return [x for k, v in obj.items() for x in (leaves(v, f"{path}.{k}") if isinstance(v, dict) else [(f"{path}.{k}", v)])]
-
-    doc = F.try_parse_json(F.col(column))
-    for path, value in leaves(probe, "$"):
-        kind = "boolean" if isinstance(value, bool) else "bigint" if isinstance(value, int) else "double" if isinstance(value, float) else "string"
-        df = df.where(F.try_variant_get(doc, path, kind) == F.lit(value))
-    return df
+def _holds(value: Column, probe: Any, top: bool = False) -> Column:
+    """Whether a variant contains the probe, as JSONB has it."""
+    kind = F.schema_of_variant(value)
+    whole = F.try_variant_get(value, "$", "array<variant>")
+    if isinstance(probe, dict):
+        inner = [_holds(_member(value, k), v) for k, v in probe.items()]
+        out = reduce(lambda a, b: a & b, inner, kind.startswith("OBJECT"))
+    elif isinstance(probe, list):
+        out = reduce(lambda a, b: a & b, [F.exists(whole, _element(x)) for x in probe], kind.startswith("ARRAY"))
+    else:
+        if probe is None:
+            out = F.is_variant_null(value)
+        elif isinstance(probe, bool):
+            out = (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == probe)
+        elif isinstance(probe, (int, float)):
+            exact = Decimal(repr(probe)) if isinstance(probe, float) else Decimal(probe)
+            same = F.try_variant_get(value, "$", "double") == float(probe)
+            if abs(exact) < 10**20 and -exact.as_tuple().exponent <= 18:  # beyond that numbers are compared as doubles
+                same = F.coalesce(F.try_variant_get(value, "$", "decimal(38,18)") == F.lit(exact).cast("decimal(38,18)"), same)
+            out = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & same
+        else:
+            out = (kind == "STRING") & (F.try_variant_get(value, "$", "string") == probe)
+        if top:  # only there an array contains a bare value
+            out = out | F.exists(whole, _element(probe))
+    return F.coalesce(out, F.lit(False))
+
+
+def _member(value: Column, key: str) -> Column:
+    """The member of an object; paths have two kinds of quotes and no escapes, a key with both is looked up in a map."""
+    quote = next((q for q in "'\"" if q not in key), None)
+    if quote:
+        return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key))
+
+
+def _element(probe: Any) -> Callable[[Column], Column]:
+    return lambda e: _holds(e, probe)
+
+
+def json_containment(df: DataFrame, column: str, probe: Any) -> DataFrame:
+    """Rows whose JSON contains the probe: an object, a list or a value.
+
+    As JSONB's @>: an object holds the probe's keys, each containing its value; an array holds, for each element of the
+    probe, one that contains it, in any order and number; values are equal in kind and value (42 is 42.0 but not "42");
+    an array holds a bare value at the top only. Null and malformed texts contain nothing.
+    """
+    return df.where(_holds(F.try_parse_json(F.col(column)), probe, True))
 
 
 def snippet(text: Column, q: str, window: int = 240) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_http_url
+from ..model import CONSTRAINTS
 
 LEAST_TITLE, FUTURE_YEARS, PAST_YEARS = 8, 10, 25
 WEIGHTS = {"reference_number": 0.15, "description": 0.15, "published_at": 0.15, "closing_at": 0.20, "organization": 0.10, "documents": 0.15, "contact": 0.10}
@@ -79,12 +80,30 @@ def quality_report(validated: DataFrame) -> DataFrame:
     return validated.select(F.explode(named).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
-def constraint_violations(df: DataFrame, unique: dict[str, list[str]], checks: dict[str, str], id_col: str = "id") -> DataFrame:
-    """(rule, key, n): repeated keys (all parts present) with their number of rows, and rows that break a check."""
-    out = []
+def constraint_violations(df: DataFrame, unique: dict[str, list[str]], checks: dict[str, str], id_col: str = "id", where: dict[str, str] | None = None) -> DataFrame:
+    """(rule, key, n): repeated keys with their number of rows, and rows that break a check.
+
+    A key counts if all its parts are present and the condition that `where` may give for its rule holds. A check that
+    is null is not broken. All rules are evaluated in one scan; a row then gives its keys and the checks that it breaks
+    as short rows, and each task counts the keys before one shuffle. A row that breaks a check is a row of its own.
+    """
+    told = lambda rule, key, broken: F.struct(F.lit(rule).alias("rule"), key.alias("key"), F.lit(broken).alias("broken"))
+    found = []
     for rule, keys in unique.items():
-        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
-        out.append(df.dropna(subset=keys).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), "key", "n"))
+        counts = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & F.coalesce(F.expr((where or {}).get(rule, "true")), F.lit(False))
+        found.append(F.when(counts, told(rule, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), False)))
     for rule, test in checks.items():
-        out.append(df.where(f"NOT ({test})").select(F.lit(rule).alias("rule"), F.col(id_col).cast("string").alias("key"), F.lit(1).cast("bigint").alias("n")))
+        found.append(F.when(~F.coalesce(F.expr(test), F.lit(True)), told(rule, F.col(id_col).cast("string"), True)))
+    rows = df.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"), F.monotonically_increasing_id().alias("row")).select("x.*", "row")
+    each = rows.groupBy("rule", "key", F.when(F.col("broken"), F.col("row")).alias("broken")).agg(F.count("*").alias("n")).where("broken IS NOT NULL OR n > 1")
+    return each.select("rule", "key", "n")
+
+
+def all_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rule, key, n) over the tables of model.CONSTRAINTS that are given."""
+    out = []
+    for name, df in tables.items():
+        rules = CONSTRAINTS[name]
+        found = constraint_violations(df, rules.get("unique", {}), rules.get("checks", {}), rules.get("id", "id"), rules.get("where"))
+        out.append(found.select(F.lit(name).alias("table"), "rule", "key", "n"))
     return reduce(DataFrame.unionByName, out)

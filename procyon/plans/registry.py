@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, hashing, text, urls
-from ..model import PROCUREMENT_TYPES, duckdb_sql, load
+from ..model import CONSTRAINTS, PROCUREMENT_TYPES, duckdb_sql, load, render
 from ..operators import classify, dedup, fulltext, normalize, ops, query, search, sets, similarity, stats, validate, versions
 from ..sources import listings, pages, state
 from ..sources.state import shared_folder
@@ -188,6 +190,21 @@ def f12(t: Tables) -> DataFrame:
     return query.top_k_per_group(t.source_runs, "source_id", [F.col("started_at").desc(), F.col("id").desc()], 3).select("source_id", "id")
 
 
+#: Documents with arrays, objects, numbers and texts, by the last digit of the event's id; and what is looked for in them.
+_JSON_DOCS = ('{"missing": ["closing_at", "contact"], "review": {"layer": "trigram", "confidence": 0.71}}', '{"missing": ["contact"], "review": {"layer": "exact"}}', '{"n": 42}', '{"n": "42"}', '{"n": 42.0, "on": true}', '{"rows": [{"a": 1, "b": 2}, {"a": 3}]}', '["closing_at", 7]', '{"on": null}', "no json", "42")
+_JSON_PROBES = ({"review": {"layer": "trigram"}}, {"missing": ["contact"]}, {"missing": ["contact", "closing_at", "contact"]}, {"n": 42}, {"n": "42"}, {"rows": [{"a": 1}, {"a": 3}]}, {"rows": [{"a": 3, "b": 2}]}, "closing_at", [7], {"on": None}, {}, [], {"review": {"confidence": 0.71}}, 42)
+_JSON_HITS = ((0,), (0, 1), (0,), (2, 4), (3,), (5,), (), (6,), (6,), (7,), (0, 1, 2, 3, 4, 5, 7), (6,), (0,), (9,))
+
+
+@query_of("f13_containment_cases", "SELECT p AS probe, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events JOIN (VALUES " + ", ".join(f"({p}, {d})" for p, hits in enumerate(_JSON_HITS) for d in hits) + ") h(p, d) ON event_id % 10 = d GROUP BY p")
+def f13b(t: Tables) -> DataFrame:
+    """How many events' documents contain each probe."""
+    doc = F.get(F.array(*map(F.lit, _JSON_DOCS)), (F.col("event_id") % 10).cast("int"))
+    rows = t.events.select("event_id", doc.alias("doc"))
+    found = [query.json_containment(rows, "doc", probe).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")).select(F.lit(i).alias("probe"), "n", "first_id", "last_id") for i, probe in enumerate(_JSON_PROBES)]
+    return reduce(DataFrame.union, found).where("n > 0")
+
+
 @query_of("f13_json_containment", "SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) = 42")
 def f13(t: Tables) -> DataFrame:
     return query.json_containment(t.events, "props", {"k": 42}).select("event_id")
@@ -409,6 +426,21 @@ def n13(t: Tables) -> DataFrame:
     return t.opportunities.select("id", text.parse_enum(F.when(F.col("id") % 2 == 0, F.concat(F.lit(" "), F.lower("procurement_type"))).otherwise("Expression of-Interest"), PROCUREMENT_TYPES, "OTHER").alias("parsed"))
 
 
+@query_of(
+    "n14_relative_urls",
+    """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS root, page_id % 9 AS ups FROM pages)
+       SELECT page_id, root || CASE page_id % 4 WHEN 0 THEN array_to_string(list_concat([''], list_slice(['s0', 's1', 's2', 's3', 's4', 's5'], 1, greatest(6 - ups, 0)), ['d', CAST(page_id AS VARCHAR) || '.pdf']), '/')
+         WHEN 1 THEN '/a/c/x?p=1' WHEN 2 THEN '/s0/s1/s2/s3/s4/s5/list?q=' || CAST(page_id AS VARCHAR) ELSE '/s0/s1/s2/s3/s4/s5/k/' END AS url FROM p""",
+)
+def n14b(t: Tables) -> DataFrame:
+    """Links as pages write them, with any number of steps up, dots and empty segments."""
+    base = F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), F.lit("/s0/s1/s2/s3/s4/s5/list?page=2"))
+    i = F.col("page_id")
+    up = F.concat(F.repeat(F.lit("../"), (i % 9).cast("int")), F.lit("./d/"), i, F.lit(".pdf#top"))
+    link = F.when(i % 4 == 0, up).when(i % 4 == 1, "/a/./b//../c/x?p=1&utm_source=y").when(i % 4 == 2, F.concat(F.lit("?q="), i)).otherwise("j/../k/.")
+    return t.pages.select("page_id", urls.normalize_url(link, base).alias("url"))
+
+
 @query_of("n14_normalize_url", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_[a-z]+=[^&]*', '', 'g'), '\?$', '') AS url FROM pages")
 def n14(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.normalize_url(F.col("url")).alias("url"))
@@ -545,6 +577,34 @@ def v5(t: Tables) -> DataFrame:
     return validate.quality_report(validate.validate_records(t.opportunities, AS_OF)).where("kind = 'issue'")
 
 
+_V6_TABLES = {
+    "opportunities": "SELECT id, CASE WHEN id % 40 = 7 THEN 3 END AS municipality_id, CASE WHEN id % 40 = 7 THEN 'R' || CAST(id % 1000 AS STRING) END AS reference_number, source_id, CASE WHEN id % 50 = 3 THEN 'x' || CAST(id % 500 AS STRING) END AS external_id, 'f' || CAST(CASE WHEN id % 60 = 1 THEN id - 1 ELSE id END AS STRING) AS fingerprint, CASE WHEN id % 120 = 1 THEN 'NEEDS_REVIEW' ELSE 'VALID' END AS data_quality, CASE WHEN id % 777 = 5 THEN 0 - estimated_value ELSE estimated_value END AS estimated_value, CASE WHEN id % 555 = 2 THEN 0 ELSE 1 END AS version FROM opportunities",
+    "versions": "SELECT opportunity_id, CASE WHEN seq = 3 THEN 2 WHEN seq = 6 THEN 0 ELSE seq END AS version FROM observations",
+    "documents": "SELECT seq AS id, opportunity_id, document_url AS url, CASE WHEN opportunity_id % 99 = 0 AND seq = 1 THEN -1 ELSE seq END AS file_size FROM observations",
+    "document_versions": "SELECT opportunity_id AS document_id, document_url AS sha256 FROM observations WHERE opportunity_id % 3 = 0",
+    "sources": "SELECT id, CASE WHEN id % 9 = 2 THEN 1001 ELSE priority END AS priority, CASE WHEN id % 10 = 3 THEN 4 ELSE interval_minutes END AS interval_minutes, id % 11 AS rate_per_minute, CASE WHEN id % 4 = 1 THEN id END AS claimed_by, CASE WHEN id % 8 = 1 THEN next_run_at ELSE last_run_at END AS claim_expires_at, CASE WHEN id % 13 = 5 THEN 'SLEEPING' ELSE lifecycle END AS lifecycle, CASE id % 6 WHEN 0 THEN 'PASSED' WHEN 1 THEN 'PASSED_WITH_WARNINGS' WHEN 2 THEN 'BROKEN' ELSE 'UNVERIFIED' END AS verification, CASE WHEN id % 12 <> 0 THEN last_run_at END AS verification_at FROM sources",
+}
+
+
+def _v6_sql() -> str:
+    """The rules one after another, as SQL states them."""
+    out = []
+    for name, rules in CONSTRAINTS.items():
+        key = rules.get("id", "id")
+        for rule, keys in rules.get("unique", {}).items():
+            also = [f"{k} IS NOT NULL" for k in keys] + [x for r, x in rules.get("where", {}).items() if r == rule]
+            out.append(f"SELECT '{name}' AS \"table\", '{rule}' AS rule, concat_ws('|', {', '.join(keys)}) AS key, count(*) AS n FROM t_{name} WHERE {' AND '.join(also)} GROUP BY {', '.join(keys)} HAVING count(*) > 1")
+        out += [f"SELECT '{name}', '{rule}', CAST({key} AS STRING), CAST(1 AS BIGINT) FROM t_{name} WHERE NOT ({test})" for rule, test in rules.get("checks", {}).items()]
+    return f"WITH {', '.join(f't_{k} AS ({v})' for k, v in _V6_TABLES.items())} " + " UNION ALL ".join(out)
+
+
+@query_of("v6_all_rules", _v6_sql())
+def v6b(t: Tables) -> DataFrame:
+    """Every key and check of the stored tables, over stand-ins that break each of them."""
+    frames = {k: t.spark.sql(render(re.sub(r"FROM (\w+)", r"FROM {\1}", v), "spark"), **{n: getattr(t, n) for n in re.findall(r"FROM (\w+)", v)}) for k, v in _V6_TABLES.items()}
+    return validate.all_violations(frames)
+
+
 @query_of("v6_constraint_violations", "SELECT 'line' AS rule, concat_ws('|', l_orderkey, l_linenumber) AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'quantity', CAST(l_orderkey AS STRING), CAST(1 AS BIGINT) FROM lineitem WHERE l_quantity > 49")
 def v6(t: Tables) -> DataFrame:
     return validate.constraint_violations(t.lineitem, {"line": ["l_orderkey", "l_linenumber"]}, {"quantity": "l_quantity <= 49"}, "l_orderkey")
@@ -821,7 +881,11 @@ def o5(t: Tables) -> DataFrame:
     return ops.source_health(t.source_runs).select("source_id", "runs", "consecutive_failures", told("last_run_at"), told("last_success_at"), "health")
 
 
-@query_of("o6_response_time_ewma")
+@query_of(
+    "o6_response_time_ewma",
+    """SELECT source_id, list_reduce(list(CAST(duration_ms AS DOUBLE) ORDER BY started_at, id), lambda acc, x: CAST(round(CAST(CAST(acc * CAST(0.7 AS DOUBLE) + x * CAST(1 - CAST(0.7 AS DOUBLE) AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 17)), 2) AS DOUBLE)) AS average_ms
+       FROM source_runs WHERE duration_ms IS NOT NULL GROUP BY source_id""",
+)
 def o6(t: Tables) -> DataFrame:
     return ops.response_time_ewma(t.source_runs)
 
@@ -950,6 +1014,14 @@ def s10(t: Tables) -> DataFrame:
     return pages.listing_chain(p, 10).select("start", "url", F.col("depth").cast("bigint").alias("depth"))
 
 
+@query_of("s10_long_chain", "SELECT CAST(0 AS BIGINT) AS start, page_id AS url, page_id + 1 AS depth FROM pages")
+def s10_long(t: Tables) -> DataFrame:
+    """One chain through the whole table, by pointer doubling; its last page links back to its first."""
+    last = t.pages.agg(F.max("page_id").alias("last"))  # one row
+    p = t.pages.crossJoin(F.broadcast(last)).select(F.col("page_id").alias("url"), F.when(F.col("page_id") == F.col("last"), 0).otherwise(F.col("page_id") + 1).cast("bigint").alias("next_url"), (F.col("page_id") == 0).alias("is_first"))
+    return pages.listing_chain(p, None)
+
+
 @query_of("s11_item_gate", "SELECT user_id AS run, count(*) AS kept FROM (SELECT user_id FROM events WHERE event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 40) GROUP BY 1")
 def s11(t: Tables) -> DataFrame:
     items = t.events.select(F.col("user_id").alias("run"), "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("title"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import visible_text
 from ..functions.urls import filename_from_url, guess_format, normalize_url
 from .listings import DOCUMENT_EXTENSIONS, is_document, links_in
+from .state import materialise
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -42,30 +43,41 @@ def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
 
 def enrich_from_detail(items: DataFrame, details: DataFrame) -> DataFrame:
-    """items with the fields of captured detail pages (url, fields, documents) where they lack them, and new documents."""
-    d = details.select(F.col("url").alias("source_url"), F.col("fields").alias("__f"), F.col("documents").alias("__d")).dropDuplicates(["source_url"])
+    """items with the fields of captured detail pages (url, fields, documents) where they lack them, and new documents.
+
+    Of several captures of one address the first by its JSON counts, so that reruns agree.
+    """
+    whole = F.struct(F.col("fields").alias("__f"), F.col("documents").alias("__d"))
+    d = details.groupBy(F.col("url").alias("source_url")).agg(F.min_by(whole, F.to_json(whole)).alias("d")).select("source_url", "d.*")
     out = items.join(d, "source_url", "left")
     new = F.map_filter(F.coalesce("__f", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.array_contains(F.map_keys("fields"), k))
     fresh = F.filter(F.coalesce("__d", F.array().cast(items.schema["documents"].dataType)), lambda x: ~F.exists("documents", lambda y: y["url"] == x["url"]))
     return out.withColumn("fields", F.map_concat("fields", new)).withColumn("documents", F.concat("documents", fresh)).select(*items.columns)
 
 
-def listing_chain(pages: DataFrame, most: int = 10) -> DataFrame:
-    """(start, url, depth): pages reached from each first page by its next links, at most `most` of them, no loops.
+def listing_chain(pages: DataFrame, most: int | None = 10) -> DataFrame:
+    """(start, url, depth): pages reached from each first page by its next links, at most `most` of them (None: all).
 
-    pages (url, next_url, is_first).
+    pages (url, next_url, is_first). Pointers are doubled: after k rounds each page knows the one 2^k links on, and a
+    chain has its first 2^k pages, so a chain of n pages takes log2(n) rounds of two joins, whatever its length. A chain
+    ends before a page that it already has, so that loops and links to oneself end it, and before a page that is not
+    there. Of repeated pages the smallest next link counts; null addresses are no pages.
     """
-    spark = pages.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE chain(start, url, next_url, depth, seen) AS (
-             SELECT url, url, next_url, 1, array(url) FROM {pages} WHERE is_first
-             UNION ALL
-             SELECT c.start, p.url, p.next_url, c.depth + 1, array_append(c.seen, p.url) FROM chain c JOIN {pages} p ON p.url = c.next_url
-             WHERE c.depth < {most} AND NOT array_contains(c.seen, p.url))
-           SELECT start, url, depth FROM chain""",
-        pages=pages,
-        most=most,
-    )
+    urls = pages.where("url IS NOT NULL")
+    known = urls.select(F.col("url").alias("far")).distinct()
+    jump = materialise(urls.where("next_url != url").groupBy("url").agg(F.min("next_url").alias("far")).join(known, "far").select("url", "far"))
+    chain, step = materialise(urls.where("is_first").select(F.col("url").alias("start"), "url", F.lit(1).cast("bigint").alias("depth")).distinct()), 1
+    while most is None or step < most:
+        more = chain.join(jump, "url").select("start", F.col("far").alias("url"), (F.col("depth") + step).alias("depth"))
+        if most is not None:
+            more = more.where(F.col("depth") <= most)
+        grown = materialise(chain.union(more).groupBy("start", "url").agg(F.min("depth").alias("depth")))
+        if grown.count() == chain.count():
+            break
+        chain, step = grown, 2 * step
+        if most is None or step < most:
+            jump = materialise(jump.join(jump.toDF("far", "further"), "far").select("url", F.col("further").alias("far")))
+    return chain
 
 
 class _Rows(HTMLParser):

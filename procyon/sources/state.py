@@ -57,10 +57,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], protect_null: bool = True) -> DataFrame:
-    """target with updates: present keys are updated, others inserted; with protect_null a null never replaces a value."""
+    """target with updates: present keys are updated, others inserted; with protect_null a null never replaces a value.
+
+    Of several updates of one key the last by its JSON counts, so that reruns agree.
+    """
     values = [c for c in target.columns if c not in keys]
     a = target.withColumn("__a", F.lit(True)).alias("a")
-    b = updates.select(*keys, *[c for c in values if c in updates.columns]).dropDuplicates(keys).withColumn("__b", F.lit(True)).alias("b")
+    row = F.struct(*[c for c in values if c in updates.columns], F.lit(True).alias("__b"))
+    b = updates.groupBy(*keys).agg(F.max_by(row, F.to_json(row)).alias("__row")).select(*keys, "__row.*").alias("b")
     both = a.join(b, keys, "full")
 
     def value(c: str):  # noqa: ANN202
