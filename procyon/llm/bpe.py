@@ -5,8 +5,10 @@ between them a cut is certain. A word is split at such places, its fragments are
 as they recur far more often than words), and their ids are put together. The tokenizer's file is read by the driver
 and sent to the tasks as one broadcast of fixed size; no tokenizer is trained.
 
-Texts of plain Latin-1 characters are normalised and split into words here; others go through the tokenizers library's
-own normaliser and word splitter, so that Unicode rules are its. Special tokens in a text are taken as such.
+Texts go through the tokenizers library's own normaliser and word splitter, so that its rules hold for any file of a
+BPE model. Where a file's normaliser and splitter are those of NORMAL and SPLIT (checked), texts of plain Latin-1
+characters are normalised and split here instead, which is faster. Models with options that change the merging, and
+special tokens that take in what is beside them, are refused with an error. Special tokens in a text are taken as such.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; null ids keep their rows; repeated rows give
 equal rows; words of any length are merged in n log n; extra columns are ignored; empty tables give none.
@@ -29,6 +31,12 @@ from .common import map_batches, text_chunks
 
 REMEMBERED = 200_000
 
+#: The normaliser and the splitter of a tokenizer's file that the quick way below was written for.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: What a model may have; anything else changes how symbols are merged.
+PLAIN = {"type": ("BPE",), "dropout": (None, 0, 0.0), "unk_token": (None, "<|endoftext|>"), "continuing_subword_prefix": (None, ""), "fuse_unk": (False, None), "byte_fallback": (False, None), "ignore_merges": (False, None)}
+
 _LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + rb"]+|[0-9]|[^\s" + _LETTERS + rb"0-9]+")
 _PLAIN = bytes(b for b in (*b"\t\n\r", *range(0x20, 0x7F), *range(0xA1, 0x100)) if b not in b"\xb2\xb3\xb9\xbc\xbd\xbe")
@@ -66,6 +74,11 @@ class Bpe:
 
         whole = json.loads(source)
         model = whole["model"]
+        odd = [k for k, may in PLAIN.items() if model.get(k, may[0]) not in may]
+        odd += [t["content"] for t in whole["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+        if odd:
+            raise ValueError(f"this tokenizer's file has what is not built here: {', '.join(odd)}")
+        self.quick = whole["normalizer"] == NORMAL and whole["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": SPLIT}
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -76,7 +89,7 @@ class Bpe:
         self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_str(source)
-        self.normal, self.split = library.normalizer, library.pre_tokenizer
+        self.normal, self.split, self.library = library.normalizer, library.pre_tokenizer, library if whole["decoder"] else None
         self.symbols = byte_symbols()
         self.inside = {p for t in self.vocab for p in self._pairs(self.units(t[: -len(self.suffix)], True) if self.suffix and t.endswith(self.suffix) else list(t))}
         self.fragments = Remembered(self._merge)
@@ -149,13 +162,14 @@ class Bpe:
         return b"".join([self.codes[t] for t in part if t is not None])
 
     def _piece(self, text: str) -> bytes:
-        try:
-            raw = text.encode("latin-1")
-            if not raw.translate(None, _PLAIN):
-                return b"".join(map(self.plain.__getitem__, _WORDS.findall(raw.translate(_LOWER))))
-        except UnicodeEncodeError:
-            pass
-        words = self.split.pre_tokenize_str(self.normal.normalize_str(text))
+        if self.quick:
+            try:
+                raw = text.encode("latin-1")
+                if not raw.translate(None, _PLAIN):
+                    return b"".join(map(self.plain.__getitem__, _WORDS.findall(raw.translate(_LOWER))))
+            except UnicodeEncodeError:
+                pass
+        words = self.split.pre_tokenize_str(self.normal.normalize_str(text) if self.normal else text)
         return b"".join([self.words[w] for w, _ in words])
 
     def encode(self, text: str) -> bytes:
@@ -165,7 +179,9 @@ class Bpe:
         return b"".join([np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._piece(p) for p in self.cut.split(text) if p])
 
     def decode(self, ids: bytes) -> str:
-        """As the library without a decoder: the tokens' strings, joined by spaces."""
+        """As the library: by the file's decoder, or without one the tokens' strings, joined by spaces."""
+        if self.library:
+            return self.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 

@@ -25,7 +25,7 @@ from .common import map_batches, text_chunks
 # Element ids: fixed values of the Matroska format.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
 DOCTYPE, SCALE, DURATION, NUMBER, UID, KIND, CODEC, DEFAULT_NS, RATE, CHANNELS, BITS = 0x4282, 0x2AD7B1, 0x4489, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xB5, 0x9F, 0x6264
-TIME, SIMPLE, BLOCK, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xE7, 0xA3, 0xA1, 0xB3, 0xF7, 0xF1
+TIME, SIMPLE, BLOCK, REFERENCE, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xE7, 0xA3, 0xA1, 0xFB, 0xB3, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
 
 FRAME, LACED, BLOCKS, HERTZ = 512, 8, 16, 8000
@@ -140,12 +140,16 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[int], i
 
 
 def parse(data: bytes | None) -> tuple[list[tuple], list[tuple[int, int, int]]]:
-    """Packets (track, timestamp_ns, offset, size, keyframe, cluster, lacing) and cues (time_ns, track, cluster offset)."""
+    """Packets (track, timestamp_ns, offset, size, keyframe, cluster, lacing) and cues (time_ns, track, cluster offset).
+
+    A block of a group is a keyframe if the group refers to no other block. A block's duration is not told, and encoded
+    content (compression, stripped headers) is given as it is stored.
+    """
     packets: list[tuple] = []
     cues: list[tuple[int, int, int]] = []
     scale, cluster, time, segment, number = 1_000_000, -1, 0, 0, 0
     step: dict[int, int] = {}
-    cue = [0, 0]
+    cue, begun, refers = [0, 0], 0, False
     at, end = 0, len(data or b"")
     try:
         while at < end:
@@ -154,6 +158,8 @@ def parse(data: bytes | None) -> tuple[list[tuple], list[tuple[int, int, int]]]:
             if ident in MASTERS:
                 if ident == SEGMENT:
                     segment = at
+                if ident == GROUP:
+                    begun, refers = len(packets), False
                 cluster += ident == CLUSTER
                 continue
             stop = at + size
@@ -173,12 +179,15 @@ def parse(data: bytes | None) -> tuple[list[tuple], list[tuple[int, int, int]]]:
                 cue[1] = int.from_bytes(data[at:stop], "big")
             elif ident == CUE_CLUSTER:
                 cues.append((*cue, segment + int.from_bytes(data[at:stop], "big")))
+            elif ident == REFERENCE:
+                refers = True
+                packets[begun:] = [(*p[:4], False, *p[5:]) for p in packets[begun:]]
             elif ident in (SIMPLE, BLOCK):
                 track, ticks, flags, sizes, place = _frames(data, at, stop)
                 if min(sizes) < 0:
                     break
                 for i, n in enumerate(sizes):
-                    packets.append((track, (time + ticks) * scale + i * step.get(track, 0), place, n, bool(flags & 0x80) or ident == BLOCK, cluster, LACINGS[flags >> 1 & 3]))
+                    packets.append((track, (time + ticks) * scale + i * step.get(track, 0), place, n, not refers if ident == BLOCK else bool(flags & 0x80), cluster, LACINGS[flags >> 1 & 3]))
                     place += n
             at = stop
     except IndexError:

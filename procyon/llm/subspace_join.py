@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, save
 
 LEAST = 0.95
-BLOCK, GRID, TILE = 8, 2, 16384
+BLOCK, GRID, TILE, SMALL = 8, 2, 16384, 1 << 13
 SLACK = 1e-5
 
 
@@ -95,29 +95,50 @@ def cells(distinct: DataFrame, least: float) -> DataFrame:
     return distinct.select("rep", "copies", "vector").mapInArrow(run, f"dim int, block int, cell bigint, home boolean, rep bigint, copies bigint, vector {kind}")
 
 
+def _near(x: np.ndarray, y: np.ndarray, width: float, i: np.ndarray, j: np.ndarray, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups (rows of x, rows of y) that hold every pair no further apart than width in each coordinate from `at` on.
+
+    Slabs of one coordinate after another: a slab of x meets the slabs of y beside it, until groups are small.
+    """
+    if len(i) * len(j) <= SMALL or at == x.shape[1]:
+        yield i, j
+        return
+    own, other = np.floor(x[i, at] / width), np.floor(y[j, at] / width)
+    i, j = i[np.argsort(own, kind="stable")], j[np.argsort(other, kind="stable")]
+    slabs, begin = np.unique(np.sort(own), return_index=True)
+    other = np.sort(other)
+    for slab, a, b in zip(slabs, begin, np.append(begin[1:], len(i)), strict=True):
+        low, high = np.searchsorted(other, slab - 1), np.searchsorted(other, slab + 1, "right")
+        if low < high:
+            yield from _near(x, y, width, i[a:b], j[low:high], at + 1)
+
+
 def _links(x: np.ndarray, y: np.ndarray, block: int, least: float, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (of x, of y) that link and whose first block within budget is this one; some rows of x at a time."""
+    """Index pairs (of x, of y) that link and whose first block within budget is this one; a group of rows at a time."""
     rx, ry = rotate(x), rotate(y)
     at = slice(block * BLOCK, (block + 1) * BLOCK)
     bx, by = rx[:, at].astype(np.float32), ry[:, at].astype(np.float32)
     ny = (by * by).sum(1)
-    step = max(1, (4 << 20) // max(1, len(y)))
-    for a in range(0, len(x), step):
-        part = bx[a : a + step]
-        far = part @ by.T
-        far *= -2
-        far += ny
-        far += (part * part).sum(1)[:, None]
-        i, j = np.nonzero(far <= budget + SLACK)
-        i += a
-        for c in range(0, len(i), 1 << 17):
-            p, q = i[c : c + (1 << 17)], j[c : c + (1 << 17)]
-            near = (x[p] * y[q]).sum(1) >= least - 1e-9
-            p, q = p[near], q[near]
-            d = rx[p] - ry[q]
-            inside = (d * d).reshape(len(p), d.shape[1] // BLOCK, BLOCK).sum(2) <= budget + SLACK / 2
-            first = inside.argmax(1) == block
-            yield p[first & inside.any(1)], q[first & inside.any(1)]
+    width = np.sqrt(budget + SLACK) * (1 + 1e-3)
+    for mine, theirs in _near(bx, by, width, np.arange(len(x)), np.arange(len(y)), GRID):
+        step = max(1, (4 << 20) // max(1, len(theirs)))
+        for a in range(0, len(mine), step):
+            own = mine[a : a + step]
+            part = bx[own]
+            far = part @ by[theirs].T
+            far *= -2
+            far += ny[theirs]
+            far += (part * part).sum(1)[:, None]
+            i, j = np.nonzero(far <= budget + SLACK)
+            i, j = own[i], theirs[j]
+            for c in range(0, len(i), 1 << 17):
+                p, q = i[c : c + (1 << 17)], j[c : c + (1 << 17)]
+                near = (x[p] * y[q]).sum(1) >= least - 1e-9
+                p, q = p[near], q[near]
+                d = rx[p] - ry[q]
+                inside = (d * d).reshape(len(p), d.shape[1] // BLOCK, BLOCK).sum(2) <= budget + SLACK / 2
+                first = inside.argmax(1) == block
+                yield p[first & inside.any(1)], q[first & inside.any(1)]
 
 
 def _exact(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -154,6 +175,7 @@ def links(distinct: DataFrame, least: float = LEAST) -> DataFrame:
         block, same = int(pdf["block"].iloc[0]), pdf["u"].iloc[0] == pdf["v"].iloc[0]
         rep, copies, home = (pdf[c].to_numpy() for c in ("rep", "copies", "home"))
         raw = np.array(pdf["vector"].tolist(), np.float64)
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])  # by a power of two: no sum of squares leaves the range
         x = unit(raw)
         blocks = (1 << max(3, (x.shape[1] - 1).bit_length())) // BLOCK
         sides = (np.arange(len(pdf)), np.arange(len(pdf))) if same else (np.flatnonzero(~pdf["second"]), np.flatnonzero(pdf["second"]))

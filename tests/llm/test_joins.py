@@ -233,3 +233,24 @@ def test_one_passage_in_every_document(spark):
                 gone |= set(range(j, j + 13))
         want.append((i, len(w), len(gone)))
     assert got == sorted(want)
+
+
+def test_vectors_of_any_magnitude_link(spark):
+    rows = [(1, [1.0, 2.0, 0.0]), (2, [1e200, 2e200, 0.0]), (3, [1e-200, 2e-200, 1e-320]), (4, [-1e300, -2e300, 0.0]), (5, [3e307, 6e307, 1e300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in subspace_join.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_slabs_hold_every_near_pair(monkeypatch):
+    monkeypatch.setattr(subspace_join, "SMALL", 64)
+    r = np.random.default_rng(9)
+    x, y = r.normal(size=(700, 8)).astype(np.float32) * 0.125, r.normal(size=(500, 8)).astype(np.float32) * 0.125
+    width = 0.112 * 1.001
+    far = ((x[:, None] - y[None]) ** 2).sum(2)
+    want = set(zip(*np.nonzero(far <= 0.112**2), strict=True))
+    seen, products = [], 0
+    for i, j in subspace_join._near(x, y, width, np.arange(len(x)), np.arange(len(y)), 2):
+        products += len(i) * len(j)
+        seen += [(a, b) for a in i for b in j]
+    assert len(seen) == len(set(seen)) and want <= set(seen)
+    assert products < 0.12 * len(x) * len(y)  # six more coordinates, of which each leaves out about half

@@ -175,3 +175,40 @@ def test_toxicity_learns_and_leaves_held_out_rows_alone(spark, nothing):
     assert toxicity.score(nothing, model).count() == 0
     blank = toxicity.fit(docs, lab.where("false"))
     assert toxicity.score(docs, blank).where("score > 0.001").count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizer_files_give_the_library_s_ids(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as f:
+        model = bpe.Bpe(f.read())
+    library = Tokenizer.from_file(path)
+    assert model.quick == (name == "word_bpe_49k.json")
+    for text in ["Hello World 123", "  two  spaces\n\n\tand It's", "é日本 <|endoftext|> x", "", "ǅ ÀÉ ½ ² ª", "a" * 300 + " " * 9]:
+        ids = np.frombuffer(model.encode(text), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert model.decode(model.encode(text)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_files_with_what_is_not_built_are_refused():
+    import json
+
+    from procyon.llm.queries import word_bpe
+
+    with open(word_bpe(), encoding="utf-8") as f:
+        whole = json.load(f)
+    for change in ({"model": whole["model"] | {"ignore_merges": True}}, {"added_tokens": [whole["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not built"):
+            bpe.Bpe(json.dumps(whole | change))
+
+
+def test_blocks_that_refer_to_others_are_no_keyframes():
+    el = matroska._el
+    block = lambda n: el(matroska.BLOCK, b"\x82\x00\x07\x00" + bytes([n]))
+    simple = el(matroska.SIMPLE, b"\x82\x00\x08\x80" + b"s")
+    after, before, alone = (el(matroska.GROUP, x) for x in (block(1) + el(matroska.REFERENCE, b"\xff"), el(matroska.REFERENCE, b"\xff") + block(2), block(3)))
+    file = el(matroska.EBML, b"") + el(matroska.SEGMENT, el(matroska.CLUSTER, el(matroska.TIME, b"\x01") + simple + after + before + alone + simple))
+    assert [p[4] for p in matroska.parse(file)[0]] == [True, False, False, True, True]
