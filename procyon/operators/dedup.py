@@ -27,6 +27,20 @@ def conflict_free(pairs: DataFrame) -> DataFrame:
     return pairs.where(a.isNull() | b.isNull() | (a == b))
 
 
+def candidate_counts(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, candidates): how many existing rows of equal keys conflict_free would leave an incoming row, if any.
+
+    Counts are summed by key and reference before the join, so that no pair of rows is made.
+    """
+    ref = "reference_number_normalized"
+    each = existing.dropna(subset=keys).groupBy(*keys, ref).agg(F.count("*").alias("n"))
+    every = each.groupBy(*keys).agg(F.sum("n").alias("all"), F.sum(F.when(F.col(ref).isNull(), F.col("n")).otherwise(0)).alias("bare"))
+    own = incoming.dropna(subset=keys).select("id", *keys, ref).join(every, keys)
+    own = own.join(each.where(F.col(ref).isNotNull()), [*keys, ref], "left")
+    n = F.when(F.col(ref).isNull(), F.col("all")).otherwise(F.col("bare") + F.coalesce("n", F.lit(0)))
+    return own.select("id", n.alias("candidates")).where("candidates > 0")
+
+
 def _place(seen: Column, key: str = "id", *more: str) -> Column:
     """Earlier rows have smaller ones; rows without a time come last, then the smaller id is first."""
     return F.struct(seen.isNull().alias("last"), seen.alias("seen"), F.col(key).alias("id"), *more)

@@ -204,6 +204,22 @@ def verify_captured(items: DataFrame, validated: DataFrame, sources: DataFrame,
     return rows.select("source_id", F.explode(out).alias("c")).select("source_id", "c.*")
 
 
+def verify_coverage(items: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """Check rows (source_id, name, required, outcome) of what a source's items and listing targets cover.
+
+    documents: WARN unless an item has a document with an address. pagination: PASS with several distinct target URLs,
+    WARN with at most one though the source declares pages (max_pages or pagination), else SKIP. Sources without items
+    or targets get both rows too; neither check is required, and SKIP counts for nothing in a verdict.
+    """
+    linked = items.groupBy("source_id").agg(F.bool_or(F.exists(F.coalesce("documents", F.array().cast(items.schema["documents"].dataType)), lambda d: d["url"].isNotNull())).alias("linked"))
+    pages = targets.groupBy("source_id").agg(F.countDistinct("url").alias("pages"))
+    declared = [F.coalesce(F.col(c).isNotNull(), F.lit(False)) for c in ("max_pages", "pagination") if c in sources.columns]
+    rows = sources.select(F.col("id").alias("source_id"), reduce(lambda a, b: a | b, declared, F.lit(False)).alias("declared")).join(linked, "source_id", "left").join(pages, "source_id", "left")
+    paged = F.when(F.coalesce("pages", F.lit(0)) > 1, "PASS").when(F.col("declared"), "WARN").otherwise("SKIP")
+    checks = F.array(F.struct(F.lit("documents").alias("name"), F.when(F.coalesce("linked", F.lit(False)), "PASS").otherwise("WARN").alias("outcome")), F.struct(F.lit("pagination").alias("name"), paged.alias("outcome")))
+    return rows.select("source_id", F.explode(checks).alias("c")).select("source_id", "c.name", F.lit(False).alias("required"), "c.outcome")
+
+
 def lifecycle_transition(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(id, lifecycle, next_lifecycle) after verification."""
     out = sources.join(verdicts.select(F.col("source_id").alias("id"), "verdict"), "id", "left")
@@ -213,10 +229,10 @@ def lifecycle_transition(sources: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def transition_refusals(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Requests (source_id, action, reason) that are refused: activation without a pass, a pause without a reason."""
+    """Requests (source_id, action, reason, whatever else) that are refused, with the refusal: activation without a pass, a pause without a reason."""
     out = requests.join(verdicts.select("source_id", "verdict"), "source_id", "left")
     why = F.when((F.col("action") == "ACTIVATE") & ~F.coalesce(F.col("verdict").isin("PASSED", "PASSED_WITH_WARNINGS"), F.lit(False)), "NOT_VERIFIED").when((F.col("action") == "PAUSE") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "REASON_MISSING")
-    return out.withColumn("refusal", why).where("refusal IS NOT NULL").select("source_id", "action", "refusal")
+    return out.withColumn("refusal", why).where("refusal IS NOT NULL").select(*requests.columns, "refusal")
 
 
 def run_gap_analysis(runs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -84,11 +84,11 @@ def s9(t: Tables) -> DataFrame:
     return pages.enrich_from_detail(items, details).select("id", _field("title"), _field("extra"), F.size("documents").cast("bigint").alias("documents"))
 
 
-@query_of("s12_read_documents", "SELECT 'TXT' AS format, CAST(sum(length('document ' || CAST(doc_id AS STRING)) + 1) AS BIGINT) AS bytes FROM documents")
+@query_of("s12_read_documents", r"SELECT 'TXT' AS format, CAST(sum(octet_length(encode(regexp_replace(text, '[\r\n]+', ' ', 'g'))) + 1) AS BIGINT) AS bytes FROM documents")
 def s12(t: Tables) -> DataFrame:
-    """Files that Spark writes from the documents' ids, read back as bytes."""
+    """Files that Spark writes from the documents' whole texts, a line for each, read back as bytes."""
     folder = f"{state.shared_folder(t.spark)}/{uuid.uuid4().hex}"
-    t.documents.select(F.concat(F.lit("document "), "doc_id")).write.text(folder)
+    t.documents.select(F.regexp_replace("text", r"[\r\n]+", " ")).write.text(folder)
     return documents.read_documents(t.spark, folder)[0].groupBy("format").agg(F.sum("length").alias("bytes"))
 
 

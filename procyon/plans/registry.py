@@ -114,6 +114,17 @@ def f5_text(t: Tables) -> DataFrame:
     return query.text_of(t.doc_texts, 7)
 
 
+@query_of("f5_list_categories", "SELECT DISTINCT lower(replace(p_name, ' ', '-')) AS slug, p_type AS taxonomy FROM part WHERE p_type = 'ECONOMY' AND length(p_name) % 2 = 0")
+def f5_categories(t: Tables) -> DataFrame:
+    kinds = t.part.select(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"), F.col("p_type").alias("taxonomy"), (F.length("p_name") % 2 == 0).alias("active")).distinct()
+    return query.list_categories(kinds, "ECONOMY").select("slug", "taxonomy")
+
+
+@query_of("f5_runs_with_sources", "SELECT r.id, r.source_id, s.name AS source, r.status FROM source_runs r JOIN sources s ON s.id = r.source_id")
+def f5_runs(t: Tables) -> DataFrame:
+    return query.runs_with_sources(t.source_runs, t.sources).select("id", "source_id", "source", "status")
+
+
 @query_of("f6_search_terms", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'released')")
 def f6(t: Tables) -> DataFrame:
     return query.search_terms(t.documents, "License released x", ("text",)).select("doc_id")
@@ -368,6 +379,18 @@ def n2(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.collapse_whitespace(F.col("text")).alias("collapsed"), (short.endswith("…") & (F.length(short) <= 81)).alias("cut"))
 
 
+@query_of("n3_truncated", r"""WITH c AS (SELECT doc_id, text, substr(text, 1, 80) AS cut FROM documents)
+  SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(CASE WHEN contains(cut, ' ') AND NOT regexp_matches(substr(text, 81, 1), '^\s$') THEN regexp_replace(cut, ' [^ ]*$', '') ELSE cut END, '\s+$', '') || '…' END AS short FROM c""")
+def n3(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.truncate_words(F.col("text"), 80).alias("short"))
+
+
+@query_of("n5_phone_numbers", r"""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_zip(p, range(len(p))), lambda z: list_position(p, z[1]) = z[2] + 1), lambda z: z[1]), lambda x: length(ltrim(x, '+')) BETWEEN 9 AND 13), ',') AS phones
+  FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '(?:\+27|0)(?:[\s\-().]?[0-9]){8,11}'), lambda x: regexp_replace(x, '[\s\-().]', '', 'g')) AS p FROM documents) WHERE len(list_filter(p, lambda x: length(ltrim(x, '+')) BETWEEN 9 AND 13)) > 0""")
+def n5b(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.array_join(text.extract_phones(F.col("text")), ",").alias("phones")).where("phones != ''")
+
+
 @query_of("n4_n5_contacts_in_text", r"""SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS emails FROM (SELECT doc_id, list_transform(list_filter(list_zip(e, range(len(e))), lambda z: list_position(e, z[1]) = z[2] + 1), lambda z: z[1]) AS list_distinct_in_order
   FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'), lambda x: lower(x)) AS e FROM documents)) WHERE len(list_distinct_in_order) > 0""")
 def n4(t: Tables) -> DataFrame:
@@ -452,6 +475,18 @@ def n15(t: Tables) -> DataFrame:
     return t.pages.select("page_id", urls.is_http_url(u).alias("http"), urls.url_policy(u)["ok"].alias("ok"), urls.filename_from_url(u).alias("filename"), urls.guess_format(F.coalesce(urls.filename_from_url(u), F.lit(""))).alias("format"))
 
 
+#: Addresses of every kind that the policy tells apart, a page's own beside them, by its id; and what it says of each.
+_POLICY = (("https://{}/x", None), ("ftp://{}/x", "scheme"), ("https:///x", "host"), ("https://user@{}/x", "credentials"), ("https://{}:99/x", "port"), ("https://{}:8443/x", None), ("http://localhost/x", "local"), ("http://10.1.2.3/x", "private"), ("http://printer.local/x", "local"), ("http://172.31.0.9/x", "private"), ("http://172.32.0.9/x", None), ("   ", "empty"), ("mailto:a@b.org", "scheme"))
+
+
+@query_of("n16_url_policy", f"SELECT page_id, CASE page_id % {len(_POLICY)} " + " ".join(f"WHEN {i} THEN {f"'{why}'" if why else 'NULL'}" for i, (_, why) in enumerate(_POLICY)) + f" END AS reason, page_id % {len(_POLICY)} NOT IN (1, 2, 11, 12) AS http, CASE WHEN page_id % {len(_POLICY)} = 11 THEN NULL ELSE regexp_replace(url, '[?#].*$', '') || '?page=2' END AS next_page FROM pages")
+def n16(t: Tables) -> DataFrame:
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    kind = (F.col("page_id") % len(_POLICY)).cast("int")
+    link = F.get(F.array(*[F.replace(F.lit(x), F.lit("{}"), host) for x, _ in _POLICY]), kind)
+    return t.pages.select("page_id", urls.url_policy(link)["reason"].alias("reason"), urls.is_http_url(link).alias("http"), F.when(kind != 11, urls.with_query(F.col("url"), F.lit("page=2"))).alias("next_page"))
+
+
 @query_of("n17_same_host", r"SELECT page_id, regexp_matches(url, '^https?://www\.') AS www FROM pages")
 def n17(t: Tables) -> DataFrame:
     return t.pages.select("page_id", (urls.same_host(F.col("url"), F.regexp_replace("url", r"://www\.", "://")) & F.contains("url", F.lit("://www."))).alias("www"))
@@ -577,6 +612,11 @@ def v5(t: Tables) -> DataFrame:
     return validate.quality_report(validate.validate_records(t.opportunities, AS_OF)).where("kind = 'issue'")
 
 
+@query_of("v5_quality_counts", f"SELECT 'quality' AS kind, quality AS name, count(*) AS n FROM (SELECT CASE WHEN coalesce({_REVIEW}, published_at > TIMESTAMP '{AS_OF}' + INTERVAL 2 DAY) THEN 'NEEDS_REVIEW' WHEN {_COMPLETE} >= 0.7 THEN 'VALID' ELSE 'INCOMPLETE' END AS quality FROM opportunities) GROUP BY 2")
+def v5b(t: Tables) -> DataFrame:
+    return validate.quality_report(validate.validate_records(t.opportunities, AS_OF)).where("kind = 'quality'")
+
+
 _V6_TABLES = {
     "opportunities": "SELECT id, CASE WHEN id % 40 = 7 THEN 3 END AS municipality_id, CASE WHEN id % 40 = 7 THEN 'R' || CAST(id % 1000 AS STRING) END AS reference_number, source_id, CASE WHEN id % 50 = 3 THEN 'x' || CAST(id % 500 AS STRING) END AS external_id, 'f' || CAST(CASE WHEN id % 60 = 1 THEN id - 1 ELSE id END AS STRING) AS fingerprint, CASE WHEN id % 120 = 1 THEN 'NEEDS_REVIEW' ELSE 'VALID' END AS data_quality, CASE WHEN id % 777 = 5 THEN 0 - estimated_value ELSE estimated_value END AS estimated_value, CASE WHEN id % 555 = 2 THEN 0 ELSE 1 END AS version FROM opportunities",
     "versions": "SELECT opportunity_id, CASE WHEN seq = 3 THEN 2 WHEN seq = 6 THEN 0 ELSE seq END AS version FROM observations",
@@ -676,8 +716,7 @@ def d4(t: Tables) -> DataFrame:
 
 @query_of("d6_reference_conflict_guard", f"WITH {_INCOMING} SELECT i.id, count(*) AS candidates FROM i JOIN opportunities o ON {_DAYSAME} AND {_NOCLASH} GROUP BY 1")
 def d6(t: Tables) -> DataFrame:
-    e = with_keys(t.opportunities).select("fingerprint", F.col("reference_number_normalized").alias("e_reference"))
-    return dedup.conflict_free(seen_again(t).join(e, "fingerprint")).groupBy("id").agg(F.count("*").alias("candidates"))
+    return dedup.candidate_counts(seen_again(t), with_keys(t.opportunities), ["fingerprint"])
 
 
 @query_of("d7_resolve_duplicates", f"WITH {_D7} SELECT id, existing_id, CAST(layer AS BIGINT) AS layer, decision, CAST(confidence AS DOUBLE) AS confidence FROM d7")
@@ -973,6 +1012,30 @@ def o18(t: Tables) -> DataFrame:
     return ops.verify_captured(raw_items(t), v, t.sources.withColumn("base_url", F.lit("https://example.org/")))
 
 
+@query_of(
+    "o18_verify_coverage",
+    """WITH d AS (SELECT source_id, bool_or(id % 7 = 0 AND id % 14 <> 0) AS linked, count(DISTINCT floor(id / 1000.0)) AS pages FROM opportunities GROUP BY 1)
+       SELECT s.id AS source_id, v.name, false AS required, CASE WHEN v.name = 'documents' THEN CASE WHEN linked THEN 'PASS' ELSE 'WARN' END WHEN coalesce(pages, 0) > 1 THEN 'PASS' WHEN s.id % 3 = 0 THEN 'WARN' ELSE 'SKIP' END AS outcome
+       FROM sources s LEFT JOIN d ON d.source_id = s.id, (VALUES ('documents'), ('pagination')) v(name)""",
+)
+def o18b(t: Tables) -> DataFrame:
+    i = F.col("id")
+    doc = lambda url: F.struct(url.alias("url"), F.lit("file").alias("title"))
+    none = F.array().cast("array<struct<url: string, title: string>>")
+    items = t.opportunities.select("source_id", F.when(i % 14 == 0, F.array(doc(F.lit(None).cast("string")))).when(i % 7 == 0, F.array(doc(F.concat(F.lit("https://www.example.org/d/"), i)))).when(i % 2 == 0, none).alias("documents"))
+    targets = t.opportunities.select("source_id", F.concat(F.lit("https://www.example.org/list/"), F.floor(i / 1000)).alias("url"))
+    return ops.verify_coverage(items, targets, t.sources.withColumn("max_pages", F.when(i % 3 == 0, 5)))
+
+
+@query_of("o19_transition_refusals", f"WITH {_VERDICT} SELECT e.event_id AS request, e.user_id AS source_id, CASE event_type WHEN 'view' THEN 'ACTIVATE' ELSE 'PAUSE' END AS action, CASE event_type WHEN 'view' THEN 'NOT_VERIFIED' ELSE 'REASON_MISSING' END AS refusal FROM events e LEFT JOIN vd ON vd.source_id = e.user_id AND e.user_id % 4 <> 1 WHERE (event_type = 'view' AND coalesce(verdict, 'FAILED') = 'FAILED') OR (event_type = 'click' AND event_id % 3 <> 0)")
+def o19b(t: Tables) -> DataFrame:
+    """Requests of the events, of which some are refused; a quarter of the sources was never verified."""
+    e = F.col("event_id")
+    requests = t.events.where("event_type IN ('view', 'click')").select(e.alias("request"), F.col("user_id").alias("source_id"), F.when(F.col("event_type") == "view", "ACTIVATE").otherwise("PAUSE").alias("action"), F.when(e % 3 == 0, "closed for repairs").when(e % 3 == 1, "  ").alias("reason"))
+    verdicts = ops.verification_verdict(checks_of(t)).where("source_id % 4 != 1")
+    return ops.transition_refusals(requests, verdicts).select("request", "source_id", "action", "refusal")
+
+
 @query_of("o19_lifecycle_transition", f"WITH {_VERDICT} SELECT s.id, lifecycle, CASE WHEN verdict IN ('PASSED', 'PASSED_WITH_WARNINGS') AND lifecycle = 'DISCOVERED' THEN 'VERIFIED' WHEN verdict = 'FAILED' AND lifecycle = 'ACTIVE' THEN 'DEGRADED' ELSE lifecycle END AS next_lifecycle FROM sources s LEFT JOIN vd ON vd.source_id = s.id")
 def o19(t: Tables) -> DataFrame:
     return ops.lifecycle_transition(t.sources, ops.verification_verdict(checks_of(t)))
