@@ -504,7 +504,15 @@ def n21(t: Tables) -> DataFrame:
     return t.doc_texts.select("id", urls.sniff_format(head.cast("binary"), F.lit(None).cast("string"), F.col("filename")).alias("format"))
 
 
-@query_of("n22_content_hash")
+def _canonical(name: str) -> str:
+    """A field of the canonical JSON of an opportunity as SQL text; fields that it lacks are null."""
+    texts = ("currency", "description", "organization", "procurement_type", "reference_number", "status", "title")
+    times = ("closing_at", "published_at")
+    value = f"'\"' || {name} || '\"'" if name in texts else f"'\"' || strftime({name}, '%Y-%m-%dT%H:%M:%S') || '\"'" if name in times else f"CAST({name} AS VARCHAR)" if name == "estimated_value" else "NULL"
+    return f"'\"{name}\":' || coalesce({value}, 'null')"
+
+
+@query_of("n22_content_hash", f"SELECT id, sha256('{{' || {" || ',' || ".join(_canonical(c) for c in hashing.CONTENT)} || '}}') AS content_hash FROM opportunities")
 def n22(t: Tables) -> DataFrame:
     return t.opportunities.select("id", hashing.content_hash(t.opportunities.columns).alias("content_hash"))
 
@@ -737,8 +745,17 @@ def d8(t: Tables) -> DataFrame:
 
 @query_of("d8_resolve_batch")
 def d8b(t: Tables) -> DataFrame:
-    """All four layers in scope; d8_resolve_within_batch is the slice by one raw key that SQL says."""
-    return dedup.resolve_batch(with_keys(t.opportunities))
+    """All four layers in scope over a batch that has every opportunity twice, the second time as it is seen again.
+
+    d8_resolve_within_batch is the slice by one raw key that SQL says.
+    """
+    return dedup.resolve_batch(whole_batch(t))
+
+
+def whole_batch(t: Tables) -> DataFrame:
+    stored, again = with_keys(t.opportunities), seen_again(t)
+    common = [c for c in stored.columns if c in again.columns]
+    return stored.select(*common).unionByName(again.select(*common))
 
 
 @query_of("d9_d10_review_queue", f"""WITH {_D7}, r AS (SELECT id, title, NULL AS data_quality, published_at FROM i UNION ALL SELECT id, title, NULL, published_at FROM opportunities)

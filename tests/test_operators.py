@@ -60,12 +60,8 @@ def test_batch_roots_are_transitive(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
 
 
-def test_batch_is_resolved_by_four_layers(spark):
-    r = random.Random(5)
-    titles = ["Supply and delivery of road signs to the depot", "Supply and delivery of road signs to the depot yard", "Repair of water pumps at the northern plant", "Repair of water pumps at northern plant site", "Short title"]
-    days = ["2026-03-01 10:00:00", "2026-03-03 10:00:00", "2026-03-20 10:00:00", None]
-    rows = [(i, r.choice([None, None, "A/1", "B/2", "C/3"]), r.choice(titles), r.randrange(1, 4), r.choice([None, 7, 8]), r.choice(days), r.choice(["Org", "Org", "Other"]), "RFQ", r.choice([None, "2026-01-01 00:00:00", "2026-01-02 00:00:00", "2026-01-03 00:00:00"])) for i in range(1, 121)]
-    batch = records(spark, rows)
+def plain_batch(batch):
+    """What match_within_batch and resolve_batch say of a batch, by loops: (id -> match, id -> root)."""
     sets = {x.id: set(x.g) for x in batch.select("id", trigrams(F.col("title")).alias("g")).collect()}
     items = sorted(batch.collect(), key=lambda x: (x.published_at is None, str(x.published_at), x.id))
     scope = lambda x: ("s", x.source_id) if x.municipality_id is None else ("m", x.municipality_id)
@@ -89,6 +85,16 @@ def test_batch_is_resolved_by_four_layers(spark):
                 m = (best[1], 4, "PROBABLE_MATCH" if -best[0] >= 0.82 else "UNCERTAIN")
         want[x.id] = m or (None, None, "NEW")
         root[x.id] = root[m[0]] if m and m[2] != "UNCERTAIN" else x.id
+    return want, root
+
+
+def test_batch_is_resolved_by_four_layers(spark):
+    r = random.Random(5)
+    titles = ["Supply and delivery of road signs to the depot", "Supply and delivery of road signs to the depot yard", "Repair of water pumps at the northern plant", "Repair of water pumps at northern plant site", "Short title"]
+    days = ["2026-03-01 10:00:00", "2026-03-03 10:00:00", "2026-03-20 10:00:00", None]
+    rows = [(i, r.choice([None, None, "A/1", "B/2", "C/3"]), r.choice(titles), r.randrange(1, 4), r.choice([None, 7, 8]), r.choice(days), r.choice(["Org", "Org", "Other"]), "RFQ", r.choice([None, "2026-01-01 00:00:00", "2026-01-02 00:00:00", "2026-01-03 00:00:00"])) for i in range(1, 121)]
+    batch = records(spark, rows)
+    want, root = plain_batch(batch)
     got = {x.id: (x.existing_id, x.layer, x.decision) for x in dedup.match_within_batch(batch).collect()}
     assert got == want and {m[1:] for m in want.values()} >= {(1, "EXACT_MATCH"), (2, "EXACT_MATCH"), (3, "PROBABLE_MATCH"), (3, "UNCERTAIN"), (4, "PROBABLE_MATCH"), (None, "NEW")}
     assert {x.id: x.root for x in dedup.resolve_batch(batch).collect()} == root

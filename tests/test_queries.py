@@ -52,6 +52,59 @@ def test_streams_in_turns_agree_with_sql(spark, name):
     test_sql_agrees(spark, name)
 
 
+def test_whole_batch_is_resolved_as_by_loops(spark):
+    from procyon.plans.registry import Tables, whole_batch
+
+    from .test_operators import plain_batch
+
+    _, root = plain_batch(whole_batch(Tables(spark, SF)))
+    assert {r.id: r.root for r in QUERIES["d8_resolve_batch"](spark, SF).collect()} == root and len(set(root.values())) < len(root)
+
+
+def test_snapshots_are_the_records(spark):
+    import json
+
+    from procyon.operators import validate
+    from procyon.plans.registry import AS_OF, Tables
+
+    rows = {r.id: r.asDict(True) for r in validate.validate_records(Tables(spark, SF).opportunities, AS_OF).collect()}
+    got = {r.id: json.loads(r.snapshot) for r in QUERIES["e4_snapshot"](spark, SF).collect()}
+    assert got.keys() == rows.keys()
+    for i, want in rows.items():
+        assert set(got[i]) == set(want) - {"id"}
+        for k, v in got[i].items():
+            if isinstance(v, str) and hasattr(want[k], "isoformat"):
+                assert v.startswith(want[k].isoformat(timespec="seconds"))
+            else:
+                assert v == want[k] or float(v) == float(want[k])
+
+
+def test_rejects_of_every_stage(spark):
+    import json
+
+    from procyon.plans.registry import Tables
+
+    t = Tables(spark, SF)
+    rows = QUERIES["u3_all_rejects"](spark, SF).collect()
+    invalid = sorted((o.source_id, o.source_url) for o in t.opportunities.collect() if o.id % 101 == 0)
+    assert sorted((r.source_id, r.url) for r in rows if r.stage == "VALIDATE") == invalid
+    assert all("title" in json.loads(r.message) and r.code == "RECORD_INVALID" and not r.retryable for r in rows if r.stage == "VALIDATE")
+    broken = sorted(e.user_id for e in t.events.collect() if e.event_id % 50 == 0)
+    assert sorted(r.source_id for r in rows if r.stage != "VALIDATE") == broken
+
+
+def test_document_links_of_whole_pages(spark):
+    import re
+
+    got = sorted((r.page_id, r.source_url, r.title) for r in QUERIES["s7_s8_pdf_link_items"](spark, SF).collect())
+    want = {}
+    for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        for link, words in re.findall(r'<a href="(/[^"]*)"[^>]*>(.*?)</a>', p.html, re.S):
+            words = re.sub(r"\s+", " ", re.sub("<[^>]*>", "", words)).strip()
+            want.setdefault((p.page_id, link), (p.page_id, p.url, words or link.rsplit("/", 1)[-1] + ".pdf"))
+    assert got == sorted(want.values())
+
+
 def test_open_sessions_are_there(spark, tmp_path):
     from pyspark.sql import functions as F
 
