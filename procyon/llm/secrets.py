@@ -1,8 +1,9 @@
 """Secret scans: findings by pattern, and multipart credentials linked by an interval join within scopes.
 
 A scope is one text. Its parts are identifiers, secrets and endpoints with their intervals in code points. Strong
-parts (keyword assignments, access keys, long hex runs) are reported as they are; weak ones (a login name, a bare
-40-character token, a URL) are reported only when the complementary parts stand within `gap` code points.
+parts (keyword assignments, access keys, long hex runs) are reported as they are; weak ones (a login name, an e-mail
+address, a bare 40-character token, a URL) are reported only when the complementary parts stand within `gap` code
+points. An address within a login or a URL is part of that.
 
 Edge cases: a null or empty text has no findings; a null id is kept and its row scanned; repeated rows give equal
 rows; extra columns, whatever their names, are ignored by `scan` and kept by `redact`; an empty table gives none.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, row_key, save, text_chunks
 
 #: Kinds in the order in which equal starts are listed: the strong ones, then the weak ones.
-KINDS = ("assign", "access", "hex", "login", "token", "endpoint")
-ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "login": "identifier", "token": "secret", "endpoint": "endpoint"}
+KINDS = ("assign", "access", "hex", "login", "token", "endpoint", "mail")
+ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "login": "identifier", "token": "secret", "endpoint": "endpoint", "mail": "identifier"}
 #: What must stand near a weak part of a role.
 NEEDS = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}
 GAP = 256
@@ -32,6 +33,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LOGIN = re.compile(r"""(?:client_id|username|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])")
+_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?", re.A)
 
 
@@ -48,10 +50,12 @@ def parts_of(text: str) -> list[tuple[int, int, str, int]]:
     weak = []
     if any(w in low for w in ("client_id", "user", "login", "account")):
         weak += [(m.start(), 3, "login", m.end()) for m in _LOGIN.finditer(text)]
-    if taken or weak:  # a bare token or a URL alone can never have a complementary part
+    mails = [(m.start(), 6, "mail", m.end()) for m in _MAIL.finditer(text)] if "@" in text else []
+    if taken or weak or mails:  # a bare token or a URL alone can never have a complementary part
         weak += [(m.start(), 4, "token", m.end()) for m in _TOKEN.finditer(text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
         if "http" in text:
             weak += [(m.start(), 5, "endpoint", m.end()) for m in _ENDPOINT.finditer(text)]
+        weak += _outside(mails, sorted((a, b) for a, rank, _, b in weak if rank != 4)) if weak else mails
     if weak and taken:
         taken.sort()
         weak = _outside(weak, taken)

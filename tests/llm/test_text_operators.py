@@ -64,6 +64,34 @@ def test_link_is_an_interval_join(spark):
     assert ("b", "login") in {(r.scope, r.kind) for r in near.collect()}
 
 
+def test_link_equals_all_pairs_on_random_parts(spark):
+    import random
+
+    r = random.Random(6)
+    rows = sorted({(f"s{r.randrange(12)}", r.choice(secrets.KINDS), a, a + r.choice([3, 40, 700])) for a in (r.randrange(3000) for _ in range(400))})
+    for gap in (1, 50, 256):
+        got = {tuple(x) for x in secrets.link(spark.createDataFrame(rows, "scope string, kind string, start bigint, `end` bigint").repartition(3), gap).collect()}
+        want = set()
+        for s, kind, a, b in rows:
+            near = {secrets.ROLE[k] for s2, k, a2, b2 in rows if s2 == s and a2 <= b + gap and b2 >= a - gap}
+            if kind in secrets.KINDS[3:] and set(secrets.NEEDS[secrets.ROLE[kind]]) <= near:
+                want.add((s, kind, a, b))
+        assert got == want and want
+
+
+def test_addresses_are_identifiers(spark):
+    texts = ['bob@x.example.org token = "0a1b2c3d4e"', "bob@x.example.org alone", "user=bob@x.example.org password: hunter22", "a@b " * 9 + "x" * 300 + "@y.org", "k" * 100_000 + "@x.org secret=abcdef", "bob@x.example.org" + " pad" * 80 + " token: 123456"]
+    found = [[(text[a:b], kind) for a, rank, kind, b in secrets.parts_of(text) if rank >= 3] for text in texts]
+    assert found == [[("bob@x.example.org", "mail")], [("bob@x.example.org", "mail")], [("user=bob@x.example.org", "login")], [], [], [("bob@x.example.org", "mail")]]
+    out = {r.id: r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id").collect()}
+    assert out[0] == '[mail] [assign]"' and out[1] == texts[1] and out[2] == "[login] [assign]" and out[5].startswith("bob@")
+
+
+def test_the_tables_hold_linked_parts(spark):
+    rows = queries.op2_secret_linking(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.n_linked for r in rows) > 0 and all(("mail" in r.spans) <= (r.n_linked > 0) for r in rows)
+
+
 def test_redaction_takes_effect_and_keeps_the_rest(docs, nothing):
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
     before = {r.doc_id: r for r in docs.collect()}
