@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def save(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was saved within it, but for what was saved with keep: that belongs to the scope around."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def save(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut lineage: write df as Parquet under the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    scope = _scopes[: len(_scopes) - keep]
+    if scope:
+        scope[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -235,8 +254,13 @@ def components(edges: DataFrame, lot: int = EDGES) -> DataFrame:
     one node at are joined by edges, which are the next round's. A round leaves two thirds of a path's nodes, less of
     denser graphs. Tasks get about `lot` edges, so few edges take one round. Only combinable minima and joins: a node
     with very many edges is pre-aggregated by each task. Empty edges give an empty table; loops and repeated edges are
-    ignored; nulls are dropped.
+    ignored; nulls are dropped. What the rounds save is deleted when the result is written.
     """
+    with scratch(edges.sparkSession):
+        return save(_joined_up(edges, lot), keep=True)
+
+
+def _joined_up(edges: DataFrame, lot: int) -> DataFrame:
     live = edges.where("src < dst OR src > dst").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
     steps: list[DataFrame] = []
     while True:
@@ -257,4 +281,4 @@ def components(edges: DataFrame, lot: int = EDGES) -> DataFrame:
         labels = steps.pop().join(later, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
     labels = save(labels)
     least = labels.groupBy("component").agg(F.min("node").alias("least"))
-    return save(labels.join(least, "component").select("node", F.col("least").alias("component")))
+    return labels.join(least, "component").select("node", F.col("least").alias("component"))

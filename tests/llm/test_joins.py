@@ -109,6 +109,20 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_scratch_deletes_all_but_what_is_kept(spark):
+    import os
+
+    paths = lambda df: [f.removeprefix("file:") for f in df.inputFiles()]
+    with common.scratch(spark):
+        with common.scratch(spark):
+            gone, kept = common.save(spark.range(3)), common.save(spark.range(4), keep=True)
+            gone = paths(gone)
+        assert not any(map(os.path.exists, gone)) and kept.count() == 4
+        outer = paths(kept)
+    assert not any(map(os.path.exists, outer)) and not common._scopes
+    assert common.save(spark.range(2)).count() == 2
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(60, 64))
