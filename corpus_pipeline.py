@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procyon.llm import bpe, mixing, ngram_jaccard, secrets, toxicity
-from procyon.llm.common import save, table
+from procyon.llm.common import save, scratch, table
 from procyon.llm.queries import symbol_quality, word_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage saved on its way is deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = save(stage(spark, docs, sf_dir), keep=True)
     return docs
