@@ -453,7 +453,7 @@ def n13(t: Tables) -> DataFrame:
     "n14_relative_urls",
     """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS root, page_id % 9 AS ups FROM pages)
        SELECT page_id, root || CASE page_id % 4 WHEN 0 THEN array_to_string(list_concat([''], list_slice(['s0', 's1', 's2', 's3', 's4', 's5'], 1, greatest(6 - ups, 0)), ['d', CAST(page_id AS VARCHAR) || '.pdf']), '/')
-         WHEN 1 THEN '/a/c/x?p=1' WHEN 2 THEN '/s0/s1/s2/s3/s4/s5/list?q=' || CAST(page_id AS VARCHAR) ELSE '/s0/s1/s2/s3/s4/s5/k/' END AS url FROM p""",
+         WHEN 1 THEN '/a/b/c/x?p=1' WHEN 2 THEN '/s0/s1/s2/s3/s4/s5/list?q=' || CAST(page_id AS VARCHAR) ELSE '/s0/s1/s2/s3/s4/s5/k/' END AS url FROM p""",
 )
 def n14b(t: Tables) -> DataFrame:
     """Links as pages write them, with any number of steps up, dots and empty segments."""
