@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, save
 
 LEAST = 0.95
-BLOCK, GRID, TILE, SMALL = 8, 2, 16384, 1 << 13
+BLOCK, GRID, TILE, SMALL = 8, 2, 16384, 1 << 18
 SLACK = 1e-5
 
 
