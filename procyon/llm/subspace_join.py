@@ -5,11 +5,13 @@ and split into blocks of dimensions; a pair within the whole budget is within a
 at least. So each block is range-joined under its share, and the union of the candidates is verified exactly.
 
 A block's range join deals vectors to the cells of a grid over its first `GRID` coordinates, as wide as the block's
-radius: a vector is home in one cell and a guest in half of the cells around, so a pair of vectors meets once per
-block. A cell of more than `TILE` vectors is dealt to pairs of tiles, so no task holds more than two tiles. Within a
-task, block distances are products of tiles of single-precision numbers with slack; candidates are then checked in
-double precision. A pair counts in its first block within budget only; a task returns counts of links by vector and a
-spanning forest of its links, never the pairs.
+radius. A cell's vectors are packed into tiles of at most `TILE` numbers, once for each block; a tile is home in its
+cell and a guest in half of the cells around, and pairs of tiles are made by an equal join on the cell. So a vector is
+shuffled a fixed number of times however many tiles it meets: a pair of tiles goes from the join straight into the
+worker, one pair at a time, and is never written. Half of a cell's tiles may go to another task (`SPLIT`). Within a
+pair, block distances are products of single-precision numbers with slack; candidates are then checked in double
+precision. A pair counts in its first block within budget only; counts of links by vector and a spanning forest of its
+links leave a pair of tiles, never the pairs of vectors.
 
 Edge cases: null, empty and zero vectors, and those with null or non-finite components, link with nothing; vectors of
 different lengths do not link; equal vectors (also under one id) are joined once and linked by their number; null ids
@@ -21,15 +23,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, map_batches, save
 
 LEAST = 0.95
-BLOCK, GRID, TILE, SMALL = 8, 2, 16384, 1 << 18
+BLOCK, GRID, TILE, SPLIT, SMALL = 8, 2, 1 << 20, 2, 1 << 18
+CELL = ["dim", "block", "row", "column"]
+AROUND = ((0, 1), (1, -1), (1, 0), (1, 1))  # half of the eight cells around one: those that come after it
 SLACK = 1e-5
 
 
@@ -72,7 +75,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def cells(distinct: DataFrame, least: float) -> DataFrame:
-    """A row for each vector, block and cell: (dim, block, cell, home, rep, copies, vector)."""
+    """A row for each vector and block: (dim, block, row, column, rep, copies, vector), at the place of its cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +88,26 @@ def cells(distinct: DataFrame, least: float) -> DataFrame:
                 width = np.sqrt((2 - 2 * least) / blocks) * (1 + 1e-3) + SLACK
                 base = np.floor(y.reshape(len(own), blocks, BLOCK)[:, :, :GRID] / width).astype(np.int64)
                 for b in range(blocks):
-                    # home, and the half of the eight cells around that come after it
-                    for home, step in ((True, (0, 0)), (False, (0, 1)), (False, (1, -1)), (False, (1, 0)), (False, (1, 1))):
-                        at = base[:, b] + (step if home else np.negative(step))
-                        cell = (at[:, 0] + (1 << 20)) * (1 << 21) + at[:, 1] + (1 << 20)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(int(d), pa.int32()), len(own)), pa.repeat(pa.scalar(b, pa.int32()), len(own)), pa.array(cell), pa.repeat(pa.scalar(home), len(own)), part.column("rep"), part.column("copies"), part.column("vector")], ["dim", "block", "cell", "home", "rep", "copies", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(int(d), pa.int32()), len(own)), pa.repeat(pa.scalar(b, pa.int32()), len(own)), pa.array(base[:, b, 0]), pa.array(base[:, b, 1]), part.column("rep"), part.column("copies"), part.column("vector")], ["dim", "block", "row", "column", "rep", "copies", "vector"])
 
     kind = element_type(distinct, "vector")
-    return distinct.select("rep", "copies", "vector").mapInArrow(run, f"dim int, block int, cell bigint, home boolean, rep bigint, copies bigint, vector {kind}")
+    return distinct.select("rep", "copies", "vector").mapInArrow(run, f"dim int, block int, row bigint, column bigint, rep bigint, copies bigint, vector {kind}")
+
+
+def packed_tiles(dealt: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(dim, block, row, column, tile, reps, copies, vectors): a cell's rows as tiles, their numbers as bytes."""
+    key = [*CELL, "tile"]
+    numbers = np.float32 if element_type(dealt, "vector") == "array<float>" else np.float64
+
+    def pack(group: pa.Table) -> pa.Table:
+        flat = lambda c: c.combine_chunks().flatten() if isinstance(c, pa.ChunkedArray) else c.flatten()
+        values = [group.column("rep").to_numpy().astype(np.int64), group.column("copies").to_numpy().astype(np.int64), flat(group.column("vector")).to_numpy().astype(numbers)]
+        first = [group.column(c).slice(0, 1).combine_chunks() for c in key]
+        return pa.Table.from_arrays([*first, *[pa.array([v.tobytes()], pa.binary()) for v in values]], names=[*key, "reps", "copies", "vectors"])
+
+    rows = dealt.join(F.broadcast(crowd), CELL)  # a row for each cell of the grid on the unit ball: bounded by its width
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).select(*key, "rep", "copies", "vector")
+    return rows.groupBy(*key).applyInArrow(pack, "dim int, block int, row bigint, column bigint, tile bigint, reps binary, copies binary, vectors binary")
 
 
 def _near(x: np.ndarray, y: np.ndarray, width: float, i: np.ndarray, j: np.ndarray, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,18 +133,16 @@ def _links(x: np.ndarray, y: np.ndarray, block: int, least: float, budget: float
     rx, ry = rotate(x), rotate(y)
     at = slice(block * BLOCK, (block + 1) * BLOCK)
     bx, by = rx[:, at].astype(np.float32), ry[:, at].astype(np.float32)
-    ny = (by * by).sum(1)
+    one = lambda z: np.ones((len(z), 1), np.float32)
+    norm = lambda z: (z * z).sum(1, keepdims=True)
+    ax, ay = np.hstack([-2 * bx, norm(bx), one(bx)]), np.hstack([by, one(by), norm(by)])  # their product is the squared distance
     width = np.sqrt(budget + SLACK) * (1 + 1e-3)
     for mine, theirs in _near(bx, by, width, np.arange(len(x)), np.arange(len(y)), GRID):
-        step = max(1, (4 << 20) // max(1, len(theirs)))
+        step = max(1, (1 << 20) // max(1, len(theirs)))
+        other = ay[theirs].T
         for a in range(0, len(mine), step):
             own = mine[a : a + step]
-            part = bx[own]
-            far = part @ by[theirs].T
-            far *= -2
-            far += ny[theirs]
-            far += (part * part).sum(1)[:, None]
-            i, j = np.nonzero(far <= budget + SLACK)
+            i, j = np.divmod(np.flatnonzero(ax[own] @ other <= budget + SLACK), len(theirs))
             i, j = own[i], theirs[j]
             for c in range(0, len(i), 1 << 17):
                 p, q = i[c : c + (1 << 17)], j[c : c + (1 << 17)]
@@ -164,38 +177,52 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def links(distinct: DataFrame, least: float = LEAST) -> DataFrame:
     """(rep, near, n): n other rows link with rep, counted where it is an end of a pair; near is linked with rep, or null."""
     dealt = cells(distinct, least)
-    key = ["dim", "block", "cell"]
-    crowd = dealt.groupBy(*key).count().select(*key, F.ceil(F.col("count") / TILE).alias("tiles"))
-    rows = dealt.join(F.broadcast(crowd), key)  # a row for each cell of the grid on the unit ball: bounded by its width
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select(*key, F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v"), (F.col("s") > F.col("t")).alias("second"), "home", "rep", "copies", "vector")
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        block, same = int(pdf["block"].iloc[0]), pdf["u"].iloc[0] == pdf["v"].iloc[0]
-        rep, copies, home = (pdf[c].to_numpy() for c in ("rep", "copies", "home"))
-        raw = np.array(pdf["vector"].tolist(), np.float64)
+    crowd = dealt.groupBy(*CELL).count().select(*CELL, F.ceil(F.col("count") * F.col("dim") / TILE).alias("tiles"))
+    crowd = save(crowd)
+    tiles = save(packed_tiles(dealt, crowd))
+    salts = F.least(F.col("tiles"), F.lit(SPLIT))
+    key = [*CELL, "salt"]
+    home = tiles.join(F.broadcast(crowd), CELL).withColumn("salt", F.pmod("tile", salts))
+    home = home.select(*key, "tile", *[F.col(c).alias(f"own_{c}") for c in ("reps", "copies", "vectors")])
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a == b == 0).alias("inside")) for a, b in ((0, 0), *AROUND)]))
+    guests = tiles.withColumn("s", step).withColumns({"row": F.col("row") - F.col("s.a"), "column": F.col("column") - F.col("s.b")})
+    guests = guests.join(F.broadcast(crowd), CELL).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    guests = guests.select(*key, F.col("tile").alias("other"), F.col("s.inside").alias("inside"), "reps", "copies", "vectors")
+    pairs = home.join(guests.hint("merge"), key).where(~F.col("inside") | (F.col("tile") <= F.col("other")))
+    pairs = pairs.select("dim", "block", (F.col("inside") & (F.col("tile") == F.col("other"))).alias("same"), "own_reps", "own_copies", "own_vectors", "reps", "copies", "vectors")
+    numbers = np.float32 if element_type(distinct, "vector") == "array<float>" else np.float64
+
+    def join(dim: int, block: int, same: bool, own: list[bytes], other: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sides = [own] if same else [own, other]
+        rep, copies = (np.concatenate([np.frombuffer(s[k], np.int64) for s in sides]) for k in (0, 1))
+        raw = np.concatenate([np.frombuffer(s[2], numbers) for s in sides]).astype(np.float64).reshape(len(rep), dim)
         raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])  # by a power of two: no sum of squares leaves the range
         x = unit(raw)
-        blocks = (1 << max(3, (x.shape[1] - 1).bit_length())) // BLOCK
-        sides = (np.arange(len(pdf)), np.arange(len(pdf))) if same else (np.flatnonzero(~pdf["second"]), np.flatnonzero(pdf["second"]))
-        n, ends = np.zeros(len(pdf), np.int64), []
-        label = np.arange(len(pdf))
-        if len(sides[0]) and len(sides[1]):
-            for p, q in _links(x[sides[0]], x[sides[1]], block, least, (2 - 2 * least) / blocks):
-                i, j = sides[0][p], sides[1][q]
-                good = (home[i] | home[j]) & ((i < j) if same else True)
-                i, j = i[good], j[good]
-                good = _exact(raw[i], raw[j], least)
-                i, j = i[good], j[good]
-                np.add.at(n, i, copies[j])
-                np.add.at(n, j, copies[i])
-                if len(i):
-                    label = _forest(len(pdf), np.concatenate([i, np.arange(len(pdf))]), np.concatenate([j, label]))
+        blocks = (1 << max(3, (dim - 1).bit_length())) // BLOCK
+        first = len(own[0]) // 8
+        at = 0 if same else first  # where the other side's rows begin
+        n, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for i, j in _links(x[:first], x[at:], block, least, (2 - 2 * least) / blocks):
+            j = j + at
+            good = i < j
+            i, j = i[good], j[good]
+            good = _exact(raw[i], raw[j], least)
+            i, j = i[good], j[good]
+            np.add.at(n, i, copies[j])
+            np.add.at(n, j, copies[i])
+            if len(i):
+                label = _forest(len(rep), np.concatenate([i, np.arange(len(rep))]), np.concatenate([j, label]))
         hit = np.flatnonzero(n)
-        return pd.DataFrame({"rep": rep[hit], "near": rep[label[hit]], "n": n[hit]})
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[label[hit]]), pa.array(n[hit])], ["rep", "near", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim, block, same, *sides = (batch.column(c)[k].as_py() for c in range(batch.num_columns))
+                yield from join(dim, block, same, sides[:3], sides[3:])
 
-    return rows.groupBy(*key, "u", "v").applyInPandas(join, "rep bigint, near bigint, n bigint")
+    return map_batches(pairs, run, "rep bigint, near bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -268,3 +268,19 @@ def test_slabs_hold_every_near_pair(monkeypatch):
         seen += [(a, b) for a in i for b in j]
     assert len(seen) == len(set(seen)) and want <= set(seen)
     assert products < 0.12 * len(x) * len(y)  # six more coordinates, of which each leaves out about half
+
+
+def test_vectors_are_dealt_once_a_block_however_many_tiles_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(subspace_join, "TILE", 64 * 8)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(150, 64))
+    x = np.concatenate([x, x[:30] + r.normal(size=(30, 64)) * 0.2, x[:1] + r.normal(size=(60, 64)) * 0.15]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    dealt = subspace_join.cells(subspace_join.distinct_vectors(df), 0.95)
+    crowd = dealt.groupBy(*subspace_join.CELL).count().selectExpr(*subspace_join.CELL, "ceil(count / 8) AS tiles")
+    tiles = subspace_join.packed_tiles(dealt, crowd).selectExpr("block", "tile", "length(reps) / 8 AS n").collect()
+    assert max(t.tile for t in tiles) > 3 and {b: sum(t.n for t in tiles if t.block == b) for b in range(8)} == {b: len(x) for b in range(8)}
+    y = x.astype(np.float64)
+    near = y @ y.T / np.sqrt((y * y).sum(1))[:, None] / np.sqrt((y * y).sum(1)) >= 0.95
+    got = {row.vec_id: row.n_links for row in subspace_join.near_duplicates(df).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(len(x))}
