@@ -6,8 +6,10 @@ data that is there and reads its result back from the shared folder.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.state import KeyedTable, scratch, shared_folder, write_tables
 
+#: Of keys whose rows are put in order: calls into the state are by bucket and slot, however many keys there are.
+BUCKETS, SLOTS, PACKED = 1024, 4, 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -152,24 +156,30 @@ def _with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, sc
 class _Ordered(StatefulProcessor):
     """A reorder buffer: a key's rows wait until the watermark has passed their time, and are stepped through in order.
 
-    Rows wait in list state, whatever batch they came in, and one timer for each key stands at the earliest of them.
-    When it fires, every row behind the watermark is released by (ms, order), as no earlier one can come any more, and
-    the timer moves on. What a worker holds of a key is what waits within the watermark's delay, never its history.
+    Keys are dealt to BUCKETS by their hash, as a call into the state takes longer than the work on a row. A bucket's
+    rows wait in list state, packed by batch, and one timer for each bucket stands at the earliest of them. When it
+    fires, every row behind the watermark is released by (key, ms, order), as no earlier one can come any more, and the
+    timer moves on. What is kept of keys is packed by slots of a bucket, and only slots that have rows are read and
+    written. What a worker holds is what waits of a bucket within the watermark's delay, and what is kept of a slot.
     """
 
-    def __init__(self, columns: list[str], schema: str):
-        self.columns, self.schema = ["ms", *columns], f"ms bigint, {schema}"
+    def __init__(self, key: str, columns: list[str], out: list[str]):
+        self.columns, self.out = ["slot", key, "ms", *columns], out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.timer = handle.getValueState("timer", "ms bigint")
+        self.kept = handle.getMapState("kept", "slot int", "states binary")
+
+    def _pack(self, rows: list[tuple]) -> list[tuple]:
+        return [(pickle.dumps(rows[a : a + PACKED]),) for a in range(0, len(rows), PACKED)]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         first = None
         for frame in rows:
             held = frame[self.columns].astype(object).where(frame[self.columns].notna(), None)
-            self.waiting.appendList(list(held.itertuples(index=False, name=None)))
+            self.waiting.appendList(self._pack(list(held.itertuples(index=False, name=None))))
             first = int(frame["ms"].min()) if first is None else min(first, int(frame["ms"].min()))
         if first is not None:
             self._set(first)
@@ -185,41 +195,68 @@ class _Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()]
-        rest = [r for r in rows if r[0] > passed]
+        rows = [r for packed in self.waiting.get() for r in pickle.loads(packed[0])]  # noqa: S301
+        rest = [r for r in rows if r[2] > passed]
         self.timer.clear()
         if rest:
-            self.waiting.put(rest)
-            self._set(min(r[0] for r in rest))
+            self.waiting.put(self._pack(rest))
+            self._set(min(r[2] for r in rest))
         else:
             self.waiting.clear()
-        yield from self.step(key, sorted((r for r in rows if r[0] <= passed), key=lambda r: r[:2]))
+        found = []
+        for slot, own in groupby(sorted((r for r in rows if r[2] <= passed), key=lambda r: r[:4]), lambda r: r[0]):
+            kept = self.kept.getValue((slot,))
+            states = pickle.loads(kept[0]) if kept else {}  # noqa: S301
+            for one, its in groupby(own, lambda r: r[1]):
+                out, state = [], states.setdefault(one, self.empty())
+                for r in its:
+                    self.step(one, state, r[3:], out)
+                found += self.told(out)
+            self.kept.updateValue((slot,), (pickle.dumps(states),))
+        if found:
+            yield pd.DataFrame(found, columns=self.out)
+
+    def empty(self) -> list:
+        """What is kept of a key before its first row."""
+        raise NotImplementedError
 
-    def step(self, key: Any, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        """What the next rows of a key yield: tuples of `columns`, in order."""
+    def step(self, key: Any, state: list, row: tuple, out: list[tuple]) -> None:
+        """Takes the next row of a key, the values of `columns`, into its state; adds what it yields to out."""
         raise NotImplementedError
 
+    def told(self, out: list[tuple]) -> list[tuple]:
+        """What is told of all that one release yields for a key."""
+        return out
+
     def close(self) -> None:
         pass
 
 
+def _in_buckets(rows: DataFrame, key: str, processor: _Ordered, schema: str, mode: str) -> DataFrame:
+    h = F.xxhash64(key)
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(h, F.lit(BUCKETS)))  # with null keys in it, pandas would make the others floats
+    rows = rows.withColumns({"bucket": bucket.cast("int"), "slot": F.pmod(F.shiftright(h, 32), F.lit(SLOTS)).cast("int")})
+    return _with_state(rows, ["bucket"], processor, schema, mode, "EventTime")
+
+
 class _Health(_Ordered):
     """Consecutive failures and smoothed duration of a source."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("health", "failures bigint, average double, runs bigint")
-
-    def step(self, key: Any, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        failures, average, runs = self.state.get() if self.state.exists() else (0, None, 0)
-        for _, _, status, ms in rows:
-            failures = failures + 1 if status == "FAILED" else 0
-            if ms is not None:
-                average = float(ms) if average is None else round(average * 0.7 + float(ms) * 0.3, 2)
-            runs += 1
-        self.state.update((failures, average, runs))
+    def empty(self) -> list:
+        return [0, None, 0]
+
+    def step(self, key: Any, state: list, row: tuple, out: list[tuple]) -> None:
+        failures, average, runs = state
+        _, status, ms = row
+        failures = failures + 1 if status == "FAILED" else 0
+        if ms is not None:
+            average = float(ms) if average is None else round(average * 0.7 + float(ms) * 0.3, 2)
+        state[:] = failures, average, runs + 1
         health = "OFFLINE" if failures >= 10 else "FAILING" if failures >= 4 else "DEGRADED" if failures >= 1 else "HEALTHY"
-        yield pd.DataFrame({"source_id": [key[0]], "runs": [runs], "consecutive_failures": [failures], "health": [health], "average_ms": [average]})
+        out.append((key, runs + 1, failures, health, average))
+
+    def told(self, out: list[tuple]) -> list[tuple]:
+        return out[-1:]
 
 
 def stream_source_health(runs: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -229,38 +266,32 @@ def stream_source_health(runs: DataFrame, late: str = "1 hour") -> DataFrame:
     that come later than that are dropped.
     """
     rows = runs.withWatermark("started_at", late).select("source_id", "id", "started_at", "status", "duration_ms", F.unix_millis("started_at").alias("ms"))
-    return _with_state(rows, ["source_id"], _Health(["id", "status", "duration_ms"], "id bigint, status string, duration_ms bigint"), "source_id bigint, runs bigint, consecutive_failures bigint, health string, average_ms double", "Update", "EventTime")
+    health = _Health("source_id", ["id", "status", "duration_ms"], ["source_id", "runs", "consecutive_failures", "health", "average_ms"])
+    return _in_buckets(rows, "source_id", health, "source_id bigint, runs bigint, consecutive_failures bigint, health string, average_ms double", "Update")
 
 
 class _Versions(_Ordered):
     """The values in force of an opportunity, and the documents that it had."""
 
     def __init__(self, fields: list[str], document: str):
-        super().__init__(["seq", *fields, document], "seq bigint, " + ", ".join(f"`{f}` string" for f in [*fields, document]))
+        super().__init__("opportunity_id", ["seq", *fields, document], ["opportunity_id", "seq", "version", *fields, "document_added", "changed"])
         self.fields = fields
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.values = handle.getValueState("values", "version bigint, " + ", ".join(f"`{f}` string" for f in self.fields))
-        self.seen = handle.getMapState("seen", "url string", "yes boolean")
-
-    def step(self, key: Any, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        version, *now = self.values.get() if self.values.exists() else (0, *[None] * len(self.fields))
-        known = {u: self.seen.containsKey((u,)) for u in {r[-1] for r in rows} - {None}}
-        out = []
-        for _, seq, *values, url in rows:
-            changed = [f for f, old, new in zip(self.fields, now, values, strict=True) if new is not None and new != old]
-            now = [old if new is None else new for old, new in zip(now, values, strict=True)]
-            fresh = url is not None and not known[url]
-            if fresh:
-                known[url] = True
-                self.seen.updateValue((url,), (True,))
-            if version == 0 or changed or fresh:
-                version += 1
-                out.append((key[0], seq, version, *now, fresh, ",".join(sorted(changed)) if version > 1 else ""))
-        self.values.update((version, *now))
-        if out:
-            yield pd.DataFrame(out, columns=["opportunity_id", "seq", "version", *self.fields, "document_added", "changed"])
+    def empty(self) -> list:
+        return [0, [None] * len(self.fields), set()]
+
+    def step(self, key: Any, state: list, row: tuple, out: list[tuple]) -> None:
+        version, now, seen = state
+        seq, *values, url = row
+        changed = [f for f, old, new in zip(self.fields, now, values, strict=True) if new is not None and new != old]
+        now = [old if new is None else new for old, new in zip(now, values, strict=True)]
+        fresh = url is not None and url not in seen
+        if fresh:
+            seen.add(url)
+        if version == 0 or changed or fresh:
+            version += 1
+            out.append((key, seq, version, *now, fresh, ",".join(sorted(changed)) if version > 1 else ""))
+        state[:2] = version, now
 
 
 def stream_versions(observations: DataFrame, fields: list[str], document: str = "document_url", late: str = "1 hour") -> DataFrame:
@@ -271,7 +302,7 @@ def stream_versions(observations: DataFrame, fields: list[str], document: str =
     """
     text = observations.withWatermark("at", late).select("opportunity_id", "at", F.unix_millis("at").alias("ms"), "seq", *[F.col(f).cast("string").alias(f) for f in [*fields, document]])
     schema = f"opportunity_id bigint, seq bigint, version bigint, {', '.join(f'`{f}` string' for f in fields)}, document_added boolean, changed string"
-    return _with_state(text, ["opportunity_id"], _Versions(fields, document), schema, "Append", "EventTime")
+    return _in_buckets(text, "opportunity_id", _Versions(fields, document), schema, "Append")
 
 
 class _Stale(StatefulProcessor):

@@ -80,3 +80,18 @@ def test_scratch_deletes_what_was_saved_within_it(spark):
         (path,) = state._scopes[-1]
         assert os.path.exists(path.removeprefix("file:"))
     assert not os.path.exists(path.removeprefix("file:")) and not state._scopes
+
+
+def test_rows_wait_in_buckets_however_many_keys(spark, monkeypatch):
+    from procyon.streaming import streams
+
+    monkeypatch.setattr(streams, "BUCKETS", 3)
+    monkeypatch.setattr(streams, "PACKED", 7)
+    day = lambda n: f"timestamp'2024-01-{n:02d}'"
+    rows = spark.range(300).selectExpr("nullif(id, 299) AS opportunity_id", "explode(array(1L, 2L, 3L)) AS seq").selectExpr("*", "timestampadd(DAY, CAST(seq AS INT), timestamp'2024-01-01') AS at", "'a' || seq % 2 AS status", "'u' || least(seq, 2) AS document_url")
+    end = spark.sql(f"SELECT -1L AS opportunity_id, 1L AS seq, {day(30)} AS at, CAST(NULL AS STRING) AS status, CAST(NULL AS STRING) AS document_url")
+    turns = [rows.where("seq != 1"), rows.where("seq = 1"), end]
+    out = streams.run_in_turns(turns, lambda s: streams.stream_versions(s, ["status"], late="5 days")).where("opportunity_id IS NULL OR opportunity_id >= 0")
+    got = sorted(((r.opportunity_id, r.seq, r.version, r.status, r.document_added) for r in out.collect()), key=str)
+    want = [(i, seq, seq, f"a{seq % 2}", seq < 3) for i in [*range(299), None] for seq in (1, 2, 3)]
+    assert got == sorted(want, key=str)
