@@ -21,6 +21,8 @@ DMY = r"\b\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\b"
 DAY_MONTH = r"\b\d{1,2}\s+[A-Za-z]+\s+\d{4}\b"
 MONTH_DAY = r"\b[A-Za-z]+\s+\d{1,2},?\s+\d{4}\b"
 CLOCK = r"(?i)\b\d{1,2}\s*(?::|h)\s*\d{2}(?::\d{2})?\s*(am|pm)?\b"
+#: What a text must hold to be changed by cleaning: an ordinal, "at" or a blank other than " " (or two of these, or one at an end).
+ODD = r"[\x09-\x0D\x{00A0}]|\d[sSnNrRtT]|[aA][tT]"
 OFFSET = r"[+-]\d{2}:?\d{2}$"
 
 
@@ -29,9 +31,19 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 0)
 
 
+def _int(text: Column) -> Column:
+    """A number; null for an empty text, whose cast would cost an exception in every row."""
+    return F.when(text != "", text.try_cast("int"))
+
+
+def _piece(text: Column, mark: str, place: int) -> Column:
+    """What split_part gives, which splits by a regular expression; empty beyond the last piece."""
+    return F.substring_index(F.substring_index(F.concat(text, F.lit(mark)), mark, place), mark, -1)
+
+
 def _n(text: Column, mark: str, place: int) -> Column:
     """The number at a place of a text split at a mark: a match is taken apart without another regular expression."""
-    return F.split_part(text, F.lit(mark), F.lit(place)).try_cast("int")
+    return _int(_piece(text, mark, place))
 
 
 def _month(name: Column) -> Column:
@@ -45,7 +57,7 @@ def _moment(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) -
 
 def _minutes(offset: Column) -> Column:
     """Minutes of a numeric offset as it was found; null for an empty one."""
-    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.right(offset, F.lit(2)).try_cast("int")
+    minutes = _int(F.substring(offset, 2, 2)) * 60 + _int(F.right(offset, F.lit(2)))
     return F.when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes)
 
 
@@ -53,7 +65,7 @@ def _loose(p: Column, at: Callable[[Column, Column, Column], Column]) -> Column:
     """The first date in free text, by the order of the forms; p holds what was found of each."""
     ymd, dmy, dm, md = (p[c] for c in ("ymd", "dmy", "dm", "md"))
     day = [_n(dmy, "-", g) for g in (1, 2, 3)]
-    word, month = _month(F.split_part(dm, F.lit(" "), F.lit(2))), _month(F.split_part(md, F.lit(" "), F.lit(1)))
+    word, month = _month(_piece(dm, " ", 2)), _month(_piece(md, " ", 1))
     out = F.when(ymd != "", at(*[_n(ymd, "-", g) for g in (1, 2, 3)]))
     out = out.when((dmy != "") & (day[1] <= 12), F.coalesce(at(day[2], day[1], day[0]), at(day[2], day[0], day[1])))
     out = out.when((dm != "") & word.isNotNull(), at(_n(dm, " ", 3), word, _n(dm, " ", 1)))
@@ -78,7 +90,9 @@ def datetime_chain(raw: Column, zone: Column | str = ZONE, default: tuple[int, i
 
     text = F.regexp_replace(raw, r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
     text = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"(?i)\bat\b", " ")
-    first = F.struct(F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"), raw.alias("raw"))
+    odd = F.contains(raw, F.lit("  ")) | raw.startswith(" ") | raw.endswith(" ") | raw.rlike(ODD)
+    clean = F.when(odd, F.trim(F.regexp_replace(text, r"\s+", " "))).otherwise(raw)
+    first = F.struct(clean.alias("text"), raw.alias("raw"))
 
     def isolate(p: Column) -> Column:
         text = F.replace(p["text"], F.lit("Z"), F.lit("+00:00"))
@@ -87,10 +101,10 @@ def datetime_chain(raw: Column, zone: Column | str = ZONE, default: tuple[int, i
         return F.struct(p["raw"].alias("raw"), p["text"].alias("text"), iso.alias("iso"))
 
     def find(p: Column) -> Column:
-        """An ISO text as it is, of others what each form finds."""
+        """An ISO text as it is, of others what the forms of digits find; days with a month's name are looked for next."""
         text, plain = p["text"], p["iso"].rlike(ISO)
         loose = lambda pattern: F.when(plain, none).otherwise(_found(text, pattern))
-        found = {"ymd": F.translate(loose(YMD), "/", "-"), "dmy": F.translate(loose(DMY), "/.", "--"), "dm": loose(DAY_MONTH), "md": F.translate(loose(MONTH_DAY), ",", "")}
+        found = {"text": F.when(plain, none).otherwise(text), "ymd": F.translate(loose(YMD), "/", "-"), "dmy": F.translate(loose(DMY), "/.", "--")}
         return F.struct(p["raw"].alias("raw"), F.when(plain, p["iso"]).alias("iso"), loose(OFFSET).alias("shift"), _found(text, CLOCK).alias("clock"), *[v.alias(k) for k, v in found.items()])
 
     def measure(p: Column) -> Column:
@@ -104,7 +118,10 @@ def datetime_chain(raw: Column, zone: Column | str = ZONE, default: tuple[int, i
         end = default if iso_end_of_day else (0, 0, 0)
         clock = [F.when(given, F.coalesce(x, zero)).otherwise(F.lit(d)) for x, d in zip((h, m, seconds), end, strict=True)]
         exact = _moment(F.substring(iso, 1, 4).try_cast("int"), F.substring(iso, 6, 2).try_cast("int"), F.substring(iso, 9, 2).try_cast("int"), *clock)
-        kept = [p[c].alias(c) for c in ("raw", "ymd", "dmy", "dm", "md")]
+        kept = [p[c].alias(c) for c in ("raw", "ymd", "dmy")]
+        settled = (p["ymd"] != "") | F.coalesce((p["dmy"] != "") & (_n(p["dmy"], "-", 2) <= 12), F.lit(False)) | (p["text"] == "")
+        named = lambda pattern: F.when(settled, none).otherwise(_found(p["text"], pattern))
+        kept += [named(DAY_MONTH).alias("dm"), F.translate(named(MONTH_DAY), ",", "").alias("md")]
         return F.struct(*kept, exact.alias("exact"), F.coalesce(given, F.lit(False)).alias("given"), _minutes(shift).alias("iso_shift"), _minutes(p["shift"]).alias("shift"), clock_of(p["clock"]).alias("clock"))
 
     def place(p: Column) -> Column:

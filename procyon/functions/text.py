@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -9,7 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import StringType
 
 # Patterns and symbols that decide what is recognised.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -23,14 +24,20 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(MapType(StringType(), StringType()))
-def _nfkc_values(maps: pd.Series) -> pd.Series:
-    return maps.map(lambda m: None if m is None else {k: None if v is None else unicodedata.normalize("NFKC", v) for k, v in dict(m).items()})
+@F.pandas_udf(StringType())
+def _nfkc_list(lists: pd.Series) -> pd.Series:
+    plain = lambda v: None if v is None else unicodedata.normalize("NFKC", v)
+    return lists.map(lambda x: None if x is None else json.dumps([plain(v) for v in json.loads(x)], ensure_ascii=False))
 
 
 def nfkc_values(fields: Column) -> Column:
-    """A map with compatibility-normalised values; only maps with non-ASCII characters are sent to Python."""
-    return F.coalesce(_nfkc_values(F.when(F.array_join(F.map_values(fields), "").rlike(r"[^\x00-\x7F]"), fields)), fields)
+    """A map with compatibility-normalised values; only maps with non-ASCII characters are sent to Python.
+
+    Their values go there as a text: a column of maps costs every row, also those whose map stays behind.
+    """
+    values = F.map_values(fields)
+    sent = _nfkc_list(F.when(F.array_join(values, "").rlike(r"[^\x00-\x7F]"), F.to_json(values)))
+    return F.when(sent.isNotNull(), F.map_from_arrays(F.map_keys(fields), F.from_json(sent, "array<string>"))).otherwise(fields)
 
 
 #: A first value, and steps that each make the next value of the last one.
@@ -66,16 +73,21 @@ def nfkc(text: Column) -> Column:
 
 # What is cleaned, in order.
 CLEANING = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\r\n?", "\n"), (r"[ \t\x{00A0}]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+$", ""))
+#: A text that has none of these and no two blanks in a row is clean but for blanks at its ends.
+UNCLEAN = r"[^\x20-\x7E]"
 
 
 def clean_text(text: Column, most: int | None = None, unicode: bool = True) -> Column:
     """Control characters dropped, blanks collapsed by line, at most one empty line in a row, trimmed; '' is null."""
     out = nfkc(text) if unicode else text
+    trimmed = F.trim(out)
+    clean = ~F.contains(trimmed, F.lit("  ")) & ~trimmed.rlike(UNCLEAN)
     for pattern, instead in CLEANING:
         out = F.regexp_replace(out, pattern, instead)
     if most is not None:
         out = F.regexp_replace(F.substring(out, 1, most), r"\s+$", "")
-    return filled(out)
+        clean = clean & (F.length(trimmed) <= most)
+    return filled(F.when(clean, trimmed).otherwise(out))
 
 
 def has_text(text: Column) -> Column:
@@ -123,7 +135,7 @@ def money_chain(text: Column) -> Chain:
         comma, point = F.contains(raw, F.lit(",")), F.contains(raw, F.lit("."))
         out = F.when(comma & point & (last(",") > last(".")), F.translate(raw, ",.", ".")).when(comma & point, F.translate(raw, ",", ""))
         out = out.when(comma & (F.length(F.substring_index(raw, ",", -1)) == 2), F.translate(raw, ",", ".")).when(comma, F.translate(raw, ",", "")).otherwise(raw)
-        return F.struct(F.coalesce(F.try_element_at(currencies, m["symbol"]), m["symbol"]).alias("currency"), out.try_cast("decimal(18,2)").alias("amount"))
+        return F.struct(F.coalesce(F.try_element_at(currencies, m["symbol"]), m["symbol"]).alias("currency"), F.when(raw != "", out.try_cast("decimal(18,2)")).alias("amount"))
 
     return first, [plain, lambda m: F.when(m["amount"].isNotNull(), m)]
 

@@ -29,7 +29,9 @@ def url_chain(url: Column, base: Column | None = None) -> Chain:
     whole = F.struct(filled(F.trim(url)).alias("url"), (F.lit(None).cast("string") if base is None else base).alias("base"))
 
     def split(p: Column) -> Column:
-        return F.struct(p["url"].alias("url"), part(p["url"], "scheme").alias("own"), *[part(p["base"], c).alias(c) for c in ("scheme", "authority", "path", "query")], F.regexp_extract(p["url"], "^[^?#]*", 0).alias("way"))
+        own = part(p["url"], "scheme")
+        of_base = lambda c: F.when(own == "", part(p["base"], c))
+        return F.struct(p["url"].alias("url"), own.alias("own"), *[of_base(c).alias(c) for c in ("scheme", "authority", "path", "query")], F.regexp_extract(p["url"], "^[^?#]*", 0).alias("way"))
 
     def resolve(p: Column) -> Column:
         """struct(url) of an absolute URL, or (root, path, tail) of one that is relative to base."""

@@ -15,6 +15,7 @@ TYPE_RULES = (("RFQ", ("rfq", "request for quotation", "quotation", "quote")), (
 STATUS_RULES = (("CANCELLED", ("cancelled", "canceled", "withdrawn")), ("AWARDED", ("awarded", "award notice", "successful bidder")), ("EXTENDED", ("extended", "extension of closing")), ("SUSPENDED", ("suspended", "on hold")), ("CLOSED", ("closed", "expired")), ("OPEN", ("open", "advertised", "current", "active", "invitation")))
 BRIEFING, COMPULSORY, OPTIONAL = ("briefing", "site meeting", "site inspection", "clarification meeting"), ("compulsory", "mandatory"), ("non-compulsory", "not compulsory", "optional")
 YES, NO = ("yes", "true", "y", "compulsory", "mandatory"), ("no", "false", "n", "none", "not applicable", "n/a")
+NUMBER = r"^[\x00-\x20\x7F]*[+\-]?\.?\p{Nd}"  # how every text begins that can be cast to a number
 MOST_TITLE, MOST_DESCRIPTION = 2000, 20_000
 
 
@@ -44,7 +45,8 @@ def value_chain(raw: Column, currency: Column) -> text.Chain:
     """struct(currency, amount) in steps: a plain number (negative: none) or an amount in text; a stated currency wins."""
     code = F.upper(F.substring(currency, 1, 3))
     found, steps = text.money_chain(raw)
-    first = F.struct(raw.try_cast("decimal(18,2)").alias("number"), F.when(code.rlike("^[A-Z]{3}$"), code).alias("code"), found.alias("money"))
+    number = F.when(raw.rlike(NUMBER), raw.try_cast("decimal(18,2)"))  # a cast that fails costs an exception
+    first = F.struct(number.alias("number"), F.when(code.rlike("^[A-Z]{3}$"), code).alias("code"), found.alias("money"))
 
     def within(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
         return lambda p: F.struct(p["number"].alias("number"), p["code"].alias("code"), step(p["money"]).alias("money"))
@@ -88,7 +90,7 @@ def normalize_items(items: DataFrame, sources: DataFrame, as_of: str, unicode: b
     sources are joined by id (a small table is broadcast by its size); a blank title is a reject.
     """
     f = F.col("fields")
-    get = lambda *k, most=None: (text.clean_text(text.first_present(F.col("plain"), *k), most, unicode=False), [])
+    get = lambda *k, most=None: (text.first_present(F.col("plain"), *k), [lambda t: text.clean_text(t, most, unicode=False)])
     now = F.to_timestamp_ntz(F.lit(as_of))
     src = sources.select(F.col("id").alias("source_id"), *[(F.col(c) if c in sources.columns else F.lit(None).cast(t)).alias(f"s_{c}") for c, t in (("source_timezone", "string"), ("organization", "string"), ("municipality_id", "long"), ("province_id", "long"), ("base_url", "string"))])
     # A test of the raw title, not of the cleaned one: the filter is pushed below the join, and takes its expression along.

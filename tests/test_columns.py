@@ -106,3 +106,33 @@ def test_sql_functions(spark):
     assert "trigram_similarity" in registry.register_functions(spark)
     row = spark.sql("SELECT normalize_reference(' a--1 ') AS a, is_http_url('ftp://x') AS b, trigram_similarity('word', 'two words') AS c, nfkc('ﬁ') AS d").first()
     assert (row.a, row.b, row.d) == ("A/1", False, "fi") and row.c == pytest.approx(4 / 11)
+
+
+def test_cleaning_by_the_short_way_is_that_by_the_long_one(spark):
+    import re
+
+    from procyon.functions.text import CLEANING
+
+    def plain(t, most):
+        for pattern, instead in CLEANING:
+            t = re.sub(pattern.replace("\\x{00A0}", "\xa0"), instead, t)
+        return re.sub(r"\s+$", "", t[:most]) or None
+
+    texts = ["", " ", "   ", "a", "  a b  ", "a  b", " a\tb ", "a\xa0b", "a\x00b", "a\n\n\n\nb\r\n", "é ", "abcd efgh ij", "abcd     efgh", "\x0ba ", "abcdefghi\x0bj"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", text.clean_text(F.col("t"), 10).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: plain(t, 10) for i, t in enumerate(texts)}
+
+
+def test_values_go_to_python_as_texts(spark):
+    rows = [(1, {"a": "ﬁ\n\"x\"", "b": None, "c": "①\x01"}), (2, {"a": "plain"}), (3, {}), (4, None)]
+    df = spark.createDataFrame(rows, "i int, m map<string,string>").repartition(2).select("i", text.nfkc_values(F.col("m")).alias("m"))
+    assert {r.i: r.m for r in df.collect()} == {1: {"a": "fi\n\"x\"", "b": None, "c": "1\x01"}, 2: {"a": "plain"}, 3: {}, 4: None}
+    (udf,) = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in line]
+    assert "StructsToJson" in udf  # no column of maps, whose Arrow form costs every row
+
+
+def test_dates_of_odd_blanks_and_missing_parts(spark):
+    cases = {"1st March 2024  at 09:30": "2024-03-01 07:30:00", " 05/03/2024 10h15 ": "2024-03-05 08:15:00", "March 5, 2024": "2024-03-04 22:00:00", "13/31/2024 and 5 May 2024": "2024-05-04 22:00:00", "31/12/2023\xa09:05:07 pm": "2023-12-31 19:05:07", "12/31/2023": None, "05/13/2024 x 5 May 2024": "2024-05-04 22:00:00", "": None, "none": None, "Sat 5 May 2024": "2024-05-04 22:00:00"}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("t", F.col("i"), dates.parse_datetime(F.col("t"))["value"].cast("string").alias("v"))
+    assert {r.t: r.v for r in df.collect()} == cases
