@@ -5,6 +5,9 @@ hashes, so what the driver holds is fixed) and then by hash; a row's prefix is c
 Candidates share a trigram of both prefixes, far enough from the end of both, have compatible sizes, meet the caller's
 own condition, and pass a bound by bitmaps: a bit that one row has and the other lacks is a trigram that it lacks. All
 of this is tested while they are joined; what is left is verified exactly.
+
+Where the caller gives blocks, no trigram is shuffled for a block of at most MOST right rows: its rows meet each other
+once, under the same bounds, so that a row meets MOST others at most and is shuffled once. Trigrams part larger blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import set_similarity, trigrams
 from ..sources.state import materialise
 
-CLASSES, WORDS = 4096, 4
+CLASSES, WORDS, MOST = 4096, 4, 1024
 
 
 def frequency_classes(*rows: DataFrame) -> Column:
@@ -34,7 +37,8 @@ def with_tokens(rows: DataFrame, title: str) -> DataFrame:
     # place of a bit: the word by the lowest bits of the hash, the bit by the next six
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
     word = lambda k: lambda acc, h: F.when(F.pmod(h, F.lit(WORDS)) == k, acc.bitwiseOR(bit(h))).otherwise(acc)
-    return out.withColumns({f"s{k}": F.aggregate("tokens", F.lit(0).cast("bigint"), word(k)) for k in range(WORDS)})
+    none = F.lit(0).cast("bigint")  # never null, so that no filter on nulls computes the bitmaps once more
+    return out.withColumns({f"s{k}": F.coalesce(F.aggregate("tokens", none, word(k)), none) for k in range(WORDS)})
 
 
 def prefixed(rows: DataFrame, classes: Column, least: float, columns: list[str]) -> DataFrame:
@@ -51,29 +55,61 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, key: str = "i
     Titles under `short` characters on the left are skipped. Missing titles have no trigrams and are similar to none.
     Right rows are looked at only in blocks that left has; equal keys and repeated rows are rows like others.
     """
+    rest = {"least": least, "key": key, "title": title, "block": block, "extra": extra, "needs": needs}
+    long = left.where(F.length(title) >= short) if short else left
+    if block:
+        large = materialise(right.dropna(subset=list(block)).groupBy(*block).count().where(F.col("count") > MOST).select(*block))
+        within = lambda df, how: df.join(large, list(block), how)
+        if large.isEmpty():
+            scored = _within_blocks(long, right, **rest)
+        else:
+            far = within(right, "left_semi")
+            scored = _within_blocks(within(long, "left_anti"), within(right, "left_anti"), **rest)
+            scored = scored.union(_by_trigrams(far if long is right else within(long, "left_semi"), far, **rest))
+    else:
+        scored = _by_trigrams(long, right, **rest)
+    return scored.where(F.col("similarity") > least if strict else F.col("similarity") >= least)
+
+
+def _bounds(least: float) -> Column:
+    """What the sizes and the bitmaps of l.* and r.* leave of the pairs: those that may share enough trigrams."""
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    na, nb = l("n"), r("n")
+    lacks = lambda x, y: reduce(lambda p, q: p + q, [F.bit_count(x(f"s{k}").bitwiseAND(F.bitwise_not(y(f"s{k}")))) for k in range(WORDS)])
+    shared = least / (1 + least) * (na + nb) - 1e-9  # so many trigrams must be common
+    return (na >= least * nb) & (nb >= least * na) & (na - lacks(l, r) >= shared) & (nb - lacks(r, l) >= shared)
+
+
+def _within_blocks(left: DataFrame, right: DataFrame, least: float, key: str, title: str, block: tuple[str, ...], extra: Column | None, needs: tuple[str, ...]) -> DataFrame:
+    """(left_id, right_id, similarity) of all rows of equal blocks that the bounds leave; a row carries its title only."""
+    columns = list(dict.fromkeys([key, *block, *needs, title]))
+    signed = lambda df: with_tokens(df.select(*columns), title).drop("grams", "tokens")
+    fits = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in block]) & _bounds(least)
+    pairs = signed(left).alias("l").join(signed(right).alias("r"), fits if extra is None else fits & extra)
+    both = F.size(F.array_intersect(trigrams(F.col(f"l.{title}")), trigrams(F.col(f"r.{title}"))))
+    either = F.col("l.n") + F.col("r.n") - both
+    # exploded, for a filter on a plain column would go before the bounds and compare the trigrams of all pairs
+    return pairs.select(F.col(f"l.{key}").alias("left_id"), F.col(f"r.{key}").alias("right_id"), F.explode(F.array(F.when(either > 0, both / either).otherwise(0.0))).alias("similarity"))
+
+
+def _by_trigrams(left: DataFrame, right: DataFrame, least: float, key: str, title: str, block: tuple[str, ...], extra: Column | None, needs: tuple[str, ...]) -> DataFrame:
+    """(left_id, right_id, similarity) of rows that share a trigram of both prefixes and that the bounds leave."""
     columns = list(dict.fromkeys([key, *block, *needs]))
     gramed = lambda df: materialise(with_tokens(df.select(*dict.fromkeys([*columns, title])), title).drop(*({title} - set(columns))))
-    long = left.where(F.length(title) >= short)
     if left is right:
-        right = gramed(right)
-        left = right if not short else right.join(long.select(key).distinct(), key, "left_semi")
+        left = right = gramed(right)
     else:
-        left = gramed(long)
+        left = gramed(left)
         right = gramed(right.join(left.select(*block).distinct(), list(block), "left_semi") if block else right)
     classes = frequency_classes(*([right] if left is right else [left, right]))
     used = [*columns, "n", *[f"s{k}" for k in range(WORDS)]]
     a, b = prefixed(left, classes, least, used).alias("l"), prefixed(right, classes, least, used).alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    na, nb = l("n"), r("n")
-    shared = least / (1 + least) * (na + nb) - 1e-9  # so many trigrams must be common
-    fits = (na >= least * nb) & (nb >= least * na) & (F.least(na - l("pos"), nb - r("pos")) >= shared)
-    lacks = lambda x, y: reduce(lambda p, q: p + q, [F.bit_count(x(f"s{k}").bitwiseAND(F.bitwise_not(y(f"s{k}")))) for k in range(WORDS)])
-    fits = fits & (na - lacks(l, r) >= shared) & (nb - lacks(r, l) >= shared)
+    fits = _bounds(least) & (F.least(l("n") - l("pos"), r("n") - r("pos")) >= least / (1 + least) * (l("n") + r("n")) - 1e-9)
     same = reduce(lambda p, q: p & q, [l(c) == r(c) for c in ("token", *block)])
     pairs = a.join(b, same & fits if extra is None else same & fits & extra).select(l(key).alias("left_id"), r(key).alias("right_id")).distinct()
     one, two = left.select(F.col(key).alias("left_id"), F.col("grams").alias("lg")), right.select(F.col(key).alias("right_id"), F.col("grams").alias("rg"))
-    scored = pairs.join(one, "left_id").join(two, "right_id").withColumn("similarity", set_similarity(F.col("lg"), F.col("rg")))
-    return scored.where(F.col("similarity") > least if strict else F.col("similarity") >= least).select("left_id", "right_id", "similarity")
+    return pairs.join(one, "left_id").join(two, "right_id").select("left_id", "right_id", set_similarity(F.col("lg"), F.col("rg")).alias("similarity"))
 
 
 def duplicate_candidates(df: DataFrame, least: float, key: str = "id", title: str = "title", block: tuple[str, ...] = ()) -> DataFrame:

@@ -25,6 +25,22 @@ def test_similarity_join_equals_all_pairs(spark):
         assert got == want and want
 
 
+@pytest.mark.parametrize("most", [1024, 25, 1])
+def test_only_large_blocks_are_joined_by_trigrams(spark, monkeypatch, most):
+    r = random.Random(3)
+    words = ["supply", "of", "road", "signs", "street", "lights", "water", "pipes"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 6))), i % 3 if i < 60 else 0) for i in range(90)]  # blocks of 50, 20 and 20
+    df = spark.createDataFrame([*rows, (500, None, 0), (501, "", 1), (502, "road signs", None), (503, "road signs", None)], "id bigint, title string, source_id bigint")
+    sets = {x.id: (set(x.g), x.source_id) for x in df.select("id", "source_id", trigrams(F.col("title")).alias("g")).collect()}
+    want = {(a, b) for a in sets for b in sets if sets[a][1] == sets[b][1] is not None and sets[a][0] | sets[b][0] and len(sets[a][0] & sets[b][0]) / len(sets[a][0] | sets[b][0]) > 0.65}
+    monkeypatch.setattr(similarity, "MOST", most)
+    joined, by_trigrams = [], similarity._by_trigrams
+    monkeypatch.setattr(similarity, "_by_trigrams", lambda left, right, **k: joined.append(right) or by_trigrams(left, right, **k))
+    got = [(x.left_id, x.right_id) for x in similarity.similar_pairs(df, df, 0.65, block=("source_id",)).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert [{x.source_id for x in df.select("source_id").distinct().collect()} for df in joined] == {1024: [], 25: [{0}], 1: [{0, 1, 2}]}[most]
+
+
 def test_equal_titles_keep_their_members(spark):
     df = spark.createDataFrame([(3, "Road signs"), (1, "road signs"), (2, "Water pumps"), (7, "road signs"), (9, None), (8, None), (4, "Street lights"), (5, "Street lights")], "id bigint, title string")
     got = [tuple(x) for x in similarity.duplicate_classes(df, 0.8).collect()]
