@@ -115,11 +115,27 @@ def duckdb_sql(sql: str) -> str:
     return render(f"WITH {head} {body}" if head else body, "duckdb")
 
 
+#: The inputs of stand-ins that number rows within a key, and that key: windows sort what a task holds of them.
+WINDOWED = {"observations": {"lineitem": "l_orderkey"}}
+PART_ROWS = 250_000
+
+
+def in_bounded_parts(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key so that a task has about PART_ROWS of them however many there are; windows by that key stay there.
+
+    Tables that the session's own number of partitions keeps within that are left to Spark.
+    """
+    parts = -(-rows.count() // PART_ROWS)
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a stand-in over them."""
     if name in STANDINS:
         sql = STANDINS[name]
         inputs = {t: load(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+        for t, key in WINDOWED.get(name, {}).items():
+            inputs[t] = in_bounded_parts(inputs[t], key)
         for t in inputs:
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
         return spark.sql(render(sql, "spark"), **{k: v for k, v in inputs.items() if f"{{{k}}}" in sql})

@@ -125,6 +125,19 @@ def test_batch_is_computed_once(spark):
     assert len(got) == 10 and set(got.values()) == {1} and computed.value == 10
 
 
+def test_windows_of_observations_sort_bounded_parts(spark, monkeypatch):
+    from procyon import model
+    from procyon.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(tuple(r) for r in QUERIES["e5_version_history"](spark, folder).collect())
+    monkeypatch.setattr(model, "PART_ROWS", 100)
+    got = QUERIES["e5_version_history"](spark, folder)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert model.load(spark, folder, "observations").rdd.getNumPartitions() == got.rdd.getNumPartitions() == -(-lines // 100)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_versions_and_events(spark):
     obs = spark.createDataFrame([(1, 1, "OPEN", "d1", "u1"), (1, 2, "OPEN", "d1", "u1"), (1, 3, None, "d2", "u1"), (1, 4, "CANCELLED", None, "u2"), (1, 5, "CANCELLED", "d2", "u1")], "id bigint, seq bigint, status string, closing_at string, url string")
     got = versions.version_history(obs, "id", ["seq"], ["status", "closing_at"], "url").orderBy("seq").collect()
