@@ -1,7 +1,7 @@
 """A stored full-text index: posting blocks by term and range of documents, ranked and boolean search over it.
 
-`write_index` stores, for each term and each of a number of ranges of documents (about PER_RANGE in each, dealt by hash
-of their keys), one block: the documents with the term's positions, and how often it occurs in one of them at most. No
+`write_index` stores, for each term and each of a number of ranges of documents (about PER_RANGE in each, or RANGE_BYTES of
+text, dealt by hash of their keys), one block: the documents with the term's positions, and how often it occurs in one of them at most. No
 block grows with the table. Blocks lie in folders by the first letters of their terms, so that a query, also one for a
 prefix, opens its terms' folders only. A common term is as many blocks as there are ranges.
 
@@ -19,10 +19,13 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stemming import stem, stem_word
+from ..functions.stemming import stem_word
 
 # Fixed list: the English stop words of PostgreSQL.
 STOP = tuple(
@@ -33,21 +36,36 @@ STOP = tuple(
 WORD = r"[\p{L}\p{N}]+"
 MOST_POSITIONS, LAST_POSITION, WEIGHT = 256, 16383, 0.1
 PER_RANGE, LETTERS, FOLDERS, WAVE = 4096, 2, 64, 16
-
-
-def lexemes(df: DataFrame, text: str, key: str = "id", stemmed: bool = True) -> DataFrame:
-    """(term, key, positions): stop words take up positions but are no terms. Stems are made once for each distinct word.
-
-    Null and empty texts have no terms; rows of equal keys are one document.
-    """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
-    tokens = df.select(F.col(key).alias("key"), F.posexplode(words).alias("at", "term")).where(~F.col("term").isin(*STOP))
-    tokens = tokens.select("key", "term", F.least(F.col("at") + 1, F.lit(LAST_POSITION)).alias("at"))
-    if stemmed:
-        stems = tokens.select("term").distinct().withColumn("stem", stem("term"))
-        tokens = tokens.join(stems, "term").select("key", F.col("stem").alias("term"), "at")
-    found = tokens.groupBy("key", "term").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    return found.select("term", F.col("key").alias(key), F.slice("positions", 1, MOST_POSITIONS).alias("positions"))
+RANGE_BYTES, TASK_RANGES, FOLDER_RANGES = 16 << 20, 4, 128
+_STOPS = frozenset(STOP)
+
+
+def _postings(rows: pa.Table, stemmed: bool) -> pa.Table:
+    """The blocks of one range, from its (range, key, words) rows: one for each term, rows of equal keys being one document."""
+    words = rows["words"].combine_chunks()
+    sizes = pc.list_value_length(words).to_numpy()
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    keys = rows["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+    doc = np.repeat(keys.indices.to_numpy(), sizes)
+    coded = words.flatten().dictionary_encode()
+    own = [None if w in _STOPS else stem_word(w) if stemmed else w for w in coded.dictionary.to_pylist()]
+    terms = sorted({t for t in own if t is not None})
+    place = {t: i for i, t in enumerate(terms)} | {None: -1}
+    term = np.array([place[t] for t in own], dtype=np.int64)[coded.indices.to_numpy()]
+    order = np.lexsort((at, doc, term))[np.count_nonzero(term < 0) :]
+    term, doc, at = term[order], doc[order], np.minimum(at[order], LAST_POSITION)
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])][: len(term)])  # of each document of a term
+    count = np.diff(np.r_[first, len(term)])
+    kept = np.arange(len(term)) - np.repeat(first, count) < MOST_POSITIONS
+    count, term, doc = np.minimum(count, MOST_POSITIONS), term[first], doc[first]
+    block = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
+    ends = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    positions = pa.ListArray.from_arrays(ends(count), pa.array(at[kept], pa.int32()))
+    docs = pa.StructArray.from_arrays([keys.dictionary.take(pa.array(doc)), positions], ["key", "positions"])
+    docs = pa.ListArray.from_arrays(pa.array(np.r_[block, len(term)], pa.int32()), docs)
+    most = np.maximum.reduceat(count, block) if len(block) else count
+    n = rows["range"][0].as_py()
+    return pa.table({"term": pa.array(terms, pa.string()), "range": pa.array([n] * len(terms), pa.int32()), "docs": docs, "most": pa.array(most, pa.int32())})
 
 
 def query_terms(q: str, stemmed: bool = True) -> list[str]:
@@ -88,16 +106,25 @@ def folder_of(start: Column) -> Column:
 
 
 def write_index(df: DataFrame, text: str, path: str, key: str = "id", stemmed: bool = True) -> None:
-    """Blocks (folder, term, range, docs array<struct<key, positions>>, most) under path/blocks, and path/about."""
+    """Blocks (folder, term, range, docs array<struct<key, positions>>, most) under path/blocks, and path/about.
+
+    Documents, not their words, are dealt to ranges, whose blocks are then made in one place; null and empty texts have no
+    terms, rows of equal keys are one document, and stop words take up positions but are no terms.
+    """
     spark = df.sparkSession
-    ranges = max(1, -(-df.count() // PER_RANGE))
-    found = lexemes(df, text, key, stemmed)
-    kind = found.schema[key].dataType.simpleString()
-    placed = found.select("term", F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int").alias("range"), F.struct(F.col(key).alias("key"), "positions").alias("doc"))
-    blocks = placed.groupBy("term", "range").agg(F.array_sort(F.collect_list("doc")).alias("docs"), F.max(F.size("doc.positions")).alias("most"))
+    rows = df.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    ranges = max(1, -(-size[0] // PER_RANGE), -(-(size[1] or 0) // RANGE_BYTES))
+    kind = rows.schema["key"].dataType.simpleString()
+    placed = rows.select(F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), "key", "text")
+    # as many parts as the session's, or more where those would hold many ranges each
+    placed = placed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ranges // TASK_RANGES)), "range")
+    words = placed.select("range", "key", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
+    blocks = words.groupBy("range").applyInArrow(lambda rows: _postings(rows, stemmed), f"term string, range int, docs array<struct<key: {kind}, positions: array<int>>>, most int")
     blocks = blocks.withColumn("folder", folder_of(F.col("term")))
-    # a folder with a common term goes to several tasks, each with a stretch of terms and ranges
-    blocks.repartitionByRange("folder", "term", "range").sortWithinPartitions("folder", "term", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
+    # a folder is a file for each FOLDER_RANGES ranges, so that a common term goes to several tasks
+    stretch = F.floor(F.col("range") / FOLDER_RANGES)
+    blocks.repartition("folder", stretch).sortWithinPartitions("folder", "term", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
     folders = sorted(r["folder"] for r in spark.read.schema("term string, folder int").parquet(f"{path}/blocks").select("folder").distinct().collect())
     spark.createDataFrame([(ranges, stemmed, kind, folders)], "ranges int, stemmed boolean, kind string, folders array<int>").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 

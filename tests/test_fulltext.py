@@ -100,3 +100,18 @@ def test_empty_table(spark, tmp_path):
     fulltext.write_index(spark.createDataFrame([], "id bigint, body string"), "body", str(tmp_path))
     empty = fulltext.Index(spark, str(tmp_path))
     assert empty.search("road").collect() == [] and empty.search_top("road sign").collect() == [] and empty.search_any([["r*"]]).collect() == []
+
+
+def test_ranges_are_bounded_by_bytes_and_equal_keys_are_one_document(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "RANGE_BYTES", 20_000)  # so that long texts make more ranges than PER_RANGE would
+    twice = [*rows, (7, "road library road"), (None, "road"), (None, "signs road")]
+    fulltext.write_index(spark.createDataFrame(twice, "id bigint, body string").repartition(5), "body", str(tmp_path))
+    stored = fulltext.Index(spark, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/about").first()["ranges"] == -(-sum(len(t or "") for _, t in twice) // 20_000) > 1
+    docs = stored.blocks(["road"]).selectExpr("range", "most", "explode(docs) AS d").select("range", "most", "d.*").collect()
+    at = {}
+    for i, text in twice:
+        found = [p for p, w in enumerate(re.findall(r"\w+", (text or "").lower()), 1) if w in ("road", "roads")]
+        at[i] = sorted(at.get(i, []) + [min(p, fulltext.LAST_POSITION) for p in found])
+    assert len(docs) == len({d.key for d in docs}) and {d.key: d.positions for d in docs} == {i: p[:256] for i, p in at.items() if p}
+    assert {d.range: d.most for d in docs} == {d.range: max(len(x.positions) for x in docs if x.range == d.range) for d in docs}
