@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -129,6 +130,35 @@ class _Rows(HTMLParser):
                 row["parts"].setdefault(key, []).append(data)
 
 
+#: Markup that HTMLParser reads as these tokens and no other: lower-case tags, quoted values without references, text.
+_PLAIN = re.compile(r'<([a-z][a-z0-9]*)((?: [a-z][a-z-]*="[^"&<>]*")*)>|</([a-z][a-z0-9]*)>|([^<&]+)')
+_VALUE = re.compile(r' ([a-z][a-z-]*)="([^"]*)"')
+#: Elements whose content is text of other rules.
+_OTHER = ("<script", "<style", "<textarea", "<title", "<xmp", "<iframe", "<noembed", "<noframes", "<noscript", "<plaintext", "<svg", "<math")
+
+
+def _feed(parser: _Rows, html: str) -> None:
+    """parser.feed(html), without HTMLParser's own reading where a page is plain throughout; any other page is fed to it."""
+    found, end = [], 0
+    if "&" not in html and not any(x in html for x in _OTHER):
+        for m in _PLAIN.finditer(html):
+            if m.start() != end:
+                break
+            end = m.end()
+            found.append(m.groups())
+    if end != len(html):
+        parser.feed(html)
+        return
+    for start, values, close, data in found:
+        if start:
+            if parser.depth or start == parser.tag:  # no other start has an effect
+                parser.handle_starttag(start, _VALUE.findall(values) if values else [])
+        elif close:
+            parser.handle_endtag(close)
+        else:
+            parser.handle_data(data)
+
+
 def html_listing_items(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(source_id, source_url, fields, links): rows of listing pages by each source's rules.
 
@@ -142,7 +172,7 @@ def html_listing_items(pages: DataFrame, rules: DataFrame) -> DataFrame:
             out = []
             for r in frame.itertuples():
                 parser = _Rows(r.row_tag, r.row_class)
-                parser.feed(r.html or "")
+                _feed(parser, r.html or "")
                 for row in parser.rows:
                     fields = {}
                     for name, where in r.rule.items():

@@ -236,6 +236,28 @@ def test_readers(spark):
     assert (f.fields["status"], f.fields["procurement_type"], f.fields["organization"], f.fields["briefing_date"], len(f.documents)) == ("CANCELLED", "RFQ", "P", "2026-02-01", 1) and rejects.count() == 1
 
 
+def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    r = random.Random(4)
+    plain = ['<tr class="t">', "<tr>", "</tr>", "<td>", "</td>", '<td class="ref x">', '<a href="/x">', "</a>", "text", " ", "\n", "<br>", "é"]
+    bits = [*plain, "<br />", "&amp;", "<!-- c -->", "<p", "<TD>", ">", '"', "<a href=x>", "<script>", "</script>", "<title>", "<", "</td >"]
+    fed, feed = [], pages._Rows.feed
+    monkeypatch.setattr(pages._Rows, "feed", lambda parser, html: fed.append(html) or feed(parser, html))
+
+    def rows(read, html):
+        parser = pages._Rows("tr", "t")
+        try:
+            read(parser, html)
+        except IndexError as e:  # a cell that was opened in a row that has ended
+            return repr(e)
+        return parser.rows
+
+    for k in (len(plain), len(bits)):
+        for _ in range(3000):
+            html = "".join(r.choice(bits[:k]) for _ in range(r.randrange(14)))
+            assert rows(pages._feed, html) == rows(feed, html), html
+        assert bool(fed) == (k > len(plain))  # plain pages are not fed to HTMLParser
+
+
 def test_pages(spark):
     html = '<table><tr class="row"><td>R1</td><td><a href="/t/1">Road signs</a></td><td class="c">15/09/2026</td></tr><tr><td>skip</td></tr><tr class="row"><td>R2</td><td>No link</td></tr></table><a href="a.PDF?x=1">Spec SCM/2026/1</a>'
     p = spark.createDataFrame([(1, 1, "https://a.org/d/", html), (2, 1, "https://a.org/e", None)], "page_id bigint, source_id bigint, url string, html string")
