@@ -36,9 +36,14 @@ def with_tokens(rows: DataFrame, title: str) -> DataFrame:
     out = rows.withColumn("grams", trigrams(F.col(title))).withColumn("n", F.size("grams")).withColumn("tokens", F.transform("grams", lambda g: F.xxhash64(g)))
     # place of a bit: the word by the lowest bits of the hash, the bit by the next six
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
-    word = lambda k: lambda acc, h: F.when(F.pmod(h, F.lit(WORDS)) == k, acc.bitwiseOR(bit(h))).otherwise(acc)
+    own = lambda k: F.filter("tokens", lambda h: F.pmod(h, F.lit(WORDS)) == k)
     none = F.lit(0).cast("bigint")  # never null, so that no filter on nulls computes the bitmaps once more
-    return out.withColumns({f"s{k}": F.coalesce(F.aggregate("tokens", none, word(k)), none) for k in range(WORDS)})
+    return out.withColumns({f"s{k}": F.coalesce(F.aggregate(own(k), none, lambda acc, h: acc.bitwiseOR(bit(h))), none) for k in range(WORDS)})
+
+
+def signed(rows: DataFrame, title: str = "title") -> DataFrame:
+    """rows with n and the bitmap of the tokens of their titles, which joins within blocks then need not make again."""
+    return with_tokens(rows, title).drop("grams", "tokens")
 
 
 def prefixed(rows: DataFrame, classes: Column, least: float, columns: list[str]) -> DataFrame:
@@ -82,10 +87,10 @@ def _bounds(least: float) -> Column:
 
 def _within_blocks(left: DataFrame, right: DataFrame, least: float, key: str, title: str, block: tuple[str, ...], extra: Column | None, needs: tuple[str, ...]) -> DataFrame:
     """(left_id, right_id, similarity) of all rows of equal blocks that the bounds leave; a row carries its title only."""
-    columns = list(dict.fromkeys([key, *block, *needs, title]))
-    signed = lambda df: with_tokens(df.select(*columns), title).drop("grams", "tokens")
+    columns, made = list(dict.fromkeys([key, *block, *needs, title])), ["n", *[f"s{k}" for k in range(WORDS)]]
+    ready = lambda df: df.select(*columns, *made) if set(made) <= set(df.columns) else signed(df.select(*columns), title)
     fits = reduce(lambda p, q: p & q, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in block]) & _bounds(least)
-    pairs = signed(left).alias("l").join(signed(right).alias("r"), fits if extra is None else fits & extra)
+    pairs = ready(left).alias("l").join(ready(right).alias("r"), fits if extra is None else fits & extra)
     both = F.size(F.array_intersect(trigrams(F.col(f"l.{title}")), trigrams(F.col(f"r.{title}"))))
     either = F.col("l.n") + F.col("r.n") - both
     # exploded, for a filter on a plain column would go before the bounds and compare the trigrams of all pairs

@@ -90,6 +90,19 @@ def apply_updates(existing: DataFrame, incoming: DataFrame, key: str = "id") ->
     return out.select(key, *[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in out.columns and c != "version" else F.col(c) for c in existing.columns if c not in (key, "version")], (F.coalesce("version", F.lit(1)) + F.coalesce("__up", F.lit(0))).alias("version"))
 
 
+def merge_updates(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of existing that incoming has, as apply_updates makes them, with changed_fields as diff_records has them (an
+    empty map without a change), by one join.
+    """
+    shared = [c for c in existing.columns if c in incoming.columns and c != key]
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    names = [f for f in TRACKED if f in shared]
+    value = lambda c: F.coalesce(b(c), a(c)).alias(c) if c in shared and c != "version" else a(c)
+    both = existing.alias("a").join(incoming.alias("b"), key)
+    out = both.select(key, *[value(c) for c in existing.columns if c != key], changes([a(n) for n in names], [b(n) for n in names], names).alias("changed_fields"))
+    return out.withColumn("version", F.coalesce("version", F.lit(1)) + (F.size("changed_fields") > 0).cast("int"))
+
+
 def document_versions(fetches: DataFrame, document: str, sha: str, at: str) -> DataFrame:
     """(document, sha, first_at, version, current): a version for each content first seen."""
     seen = fetches.groupBy(document, sha).agg(F.min(at).alias("first_at"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -123,15 +123,30 @@ class KeyedTable:
         rows = self.spark.read.parquet(*bases)
         if not later:
             return rows
-        n = F.row_number().over(W.partitionBy(self.key).orderBy(F.col("batch").desc()))
-        newer = self.spark.read.option("basePath", f"{self.path}/data").parquet(*later).withColumn("__n", n).where("__n = 1").select(*rows.columns)
+        newer = self._later(later)
+        if len({p.bucket for p in parts if not p.base}) < len(later):  # else keys are distinct, as they are within a part
+            n = F.row_number().over(W.partitionBy(self.key).orderBy(F.col("batch").desc()))
+            newer = newer.withColumn("__n", n).where("__n = 1")
+        newer = newer.select(*rows.columns)
         return rows.join(newer.select(self.key), self.key, "left_anti").unionByName(newer)
 
+    def _later(self, paths: list[str]) -> DataFrame:
+        """Rows of later parts, with the batch that wrote them."""
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths)
+
+    def _newest(self, parts: list[Row], bucket: Column) -> DataFrame:
+        """The rows of parts that have later ones, dealt by bucket: the last of each key is found within its bucket."""
+        bases, later = ([f"{self.path}/{p.part}" for p in parts if p.base == base] for base in (True, False))
+        rows = self.spark.read.parquet(*bases)
+        every = rows.withColumn("batch", F.lit(-1)).unionByName(self._later(later).select(*rows.columns, F.col("batch").cast("int").alias("batch")))
+        n = F.row_number().over(W.partitionBy("bucket", self.key).orderBy(F.col("batch").desc()))
+        return every.withColumn("bucket", bucket).repartition("bucket").withColumn("__n", n).where("__n = 1").drop("__n", "batch")
+
     def write(self, changed: DataFrame, batch: int) -> None:
         """The rows of a batch, one for each key, that are new or replace those of their key."""
         before = {p.part: p for p in self.parts(batch - 1)}
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        self._put(changed.withColumn("bucket", bucket), f"data/batch={batch}")
+        self._put(changed.withColumn("bucket", bucket).repartition("bucket"), f"data/batch={batch}")
         schema = StructType([*changed.schema.fields, StructField("bucket", IntegerType())])
         counts = self.spark.read.schema(schema).parquet(f"{self.path}/data/batch={batch}").groupBy("bucket").count().collect()
         held = {r["bucket"]: [p for p in before.values() if p.bucket == r["bucket"]] for r in counts}
@@ -145,8 +160,7 @@ class KeyedTable:
             else:
                 now += own
         if full:
-            whole = self._rows([p for own in full for p in own])
-            self._put(whole.withColumn("bucket", bucket), f"rewritten/batch={batch}")
+            self._put(self._newest([p for own in full for p in own], bucket), f"rewritten/batch={batch}")
             again = self.spark.read.schema(schema).parquet(f"{self.path}/rewritten/batch={batch}").groupBy("bucket").count().collect()
             now += [Row(bucket=b, part=f"rewritten/batch={batch}/bucket={b}", rows=n, base=True) for b, n in again]
         rows = self.spark.createDataFrame([tuple(p) for p in now], "bucket int, part string, rows bigint, base boolean")
@@ -156,8 +170,8 @@ class KeyedTable:
         self._forget(batch, {p.part for p in now} | set(before))
 
     def _put(self, df: DataFrame, folder: str) -> None:
-        """A file for each bucket, whatever partitions df has."""
-        df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        """A file for each bucket; df is dealt by bucket."""
+        df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
 
     def _forget(self, batch: int, needed: set[str]) -> None:
         """Deletes the manifest before the last, and the parts of it that are no more."""

@@ -95,3 +95,47 @@ def test_rows_wait_in_buckets_however_many_keys(spark, monkeypatch):
     got = sorted(((r.opportunity_id, r.seq, r.version, r.status, r.document_added) for r in out.collect()), key=str)
     want = [(i, seq, seq, f"a{seq % 2}", seq < 3) for i in [*range(299), None] for seq in (1, 2, 3)]
     assert got == sorted(want, key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_updates_are_merged_by_one_join(spark):
+    from procyon.operators import versions
+
+    row = "id bigint, title string, status string, closing_at timestamp_ntz, version bigint"
+    old = spark.createDataFrame([(1, "a", "OPEN", None, 3), (2, "b", "OPEN", None, None), (3, "c", "OPEN", None, 1)], row)
+    new = spark.createDataFrame([(1, "a2", None, None, 1), (2, None, "OPEN", None, 1), (9, "z", "OPEN", None, 1)], row)
+    merged = versions.merge_updates(old, new)
+    apart = versions.apply_updates(old, new).join(new.select("id"), "id", "left_semi")
+    assert sorted(map(tuple, merged.select(*apart.columns).collect())) == sorted(map(tuple, apart.collect())) == [(1, "a2", "OPEN", None, 4), (2, "b", "OPEN", None, 1)]
+    assert {r.id: set(r.changed_fields) for r in merged.collect()} == {1: {"title"}, 2: set()}
+
+
+def test_a_row_of_a_batch_is_shuffled_once_by_its_keys(spark):
+    from procyon.operators import dedup
+
+    batch = spark.range(9).selectExpr("id", "id % 3 AS source_id", "'h' || id % 2 AS content_hash", "nullif('R' || id % 4, 'R0') AS reference_number_normalized", "timestamp_ntz'2026-01-01' AS published_at")
+    found = dedup._earliest(batch, ["content_hash", "source_id"], "published_at")
+    assert plan_of(found).count("Exchange hashpartitioning") == 1
+    # 6 is as 0, which has no reference; 7 as 1 but of another reference; 8 has none and is as 2
+    assert {r.own.id: r.first.id for r in found.collect()} == {6: 0, 8: 2}
+
+
+def test_one_later_part_of_a_bucket_needs_no_ranks(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), buckets=2)
+    table.write(spark.range(40).selectExpr("id", "0L AS v"), 0)
+    table.write(spark.range(4).selectExpr("id", "1L AS v"), 1)
+    after = table.read(1)
+    assert "Window" not in plan_of(after) and {r.id: r.v for r in after.collect()} == {i: int(i < 4) for i in range(40)}
+
+
+def test_repeated_items_of_a_batch_are_one(spark):
+    sources = spark.createDataFrame([(1, "City", 5, None, "https://www.example.org/", "Africa/Johannesburg")], "id bigint, organization string, municipality_id bigint, province_id bigint, base_url string, source_timezone string")
+    item = lambda name, fields: (1, f"https://www.example.org/{name}", fields)
+    rows = [item("a", SIGNS), item("a", SIGNS), item("b", {**SIGNS, "date": "2025-12-09", "status": "awarded"}), item("c", {**SIGNS, "date": "2025-12-08", "status": "cancelled"}), item("d", PUMPS)]
+    found = ingest_batch(spark.createDataFrame(rows, "source_id bigint, source_url string, fields map<string,string>"), sources, None, AS_OF)
+    # of the two that update the first, the last published counts
+    assert sorted((r.title, r.version, r.status) for r in found["versions"].collect()) == sorted([(SIGNS["title"], 2, "AWARDED"), (PUMPS["title"], 1, "OPEN")])
+    assert {(r.event_type, r.new_value) for r in found["events"].collect()} >= {("AWARD_POSTED", "AWARDED")}

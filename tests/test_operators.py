@@ -344,3 +344,10 @@ def test_hashes_that_are_none_are_compared_as_they_are(spark):
     assert got == {11: 1, 12: 2, 13: 3, 14: 4, 15: 5}
     kept = dict(dedup._used(old).dtypes)
     assert kept["content_hash"] == kept["fingerprint"] == "binary"
+
+
+def test_repeated_ids_are_refused_before_they_multiply(spark):
+    point = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (3, 1), (4, 3), (5, 4)], "id bigint, root bigint")
+    with pytest.raises(ValueError, match="repeated"):
+        dedup.jump(point)
+    assert {r.id: r.root for r in dedup.jump(point.where("id != 3 OR root = 2")).collect()} == dict.fromkeys(range(1, 6), 1)
