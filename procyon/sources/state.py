@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -48,10 +48,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: df written as Parquet in the shared folder and reread."""
+    return _saved(df, _scopes)
+
+
+def materialise_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """materialise(make()), of which nothing else is left: what make saved on its way is deleted once the result is written."""
+    with scratch(spark):
+        return _saved(make(), _scopes[:-1])
+
+
+def _saved(df: DataFrame, scopes: list[list[str]]) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

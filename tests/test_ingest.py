@@ -4,6 +4,7 @@ import os
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from procyon.operators.ingest import ingest_batch
@@ -139,3 +140,19 @@ def test_repeated_items_of_a_batch_are_one(spark):
     # of the two that update the first, the last published counts
     assert sorted((r.title, r.version, r.status) for r in found["versions"].collect()) == sorted([(SIGNS["title"], 2, "AWARDED"), (PUMPS["title"], 1, "OPEN")])
     assert {(r.event_type, r.new_value) for r in found["events"].collect()} >= {("AWARD_POSTED", "AWARDED")}
+
+
+def test_what_a_step_saved_on_its_way_is_deleted(spark):
+    kept = []
+
+    def make():
+        kept.append(state.materialise(spark.range(4)))
+        return kept[0].where("id > 1")
+
+    with state.scratch(spark):
+        out = state.materialise_alone(spark, make)
+        (path,) = state._scopes[-1]
+        assert sorted(r.id for r in out.collect()) == [2, 3] and os.path.exists(path.removeprefix("file:"))
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            kept[0].collect()
+    assert not os.path.exists(path.removeprefix("file:"))

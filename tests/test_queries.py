@@ -61,6 +61,19 @@ def test_whole_batch_is_resolved_as_by_loops(spark):
     assert {r.id: r.root for r in QUERIES["d8_resolve_batch"](spark, SF).collect()} == root and len(set(root.values())) < len(root)
 
 
+def test_ids_of_a_batch_are_distinct_however_high_the_keys(spark, tmp_path):
+    """Orders beyond ten million: what is seen again has other ids than what is stored."""
+    from procyon.plans.registry import Tables, whole_batch
+
+    for name in ("region", "nation", "customer", "supplier", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 60")
+    orders.union(orders.withColumn("o_orderkey", orders["o_orderkey"] + 10_000_000)).write.parquet(str(tmp_path / "orders.parquet"))
+    ids = [r.id for r in whole_batch(Tables(spark, str(tmp_path))).select("id").collect()]
+    roots = QUERIES["d8_resolve_batch"](spark, str(tmp_path)).collect()
+    assert len(set(ids)) == len(ids) == 240 and sorted(r.id for r in roots) == sorted(ids)
+
+
 def test_snapshots_are_the_records(spark):
     import json
 
